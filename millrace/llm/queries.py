@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, near_duplicates, pii, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, mixing, near_duplicates, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, tool_calls
 
-_MODULES = (pii, mixing, quality_rules, quality_classifier, near_duplicates, sharding, token_counts)
+_MODULES = (suffix_dedup, decontamination, pii, mixing, quality_rules, quality_classifier, tool_calls, near_duplicates, sharding, token_counts)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
