@@ -1,6 +1,4 @@
 """Registered queries over the test tables, with the SQL each has to match."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import aggregates, incremental, joins, parsing, ranking, rules, similarity, sources, text  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
