@@ -103,7 +103,7 @@ def j9(spark, sf_dir):
 @query("J10")
 def j10(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    lists = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), F.col("l_partkey") % 400).alias("name")))), lambda x: x["name"]).alias("names"))
+    lists = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name")))), lambda x: x["name"]).alias("names"))
     return M.formula_matches(lists.where("l_orderkey % 2 = 0"), lists.where("l_orderkey % 2 = 1"), "l_orderkey", "names", least=0.5).withColumn("similarity", F.round("similarity", 6))
 
 
