@@ -26,12 +26,26 @@ from .base import cut, read
 BANDS, ROWS, LOW_BITS = 32, 4, 2
 HASHES = BANDS * ROWS
 WORDS = HASHES * LOW_BITS // 64  # 64-bit words of a packed signature
-TILE = 1024
+TILE = 4096
 _rng = np.random.default_rng(20240601)
-_MUL = (_rng.integers(1, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(1, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64)
+_MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.int64).astype(np.uint32)
 _FOLD = _rng.integers(1, 1 << 62, 16, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_known: dict[bytes, int] = {}
+_PART = 512
+_room = np.empty((_PART, HASHES), np.uint32)
+
+
+class _Hashes(dict):
+    """Word -> 64-bit hash, remembered; emptied beyond a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hash = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,11 +59,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_known) > 400_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     key = np.full(n, width, np.uint64)
@@ -58,17 +68,27 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(key)
 
 
+def short(s: np.ndarray) -> np.ndarray:
+    """32-bit fingerprints of shingle hashes."""
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
 def minima(s: np.ndarray) -> np.ndarray:
-    """The least value of each of the hash functions over the set (high 32 bits of multiply-add)."""
-    out = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for a in range(0, len(s), 2048):
-        out = np.minimum(out, (s[a : a + 2048, None] * _MUL + _ADD).min(0))
-    return out >> np.uint64(20)
+    """The least value of each of the hash functions (multiply-add of 32 bits) over the set."""
+    x = short(s)
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(x), _PART):
+        part = x[a : a + _PART, None]
+        room = _room[: len(part)]
+        np.multiply(part, _MUL, out=room)
+        np.add(room, _ADD, out=room)
+        np.minimum(out, room.min(0), out=out)
+    return out.astype(np.uint64)
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """The low bits of the minima in 64-bit words."""
-    low = (m & np.uint64((1 << LOW_BITS) - 1)).reshape(WORDS, -1)
+    """The low bits of the minima (mixed once more) in 64-bit words."""
+    low = (_mix(m) & np.uint64((1 << LOW_BITS) - 1)).reshape(WORDS, -1)
     return (low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(LOW_BITS))).sum(1, dtype=np.uint64)
 
 
@@ -170,11 +190,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     links = cut(confirmed(stars, docs, width, percent, id_col, text_col))
     comp = components(links)
 
-    # pairs across components within a bucket: buckets with one component left are done
+    # classes across components within a bucket: buckets with one component left are done
     placed = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(mixed, "key").join(sigs, "rep").select("key", "rep", "comp", "sig")
-    more = cut(_across(placed, floor).join(stars, ["a", "b"], "left_anti"))
+    placed = cut(placed.join(mixed, "key").select("key", "rep", "comp"))
+    more = cut(_across(placed, sigs, docs, width, floor, percent, id_col, text_col))
     links = links.union(confirmed(more, docs, width, percent, id_col, text_col))
     comp = components(links)
 
@@ -194,28 +214,107 @@ def _close(floor: float):
     return close
 
 
-def _across(placed: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a < b) of one bucket in different components whose estimate reaches the floor. A bucket is dealt into tiles
-    of about TILE classes; each pair of tiles is one group, compared by bit counts."""
+def _across(placed: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, floor: float, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a < b) of one bucket in different components whose fingerprints come within one percent of the threshold. A
+    bucket is dealt into tiles of about TILE classes, and each pair of tiles is one group: signatures are compared by bit
+    counts, and those that are close enough by their sets, which come along. Pairs that fail never leave the task."""
+
+    @F.pandas_udf("binary")
+    def as_short_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(short(shingles(t, width))).tobytes() for t in texts])
+
+    reps = placed.select(F.col("rep").alias("id")).distinct()
+    sets = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(reps, "id", "left_semi").dropDuplicates(["id"])
+    sets = cut(sets.select(F.col("id").alias("rep"), as_short_set("t").alias("set")).join(sigs, "rep"))
     sized = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = placed.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
-    dealt = dealt.withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "rep", "comp", "sig")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(-1, WORDS)
-        rep, comp, tile = group["rep"].to_numpy(), group["comp"].to_numpy(), group["tile"].to_numpy()
-        one = group["i"].iat[0] == group["j"].iat[0]
-        left = np.arange(len(rep)) if one else np.flatnonzero(tile == group["i"].iat[0])
-        right = left if one else np.flatnonzero(tile == group["j"].iat[0])
-        found = []
-        for k in left:  # one class against a tile at a time: memory stays linear
-            r = right[(comp[right] != comp[k]) & ((rep[right] > rep[k]) if one else True)]
-            r = r[agreement(sig[k], sig[r]) >= floor] if len(r) else r
-            found += [(min(rep[k], x), max(rep[k], x)) for x in rep[r]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    dealt = dealt.withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "rep", "comp").join(sets, "rep")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(_compare(floor, percent), "a long, b long").distinct()
+
+
+def _compare(floor: float, percent: int, block_rows: int = 8_000, most_pairs: int = 400_000):
+    def run(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All groups of a block: the pairs of small groups are laid out together."""
+        comp, tile, rep = df["comp"].to_numpy(), df["tile"].to_numpy(), df["rep"].to_numpy()
+        sig = np.frombuffer(b"".join(df["sig"]), np.uint64).reshape(-1, WORDS)
+        sets = df["set"].tolist()
+        size = np.array([len(x) // 4 for x in sets])
+        cross = (df["i"] != df["j"]).to_numpy()
+        keys = df[["key", "i", "j"]].to_numpy()
+        starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(df)]
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pd.DataFrame:
+            x, y = np.concatenate(left), np.concatenate(right)
+            good = (comp[x] != comp[y]) & (~cross[x] | (tile[x] != tile[y]))
+            good &= 100 * np.minimum(size[x], size[y]) >= (percent - 1) * np.maximum(size[x], size[y])
+            x, y = x[good], y[good]
+            good = agreement(sig[x], sig[y]) >= floor
+            found = []
+            for p, q in zip(x[good].tolist(), y[good].tolist()):
+                a, b = np.frombuffer(sets[p], np.uint32), np.frombuffer(sets[q], np.uint32)
+                both = np.concatenate([a, b])
+                both.sort()
+                both = int((both[1:] == both[:-1]).sum())
+                if 100 * both >= (percent - 1) * (len(a) + len(b) - both):
+                    found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
+            left.clear()
+            right.clear()
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if comp[s:e].min() == comp[s:e].max():
+                continue
+            if e - s <= 128:
+                x, y = _triangle(e - s)
+                left.append(x + s)
+                right.append(y + s)
+                held += len(x)
+                if held > most_pairs:
+                    yield flush()
+                    held = 0
+                continue
+            for k in range(s, e - 1):
+                left.append(np.full(e - k - 1, k))
+                right.append(np.arange(k + 1, e))
+                held += e - k - 1
+                if held > most_pairs:
+                    yield flush()
+                    held = 0
+        if left:
+            yield flush()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            kept.append(batch)
+            rows += len(batch)
+            if rows >= block_rows:
+                df = pd.concat(kept, ignore_index=True)
+                last = (df[["key", "i", "j"]] == df[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()  # this group may go on
+                kept, rows = [df[last]], int(last.sum())
+                if not last.all():
+                    yield from run(df[~last].reset_index(drop=True))
+        if rows:
+            yield from run(pd.concat(kept, ignore_index=True))
+
+    return search
+
+
+_triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n not in _triangles:
+        _triangles[n] = np.triu_indices(n, 1)
+    return _triangles[n]
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
