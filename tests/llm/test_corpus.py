@@ -1,0 +1,365 @@
+"""Corpus operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty
+tables, extra columns with clashing names."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontamination, mixing, near_duplicates, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, tool_calls
+from millrace.llm import queries as registered
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SCHEMA = "doc_id long, text string, source string, size string, anchor string, id string, n string, t string, key string"
+
+
+def frame(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, s, "x", "x", "x", "x", "x", "x") for i, t, s in rows], SCHEMA)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(rng.choice(["al", "be", "ga", "de", "ep", "ze"]) + str(rng.randrange(vocabulary)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Texts with copies, near copies, shared passages, odd texts; one id comes twice."""
+    rng = random.Random(9)
+    base = [prose(rng, rng.randrange(60, 140)) for _ in range(8)]
+    passage = prose(rng, 60)
+    rows = [(0, None, "a"), (1, "", None), (2, "short", "b"), (3, "short", "b"), (3, "short", "b"), (4, " \n ", "a"), (5, "rep eat " * 200, "a"), (6, "é" * 300, "c"), (7, prose(rng, 20_000), "c")]
+    for i in range(100, 190):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 6, 20])):
+            words[rng.randrange(len(words))] = "edit" + str(rng.randrange(999))
+        rows.append((i, " ".join(words), rng.choice(["a", "a", "b", None])))
+    for i in range(200, 230):
+        rows.append((i, prose(rng, rng.randrange(0, 30), 9999) + " " + passage + " " + prose(rng, rng.randrange(0, 30), 9999), "b"))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [(20_000, 20_000), (3, 50)])
+def test_suffix_dedup(spark, corpus, limits):
+    raws = [(i, (t or "").encode()) for i, t, _ in corpus]
+    count = collections.Counter(r[p : p + 200] for _, r in raws for p in range(len(r) - 199))
+    want = []
+    for i, r in raws:
+        cover = np.zeros(len(r) + 1, int)
+        for p in range(len(r) - 199):
+            if count[r[p : p + 200]] > 1:
+                cover[p] += 1
+                cover[p + 200] -= 1
+        on = np.cumsum(cover)[: len(r)] > 0
+        runs = int((np.diff(np.r_[0, on.astype(int)]) == 1).sum())
+        want.append((i, len(r), int(on.sum()), runs, hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~on])).hexdigest()))
+    got = suffix_dedup.remove_repeats(frame(spark, corpus), most_contexts=limits[0], block_rows=limits[1]).drop("kept_text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_grouping_suffix_array():
+    rng = random.Random(1)
+    for _ in range(600):
+        s = [rng.randint(1, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, 30))] + [0]
+        assert suffix_dedup.grouping_suffix_array(np.array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def brute_components(rows, width):
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = [i for i in sets if sets[i]]
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+
+
+def test_near_duplicates(spark, corpus):
+    want = brute_components(corpus, 4)
+    got = near_duplicates.near_duplicates(frame(spark, corpus), width=4).collect()
+    assert len(got) == len(corpus)
+    assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_near_duplicates_tiles(spark, corpus, monkeypatch):
+    """Tiles and rounds of small size find the same components."""
+    monkeypatch.setattr(near_duplicates, "TILE", 5)
+    got = near_duplicates.near_duplicates(frame(spark, corpus), width=4).collect()
+    assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(corpus, 4)
+
+
+def test_agreement_estimates_similarity():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    a, b = np.unique(x[:800]), np.unique(x[200:])
+    est = near_duplicates.agreement(near_duplicates.packed(near_duplicates.minima(a)), near_duplicates.packed(near_duplicates.minima(b)))
+    assert abs(est - 0.6) < 0.2
+
+
+def test_quality_rules(spark, corpus):
+    got = quality_rules.apply_policy(quality_rules.ledger(frame(spark, corpus)), "v2").collect()
+    assert len(got) == len(corpus)
+    rows = {r.doc_id: r for r in got}
+    for i, t, _ in corpus:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {p for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        assert (rows[i].n_words, rows[i].word_chars, rows[i].n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+    assert not rows[0].kept and not rows[5].kept and rows[7].kept
+    table = {r.rule: (r.n_failed, r.n_only_this_rule) for r in quality_rules.ablations(quality_rules.ledger(frame(spark, corpus)), "v2").collect()}
+    assert set(table) == set(quality_rules.POLICIES["v2"]) and table["few_words"][0] == 7  # six short ones and one long word
+
+
+def test_mixing(spark, corpus):
+    df = frame(spark, corpus)
+    slim = mixing._ranked(df, 11, mixing.length_odds, "doc_id", "text", "source", ["doc_id"])
+    plan = {r["__plan_source"]: r for r in mixing.plan(slim).collect()}
+    sizes = collections.Counter()
+    for i, t, s in corpus:
+        sizes[s] += len((t or "").split())
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    targets, left, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while open_:  # reshare until no target is above twice its source
+        unit = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if unit * weights[s] >= 2 * sizes[s]}
+        if not full:
+            targets |= {s: unit * weights[s] for s in open_}
+            break
+        for s in full:
+            targets[s] = 2.0 * sizes[s]
+            left -= targets[s]
+        open_ -= full
+    taken, most = collections.Counter(), collections.Counter()
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+        most[r.doc_id] += 1
+    for s in order:
+        assert abs(plan[s].target - targets[s]) < 1e-6 * max(1, targets[s])
+        largest = max(len((t or "").split()) for _, t, x in corpus if x == s)  # copies are whole: half a document is the best there is
+        assert abs(taken[s] - targets[s]) <= max(60, 0.05 * targets[s], largest / 2), s
+    assert max(n for i, n in most.items() if i != 3) <= 2
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+
+
+def test_sharding(spark, corpus):
+    got = sharding.interleaved_shards(frame(spark, corpus), shards=5, rows_per_bucket=10).collect()
+    assert len(got) == len(corpus)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        t = next(t for i, t, _ in corpus if i == r.doc_id)
+        assert r.text_crc32 == zlib.crc32((t or "").encode()) and r["size"] == len((t or "").encode()) + 8
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    n = sorted(map(len, by.values()))
+    assert n[-1] - n[0] <= 1 and len(by) == 5
+    total = collections.Counter(s for _, _, s in corpus)
+    for k in by:
+        own = collections.Counter(r.source for r in got if r.shard == k)
+        assert all(abs(own[s] - total[s] / 5) <= len(total) for s in total)  # every shard holds the mixture
+    assert sharding.interleaved_shards(frame(spark, corpus[:2]), shards=5).count() == 2  # fewer rows than shards
+
+
+def test_pii_base_spans_against_patterns():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    rng = random.Random(2)
+    for _ in range(4000):
+        x = "".join(rng.choice(["1", "23", "255", ".", "..", "@", "a", "-", " ", "+", "4111111111111111", "(", ")", "a.b", "é", "%"]) for _ in range(rng.randint(0, 30)))
+        d = lambda s: re.sub("[^0-9]", "", s)
+        want = [(m.start(), 0, m.end()) for m in email.finditer(x)] + [(m.start(), 1, m.end()) for m in ip.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [(m.start(), 2, m.end()) for m in card.finditer(x) if 12 <= len(d(m[0])) <= 19 and pii.luhn(d(m[0]))] + [(m.start(), 3, m.end()) for m in phone.finditer(x) if 9 <= len(d(m[0])) <= 15]
+        assert pii.base_spans(x) == sorted(want)
+
+
+def test_pii_field_adds_and_keeps(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        extra = rng.choice([f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", f"a{i}@mail.example.com", "10.0.0.%d" % rng.randrange(256), "version 3.", "room 12"])
+        rows.append((i, f"please call {extra} {rng.choice(['now', 'or ask', ''])}", "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, "call (743) 555-3824 now", "s"), (902, "call (743) 555-3824 now", "s"), (903, "plain words only", "s")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in pii.pii_spans(docs, pii.labelled_table(docs.where("doc_id < 900"))).collect()}
+    for i, t, _ in rows:
+        base = pii.base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(pii.spans_text(base).encode()).hexdigest()
+        assert set(filter(None, pii.spans_text(base).split(","))) <= set(filter(None, got[i].spans.split(",")))
+    assert got[902].spans.startswith("phone:") and got[902].n_phone == 0  # added by the field: no country code
+    assert got[903].spans == "" and got[901].spans == ""
+    empty = pii.pii_spans(docs.limit(0), pii.labelled_table(docs.limit(0)))
+    assert empty.collect() == []
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    emit = {f"s={w}": rng.normal(size=pii.STATES) for w in "abc"}
+    field = pii.Field({k: i for i, k in enumerate(emit)}, np.array(list(emit.values())), rng.normal(size=(pii.STATES + 2, pii.STATES)))
+    import itertools
+
+    field.scores = lambda words: np.array([emit[f"s={w}"] for w in words])
+    for words in (["a", "b", "c"], ["c"], ["b", "b"]):
+        e = field.scores(words)
+
+        def total(p):
+            return sum(e[t, s] for t, s in enumerate(p)) + field.trans[pii.STATES, p[0]] + sum(field.trans[a, b] for a, b in zip(p, p[1:])) + field.trans[pii.STATES + 1, p[-1]]
+
+        best = max(itertools.product(range(pii.STATES), repeat=len(words)), key=total)
+        assert tuple(field.decode([words, ["a"]])[0]) == best
+
+
+def test_classifier_held_out_accuracy(spark):
+    rng = random.Random(6)
+    rows, labels = [(0, None, "a"), (1, "", "a"), (2, prose(rng, 30_000), "a")], []
+    for i in range(10, 700):
+        bad = rng.random() < 0.3
+        t = prose(rng, rng.randrange(5, 80), 50)
+        rows.append((i, re.sub(" ", "*** ", t) if bad else t, "a"))
+        labels.append((i, 0 if bad else 1, "x"))
+    docs, marks = frame(spark, rows), spark.createDataFrame([*labels, (None, 1, "x"), (11, None, "x")], "doc_id long, quality int, text string")
+    score = quality_classifier.scorer(quality_classifier.fit(docs, marks))
+    got = {r.doc_id: r.s for r in docs.select("doc_id", score("text").alias("s")).collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    held = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((got[i] >= 0.5) == (q == 1) for i, q in held) / len(held) > 0.97
+    assert quality_classifier.fit(docs, marks.limit(0)) is None
+    assert {r.s for r in docs.select(quality_classifier.scorer(None)("text").alias("s")).collect()} == {0.5}
+
+
+def test_machine_in_linear_time_equals_pairs():
+    rng = np.random.default_rng(8)
+    w, v, x, ids = rng.normal(size=9), rng.normal(size=(9, 3)), rng.normal(size=5), np.array([1, 3, 4, 7, 8])
+    z, _ = quality_classifier.logits(np.zeros(5, int), ids, x, 1, 0.5, w, v)
+    pairs = sum(v[ids[a]] @ v[ids[b]] * x[a] * x[b] for a in range(5) for b in range(a + 1, 5))
+    assert abs(z[0] - (0.5 + w[ids] @ x + pairs)) < 1e-9
+
+
+def test_decontamination(spark):
+    rng = random.Random(7)
+    items = [(i, prose(rng, rng.randrange(20, 50), 3000)) for i in range(12)] + [(90, None), (91, "too short"), (92, "")]
+    rows = [(0, None, "a"), (1, "", "a")]
+    want = set()
+    for i in range(10, 130):
+        words = prose(rng, rng.randrange(30, 200), 3000).split()
+        k = rng.randrange(12)
+        if i % 3 == 0:
+            leak = items[k][1].split()
+            if i % 2:  # reworded: every eighth word replaced
+                leak = [w if n % 8 != 3 else "other" + str(n) for n, w in enumerate(leak)]
+            at = rng.randrange(len(words))
+            words[at:at] = leak
+            want.add((i, k))
+        elif i % 3 == 1:
+            words[5:5] = items[k][1].split()[:6]  # a short overlap is no leak
+        rows.append((i, " ".join(words), "a"))
+    rows.append((500, prose(rng, 70_000, 3000) + " " + items[3][1], "a"))  # at the end of a very long text
+    want.add((500, 3))
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    got = decontamination.leaks(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, rows), bench, item_block=5).collect()} == want
+    assert decontamination.leaks(frame(spark, rows), bench.limit(0)).collect() == []
+    assert decontamination.leaks(frame(spark, rows).limit(0), bench).collect() == []
+
+
+def test_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice([b"x", b"y", b"z"]) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+        assert decontamination.common_subsequence(decontamination._masks(a), len(a), b) == t[-1][-1]
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    parts = ["the", "word ", " ", "\n", "  ", "é", "<|endoftext|>", "12", "'s", "don't", "!!", "aaaa" * 30, ". ", "\t", "日本"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 900))) for _ in range(150)]
+    texts += [None, "", " ", "x" * 3000, "same", "same"]
+    for chunk in (200, 32_000):
+        got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, [(i, x, "a") for i, x in enumerate(texts)]), path, chunk_chars=chunk).collect()}
+        assert [got[i].n_tokens for i in range(len(texts))] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+        assert [got[i].n_bytes for i in range(len(texts))] == [len((x or "").encode()) for x in texts]
+
+
+def test_tool_calls(spark):
+    calls = [("c", "1", None, 0, "ask", '{"turn": 1, "query": "b\\"q"}'), ("c", "2", "1", 1, "ask", '{"query": 5, "turn": 2}'), ("c", "3", "2", 2, "other", "{}"), ("c", "4", "9", 3, "ask", "broken"), ("c", "5", "6", 4, "ask", None), ("c", "6", "5", 5, "ask", '{"query":"x","turn":1}'), ("c", "1", None, 9, "ask", "{}"), ("c", None, None, 0, "ask", "{}")]
+    results = [("1", 1, "r1"), ("1", 2, "again"), ("8", 1, "lost"), (None, 1, "none")]
+    c = spark.createDataFrame([(*x, "x") for x in calls], "conv_id string, call_id string, parent_id string, seq int, tool string, arguments string, depth string")
+    r = spark.createDataFrame([(*x, "x") for x in results], "call_id string, seq int, content string, tool string")
+    got = {x.call_id: x for x in tool_calls.link_calls(c, r).collect()}
+    assert {k: (x.depth, x.status, x.errors) for k, x in got.items()} == {
+        "1": (0, "linked", ""), "2": (1, "invalid", "type query"), "3": (2, "invalid", "tool"), "4": (0, "invalid", "json"), "5": (None, "cycle", "json"), "6": (None, "cycle", ""), "8": (None, "orphan", "")}
+    assert got["1"].message == '{"arguments":{"query":"b\\"q","turn":1},"call_id":"1","depth":0,"result":"r1","tool":"ask"}'
+    assert (got["1"].n_calls, got["1"].n_results) == (2, 2)
+    assert tool_calls.link_calls(c.limit(0), r.limit(0)).collect() == []
+    chain = spark.createDataFrame([(str(i), str(i - 1)) for i in range(300)], "call_id string, parent_id string")
+    assert {int(x.call_id): x.depth for x in tool_calls.depths(chain).collect()} == {i: i for i in range(300)}
+
+
+@pytest.mark.parametrize("run", [quality_rules.ledger, near_duplicates.near_duplicates, sharding.interleaved_shards, mixing.mix, suffix_dedup.remove_repeats])
+def test_empty_tables(spark, run):
+    assert run(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("key", sorted(registered.ORACLES))
+def test_queries_against_sql(spark, key):
+    con = duckdb.connect()
+    for name in os.listdir(DATA):
+        con.sql(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{DATA}/{name}'")
+    df = registered.QUERIES[key](spark, DATA)
+    want = con.sql(registered.ORACLES[key])
+    assert sorted(df.columns) == sorted(want.columns)
+    order = sorted(df.columns)
+    plain = lambda rows, columns: sorted(tuple(str(r[columns.index(c)]) for c in order) for r in rows)
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_pipeline_stages(spark):
+    """Each stage on its predecessor's rows: what must go goes, clean documents stay."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    kept = [docs]
+    for _, stage in pipeline.STAGES[:-1]:
+        out = pipeline.cut(stage(spark, kept[-1], DATA))
+        assert sorted(out.columns) == sorted(columns)
+        kept.append(out)
+    ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in kept]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    gone = ids[0] - ids[1]
+    assert sum(labels.get(i) == 1 for i in gone) <= 1 and not any(labels.get(i) == 0 for i in ids[1])
+    rows = [(r.doc_id, r.text, None) for r in kept[1].collect()]
+    assert ids[2] == {i for i, (_, _, keep) in brute_components(rows, 5).items() if keep}
+    assert ids[4] <= ids[3] <= ids[2]
+    final = pipeline.STAGES[-1][1](spark, kept[4], DATA)
+    assert final.count() == kept[4].count() and {"shard", "slot"} <= set(final.columns)
