@@ -130,7 +130,8 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold; only the texts of paired ids are hashed again."""
+    """The pairs (a, b) whose full shingle sets meet the threshold; only the texts of paired ids are hashed again. The ids
+    grow with the corpus, so they are never broadcast, whatever their size."""
 
     @F.pandas_udf("binary")
     def as_set(texts: pd.Series) -> pd.Series:
@@ -146,7 +147,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
         return pd.Series(out)
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = cut(texts.select("id", as_set("t").alias("set")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.where(meets("x", "y")).select("a", "b")
@@ -224,7 +225,7 @@ def _across(placed: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, flo
         return pd.Series([np.unique(short(shingles(t, width))).tobytes() for t in texts])
 
     reps = placed.select(F.col("rep").alias("id")).distinct()
-    sets = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(reps, "id", "left_semi").dropDuplicates(["id"])
+    sets = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(reps.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = cut(sets.select(F.col("id").alias("rep"), as_short_set("t").alias("set")).join(sigs, "rep"))
     sized = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = placed.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
