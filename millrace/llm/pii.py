@@ -245,8 +245,11 @@ def labelled_table(docs: DataFrame, rows: int = 600, text_col: str = "text") ->
             out.append(found)
         return pd.Series(out)
 
-    short = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) < 20_000)).select(F.col(text_col).alias("t"))
-    some = short.orderBy(F.xxhash64("t")).limit(rows)
+    t = F.col(text_col)
+    short = docs.where(t.rlike("[0-9@]") & (F.length(t) < 20_000)).select(F.xxhash64(t).alias("h"), t.alias("t"))
+    # hashes alone are ranked, and copies of a text are one: what meets in a task is bounded by ``rows``, texts included
+    last = short.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("last"))
+    some = short.join(F.broadcast(last), F.col("h") <= F.col("last")).groupBy("h").agg(F.any_value("t").alias("t"))
     return some.select(F.explode(label("t")).alias("r")).select("r.words", "r.tags")
 
 
