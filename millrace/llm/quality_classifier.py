@@ -119,24 +119,26 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[float, np.ndarray, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[float, np.ndarray, np.ndarray] | None:
     """The machine, learnt from at most ``sample_rows`` labelled rows that are not held out (a seeded order picks them)."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where(~held_out(F.col("__id")) & F.col("y").isNotNull() & F.col("__id").isNotNull())
     some = some.dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample_rows)
 
-    @F.pandas_udf("ids array<int>, x array<float>")
+    @F.pandas_udf("ids binary, x binary")
     def features(texts: pd.Series) -> pd.DataFrame:
         row, ids, x = featurise(list(texts))
         starts = np.searchsorted(row, np.arange(1, len(texts)))
-        return pd.DataFrame({"ids": np.split(ids.astype(np.int32), starts), "x": np.split(x.astype(np.float32), starts)})
+        parts = zip(np.split(ids.astype(np.int32), starts), np.split(x.astype(np.float32), starts))
+        return pd.DataFrame([(i.tobytes(), v.tobytes()) for i, v in parts], columns=["ids", "x"])
 
     # the sample is bounded by sample_rows, so it may be broadcast: texts stay where they are
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(some), "__id")
     got = found.select("__id", "y", features("t").alias("f")).select("__id", "y", "f.ids", "f.x").toPandas().sort_values("__id", kind="stable").drop_duplicates("__id")
     if got.empty:
         return None
-    row = np.repeat(np.arange(len(got)), got["ids"].map(len))
-    return train(row, np.concatenate(got["ids"].to_list()).astype(np.int64), np.concatenate(got["x"].to_list()).astype(float), got["y"].to_numpy(float))
+    row = np.repeat(np.arange(len(got), dtype=np.int32), got["ids"].map(len) // 4)
+    ids, x = np.frombuffer(b"".join(got["ids"]), np.int32), np.frombuffer(b"".join(got["x"]), np.float32)
+    return train(row, ids, x, got["y"].to_numpy(float))
 
 
 def scorer(model: tuple[float, np.ndarray, np.ndarray] | None):
