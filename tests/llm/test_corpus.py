@@ -283,6 +283,25 @@ def test_decontamination(spark):
     assert decontamination.leaks(frame(spark, rows).limit(0), bench).collect() == []
 
 
+def test_decontamination_finds_every_rewording(spark):
+    """Items of 15 to 59 words at every place in a block, with only the least accepted subsequence left, of common words."""
+    rng = random.Random(11)
+    mixed = lambda n: [f"com{rng.randrange(60)}" if rng.random() < 0.5 else f"rare{rng.randrange(10**6)}" for _ in range(n)]
+    items, rows, want = [], [], set()
+    for k, n in enumerate([15, 15, 17, 21, 31, 37, 59]):
+        said = max(3, n // 4)
+        keep = {*range(n - said, n), *rng.sample(range(n - said), -(-55 * n // 100) - said)}
+        words = [f"com{rng.randrange(60)}" if i in keep else f"rare{rng.randrange(10**6)}" for i in range(n)]
+        items.append((k, " ".join(words)))
+        for at in range(8):
+            leak = [w if i in keep else f"rare{rng.randrange(10**6)}" for i, w in enumerate(words)]
+            rows.append((100 * k + at, " ".join(mixed(40 + at) + leak + mixed(50)), "a"))
+            want.add((100 * k + at, k))
+    rows += [(i, " ".join(mixed(150)), "a") for i in range(2000, 2200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, rows), bench).collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
