@@ -302,6 +302,20 @@ def test_decontamination_finds_every_rewording(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, rows), bench).collect()} == want
 
 
+def test_decontamination_does_not_depend_on_the_rows_beside():
+    """A shortened rewording, alone and before other rows: the same hit with the same cosine."""
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(59)]
+    short = " ".join(item[10:12] + item[26:])
+    space = np.random.default_rng(2).normal(size=(decontamination.DIMS + 1, decontamination.RANK)).astype(np.float32)
+    space[-1] = 0
+    items = decontamination.Items([(7, " ".join(item))], space, np.zeros(decontamination.DIMS), 8, 0.55)
+    search = lambda texts: decontamination._search(texts, space, items, 0.75, 0.55, 0.8)
+    alone = search([short])
+    assert [h[0] for h in alone[0]] == [7]
+    assert search([short, prose(rng, 300, 3000), None, short]) == [alone[0], [], [], alone[0]]
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
