@@ -86,14 +86,58 @@ def bigram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-def near_texts(rows: DataFrame, key: str, text: str, bucket: list[str], threshold: float = 0.94) -> DataFrame:
-    """Pairs (a < b) of one bucket whose bigram cosine, or 0.9 x sequence ratio, reaches the threshold. Lengths prune first:
-    a bigram cosine of t bounds the ratio of lengths below by about t squared."""
-    r = rows.select(F.col(key).alias("a"), F.col(text).alias("x"), F.length(text).alias("lx"), *bucket)
-    s = rows.select(F.col(key).alias("b"), F.col(text).alias("y"), F.length(text).alias("ly"), *bucket)
-    pairs = r.join(s, bucket).where("a < b").where((F.least("lx", "ly") >= threshold**2 / 2 * F.greatest("lx", "ly")))
-    scored = pairs.withColumn("cosine", bigram_cosine("x", "y")).where(F.col("cosine") >= threshold * 0.8)
-    return scored.withColumn("similarity", F.greatest("cosine", 0.9 * sequence_ratio("x", "y"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+def near_texts(rows: DataFrame, key: str, text: str, bucket: list[str], threshold: float = 0.94, tile: int = 2048) -> DataFrame:
+    """Pairs (a < b) of one bucket whose bigram cosine, or 0.9 x sequence ratio, reaches the threshold. Every pair of a
+    bucket is compared: the bucket is dealt into tiles, each pair of tiles is one group and one block product of bigram
+    counts. Above a threshold of 0.9 the cosine alone decides; otherwise every pair's ratio is worked out."""
+    named = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("v"), *bucket)
+    sized = named.groupBy(*bucket).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = named.join(sized, bucket).withColumn("t", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("t")).alias("i"), F.greatest(t, F.col("t")).alias("j"))))
+    dealt = dealt.withColumn("p", spread).select(*bucket, "p.i", "p.j", "t", "k", "v")
+    kind = named.schema["k"].dataType.simpleString()
+    least = threshold if threshold > 0.9 else -1.0
+
+    def block(group: pd.DataFrame) -> pd.DataFrame:
+        places: dict[str, int] = {}
+        counts = [Counter(x[n : n + 2] for n in range(len(x) - 1)) or Counter([x]) for x in group["v"]]
+        at = np.fromiter((places.setdefault(g, len(places)) for c in counts for g in c), np.int64)
+        of = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        n = np.fromiter((v for c in counts for v in c.values()), np.float64)
+        square = np.bincount(of, n * n)
+        share = (n / np.sqrt(square)[of]).astype(np.float32)
+        i, j, t = group["i"].iat[0], group["j"].iat[0], group["t"].to_numpy()
+        left, right = np.flatnonzero(t == i), np.flatnonzero(t == j)
+        c = np.zeros((len(left), len(right)), np.float32)
+        row = np.empty(len(t), np.int64)
+        for low in range(0, len(places), 2048):  # so many bigrams at once: the memory doesn't grow with the alphabet
+            inside = (at >= low) & (at < low + 2048)
+
+            def part(side: np.ndarray) -> np.ndarray:
+                row[:] = -1
+                row[side] = np.arange(len(side))
+                mine = inside & (row[of] >= 0)
+                m = np.zeros((len(side), min(2048, len(places) - low)), np.float32)
+                m[row[of[mine]], at[mine] - low] = share[mine]
+                return m
+
+            m = part(left)
+            c += m @ (m if i == j else part(right)).T
+        p, q = np.nonzero(c >= least - 1e-3)
+        if i == j:
+            p, q = p[p < q], q[p < q]
+        a, b = left[p], right[q]
+        cosine = np.array([sum(v * counts[y][g] for g, v in counts[x].items()) / math.sqrt(square[x] * square[y]) for x, y in zip(a, b)], np.float64)
+        good = cosine >= least
+        a, b = a[good], b[good]
+        k, v = group["k"].tolist(), group["v"].tolist()
+        ordered = [(x, y) if k[x] < k[y] else (y, x) for x, y in zip(a, b)]
+        lists = {"a": [k[x] for x, _ in ordered], "b": [k[y] for _, y in ordered], "x": [v[x] for x, _ in ordered], "y": [v[y] for _, y in ordered]}
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in lists.items()} | {"cosine": cosine[good]})
+
+    pairs = dealt.groupBy(*bucket, "i", "j").applyInPandas(block, f"a {kind}, b {kind}, x string, y string, cosine double")
+    similarity = F.col("cosine") if threshold > 0.9 else F.greatest("cosine", 0.9 * sequence_ratio("x", "y"))
+    return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def near_vectors(rows: DataFrame, key: str, vector: str, bucket: str, threshold: float = 0.85, tile: int = 512) -> DataFrame:

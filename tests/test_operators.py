@@ -1,6 +1,9 @@
 """Operators that SQL can't check, against plain Python; boundaries and properties of others."""
 
+import collections
 import difflib
+import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -153,6 +156,30 @@ def test_sources_round_trip(spark, tmp_path):
     assert values(files.read_items(spark, str(tmp_path / "j"), "b1").select("item_id", "batch")) == [("7", "b1")]
 
 
+def plain_near(rows, threshold):
+    def one(x, y):
+        p, q = (collections.Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (x, y))
+        return sum(v * q[k] for k, v in p.items()) / math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
+
+    scored = {(*sorted((a, b)),): max(one(x, y), 0.9 * difflib.SequenceMatcher(None, *((x, y) if a < b else (y, x)), autojunk=False).ratio() if threshold <= 0.9 else 0) for (a, g, x), (b, h, y) in itertools.combinations(rows, 2) if g == h}
+    return {(a, b, round(v, 6)) for (a, b), v in scored.items() if v >= threshold}
+
+
+def test_near_texts_compares_all_pairs_of_a_bucket(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (38, 39, 79, 180, 700)]
+    rows = [(0, "x", "ab" * 10), (1, "x", "ab" * 40)]  # nearly one direction, far from one length
+    for i in range(2, 60):
+        t = rng.choice(base)
+        at = rng.randrange(len(t))
+        rows.append((i, rng.choice("xxy"), t[:at] + rng.choice(["", "q", "qr", "a" * 25]) + t[at:]))
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    for threshold, tile in ((0.94, 7), (0.94, 2048), (0.7, 7)):
+        got = {(a, b, round(v, 6)) for a, b, v in values(similar.near_texts(df, "id", "t", ["g"], threshold, tile))}
+        assert got == plain_near(rows, threshold)
+    assert any(len(rows[a][2]) // 20 != len(rows[b][2]) // 20 for a, b, _ in plain_near(rows, 0.94))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
