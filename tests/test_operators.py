@@ -4,14 +4,19 @@ import collections
 import difflib
 import itertools
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from millrace import plans
 from millrace.functions import parse, scores, text
 from millrace.operators import incremental, match, ranking, rules, similar, stats
 
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def values(df):
     return [tuple(r) for r in df.collect()]
 
@@ -180,6 +185,19 @@ def test_near_texts_compares_all_pairs_of_a_bucket(spark):
     assert any(len(rows[a][2]) // 20 != len(rows[b][2]) // 20 for a, b, _ in plain_near(rows, 0.94))
 
 
+def test_near_lines_of_whole_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "source", "text").collect()
+    least = {}
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        for n, line in enumerate(d.text.split("\n")):
+            if len(line) > 10:
+                least.setdefault((d.lang, d.source, line), f"{d.doc_id}:{n}")
+    rows = [(at, (g, h), line) for (g, h, line), at in least.items()]
+    want = plain_near(rows, 0.94)
+    assert any(not a.endswith(":0") for a, _, _ in want)
+    assert {tuple(r) for r in plans.QUERIES["C6"](spark, DATA).select("a", "b", "similarity").collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
