@@ -92,12 +92,8 @@ def j8(spark, sf_dir):
 
 @query("J9")
 def j9(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    a = part.where("p_partkey % 10 = 4").select(F.col("p_partkey").alias("a"), "p_brand", F.lower("p_name").alias("x"), F.lower("p_type").alias("tx"))
-    b = part.where("p_partkey % 10 <> 4").select(F.col("p_partkey").alias("b"), "p_brand", F.lower("p_name").alias("y"), F.lower("p_type").alias("ty"))
-    scored = a.join(b, "p_brand").withColumn("score", M.candidate_score(F.col("tx"), F.col("ty"), F.col("x"), F.col("y")))
-    best = scored.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("k"))).alias("m"))
-    return best.select("a", (-F.col("m.k")).alias("b"), F.round("m.score", 6).alias("score"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))
+    return M.best_candidates(part, "p_partkey", "p_brand", "type", "name").withColumn("score", F.round("score", 6))
 
 
 @query("J10")

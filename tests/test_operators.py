@@ -198,6 +198,30 @@ def test_near_lines_of_whole_documents(spark):
     assert {tuple(r) for r in plans.QUERIES["C6"](spark, DATA).select("a", "b", "similarity").collect()} == want
 
 
+def test_best_candidates_of_all_parts(spark):
+    def lifted(a, b, floor):
+        ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        return max(ratio, floor) if a in b or b in a else ratio
+
+    def plain(rows):
+        out = set()
+        for a, g, t, x in rows:
+            scored = [(0.4 * lifted(t, u, 0.95) + 0.6 * lifted(x, y, 0.92), -b) for b, h, u, y in rows if g == h and a != b]
+            if scored:
+                best = max(scored)
+                out.add((a, -best[1], round(best[0], 6)))
+        return out
+
+    parts = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    rows = [(p.p_partkey, p.p_brand, p.p_type.lower(), p.p_name.lower()) for p in parts]
+    assert {tuple(r) for r in plans.QUERIES["J9"](spark, DATA).select("a", "b", "score").collect()} == plain(rows)
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ggggh"), rng.choice(["ab", "abc", "x"]), rng.choice(["one", "one two", "two", "tow", "three"])) for i in range(80)] + [(90, "alone", "ab", "one"), (-3, "g", "x", "three")]
+    df = spark.createDataFrame(rows, "id long, g string, t string, x string")
+    got = {(a, b, round(v, 6)) for a, b, v in values(match.best_candidates(df, "id", "g", "t", "x").select("a", "b", "score"))}
+    assert got == plain(rows)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
