@@ -1,17 +1,21 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field over word-shape features that adds spans.
 
-The field is trained from a small labelled table of token sequences (``labelled_table``: windows around base spans of a
-bounded sample of documents, plus variants without country code and look-alikes that fail the patterns' checks). Words
-without a digit or ``@`` are fixed to the outside state, so a text falls into short runs of candidate words, which is what
-Viterbi decodes, in numpy batches of runs of like length: the result is the exact best path of the whole text.
-
-Edge cases: null and empty texts have no spans; texts are read whole; repeated rows are scanned one by one; an empty table
-gives no rows (and an untrained field adds nothing); extra columns are ignored.
+The field is trained from a small labelled table (``labelled_table``: synthetic lines with their spans, shipped as rules and
+a seed): what the base patterns can't say, that is secrets and keys (a fifth kind), phones without country code and
+spelled-out addresses, beside look-alikes without a span (versions, dates, prices, failing cards and addresses, tables of
+numbers). Words without a digit, ``@``, ``=`` or a long run of capitals, and not part of a spelled-out address, are fixed to
+the outside state, so a text falls into runs of candidate words; Viterbi decodes them in numpy batches of runs of like
+length, and a long run in slices with its scores carried over: the result is the exact best path of the whole text.
+
+Edge cases: null and empty texts have no spans; texts, words and runs of any length are read whole; repeated rows are
+scanned one by one; an empty table gives no rows; without labelled rows the field adds nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .base import read
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4  # the first kinds have base patterns
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -74,22 +79,33 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 # ------------------------------------------------------------------ the field
 #: States: outside, then begin and inside of each kind.
 STATES = 1 + 2 * len(KINDS)
-_CANDIDATE = re.compile(r"[0-9@]")
+_CANDIDATE = re.compile(r"[0-9@=]|[A-Z]{12}")
+_WORD = re.compile(r"[^\x20\x09-\x0D]*")
+_DOT = re.compile(r"(?<=[\x20\x09-\x0D])[\[(]?dot[\])]?(?=[\x20\x09-\x0D])", re.I)
+_AT = re.compile(r"[\[(]?at[\])]?", re.I)
 _SPACE = "\x20\t\n\x0b\x0c\r"
-MAX_RUN = 24
+_LONG = re.compile(r"[A-Za-z0-9+/_.-]{12,}")
+#: Words whose presence before or inside a candidate is a feature; others are known by their shape alone.
+CUES = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "auth", "bearer", "credential", "call", "phone", "tel", "fax", "mobile", "mail", "email", "contact", "version", "license", "page", "at", "dot", "com", "org", "net", "edu", "the", "of", "a")
+SLICE = 4096  # words of a run scored at once
 
 
 def shape(word: str) -> str:
     """A word's shape: letter runs as a or A, digits as 9 with run lengths up to 9, other characters as they are."""
-    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word[:200])
+    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word)
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 9)}", s)
 
 
-def features(words: list[str], i: int) -> list[str]:
-    """Word-shape features of one word of a candidate run."""
+def _cue(word: str) -> str:
+    core = re.sub(r"[^a-z]", "", word.lower())
+    return next((c for c in CUES if core == c or (len(c) > 3 and core.endswith(c))), "")
+
+
+def features(words: list[str], i: int, before: tuple[str, ...] = ()) -> list[str]:
+    """Word-shape features of one word of a candidate run. ``before``: the two words ahead of the run."""
     w = words[i]
-    digits = _digits(w)
-    out = [f"s={shape(w)}", f"p={shape(w)[:3]}", f"e={shape(w)[-3:]}", f"n={min(len(digits), 20)}", f"at={w.count('@') == 1}", f"dots={min(w.count('.'), 5)}", f"plus={w.startswith('+')}"]
+    digits, form = _digits(w), shape(w)
+    out = [f"s={form}", f"p={form[:3]}", f"e={form[-3:]}", f"n={min(len(digits), 20)}", f"at={w.count('@') == 1}", f"dots={min(w.count('.'), 5)}", f"plus={w.startswith('+')}"]
     if w.count("@") == 1:
         out.append(f"dot_after_at={'.' in w.split('@')[1].strip('.,;:')}")
     core = w.strip(".,;:()[]!?\"'|*%$#&")
@@ -97,71 +113,127 @@ def features(words: list[str], i: int) -> list[str]:
         out.append(f"octets={_octets(core)}")
     if 12 <= len(digits) <= 19 and re.fullmatch(r"[0-9-]+", core):
         out.append(f"luhn={luhn(digits)}")
-    for d, name in ((-1, "l"), (1, "r")):
-        out.append(f"{name}={shape(words[i + d])}" if 0 <= i + d < len(words) else f"{name}=")
+    name, sign, value = core.rpartition("=") if "=" in core else core.rpartition(":")
+    value = value.strip("\"'")
+    if sign:
+        out.append(f"name={_cue(name)}:{len(value) >= 8}")
+    if _LONG.fullmatch(value):
+        kind = "hex" if re.fullmatch(r"[0-9a-f]+", value) else "digits" if not re.search(r"[A-Za-z]", value) else "capitals" if re.fullmatch(r"[A-Z0-9]+", value) else "mixed"
+        turns = len(re.findall(r"[A-Za-z][0-9]|[0-9][A-Za-z]", value))
+        out += [f"long={kind}:{min(len(value) // 8, 5)}", f"turns={kind}:{min(turns, 6)}", f"head={value[:4] if value[:4] in ('AKIA', 'ASIA', 'ghp_', 'sk-l', 'xoxb') else ''}"]
+    ahead = [*before, *words[max(0, i - 2) : i]][-2:]
+    out += [f"c1={_cue(ahead[-1]) if ahead else ''}", f"c2={_cue(ahead[-2]) if len(ahead) > 1 else ''}:{(ahead[-1] in ('=', ':', 'is', 'to')) if ahead else ''}", f"own={_cue(w)}"]
+    for d, side in ((-1, "l"), (1, "r")):
+        out.append(f"{side}={shape(words[i + d])}" if 0 <= i + d < len(words) else f"{side}=")
     return out
 
 
-def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words with a digit or @, as (start, end) places; at most MAX_RUN words each."""
-    runs: list[list[tuple[int, int]]] = []
+def _places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidate words, in order."""
+    found: list[tuple[int, int]] = []
     end = -1
     for m in _CANDIDATE.finditer(text):
         if m.start() < end:
             continue
-        start, prior = m.start(), end
-        while start > max(prior, 0) and text[start - 1] not in _SPACE:
+        start = m.start()
+        while start > max(end, 0) and text[start - 1] not in _SPACE:
             start -= 1
-        w = re.compile(r"[^\x20\x09-\x0D]*").match(text, m.start())
-        end = w.end()
-        joined = runs and prior >= 0 and len(runs[-1]) < MAX_RUN and text[prior:start].strip(_SPACE) == ""
-        if joined:
+        end = _WORD.match(text, m.start()).end()
+        found.append((start, end))
+    spelled = set()
+    for m in _DOT.finditer(text):  # name at host dot name, each sign by itself
+        ahead = [x.span() for x in re.finditer(r"[^\x20\x09-\x0D]+", text[max(0, m.start() - 400) : m.start()])][-3:]
+        base = max(0, m.start() - 400)
+        after = re.compile(r"[^\x20\x09-\x0D]+").search(text, m.end())
+        if len(ahead) == 3 and after and _AT.fullmatch(text[base + ahead[1][0] : base + ahead[1][1]]):
+            spelled |= {*((base + x, base + y) for x, y in ahead), m.span(), after.span()}
+        elif after and len(ahead) and (base + ahead[-1][0], base + ahead[-1][1]) in spelled:
+            spelled |= {m.span(), after.span()}
+    return sorted({*found, *spelled}) if spelled else found
+
+
+def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of neighbouring candidate words, as (start, end) places."""
+    runs: list[list[tuple[int, int]]] = []
+    prior = -1
+    for start, end in _places(text):
+        if start < prior:  # part of the word before
+            continue
+        if prior >= 0 and text[prior:start].strip(_SPACE) == "":
             runs[-1].append((start, end))
         else:
             runs.append([(start, end)])
+        prior = end
     return runs
 
 
+def words_before(text: str, at: int) -> tuple[str, ...]:
+    """The two words ahead of a place, as far as 80 characters reach (they are context, never part of a span)."""
+    return tuple(text[max(0, at - 80) : at].split()[-2:])
+
+
 class Field:
     """Weights of the chain: emission rows by feature name, and transitions (with a start and an end row)."""
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, trans: np.ndarray) -> None:
         self.index, self.emit, self.trans = index, emit, trans
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), STATES))
-        for i in range(len(words)):
-            for f in features(words, i):
-                j = self.index.get(f)
-                if j is not None:
-                    out[i] += self.emit[j]
+    def scores(self, words: list[str], before: tuple[str, ...] = (), lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Emission scores of the words lo..hi of a run."""
+        hi = len(words) if hi is None else hi
+        out = np.zeros((hi - lo, STATES))
+        for i in range(lo, hi):
+            at = [j for f in features(words, i, before) if (j := self.index.get(f)) is not None]
+            if at:
+                out[i - lo] = self.emit[at].sum(0)
         return out
 
-    def decode(self, batch: list[list[str]]) -> list[np.ndarray]:
+    def decode_long(self, words: list[str], before: tuple[str, ...] = ()) -> np.ndarray:
+        """Viterbi of one run of any length: slices of emissions, the best scores carried from slice to slice."""
+        back = np.zeros((len(words), STATES), np.int8)
+        best = self.trans[STATES]
+        for lo in range(0, len(words), SLICE):
+            e = self.scores(words, before, lo, min(len(words), lo + SLICE))
+            for t in range(len(e)):
+                if lo + t:
+                    step = best[:, None] + self.trans[:STATES]
+                    back[lo + t] = step.argmax(0)
+                    best = step.max(0) + e[t]
+                else:
+                    best = best + e[0]
+        path = np.zeros(len(words), np.int64)
+        path[-1] = int((best + self.trans[STATES + 1]).argmax())
+        for t in range(len(words) - 1, 0, -1):
+            path[t - 1] = back[t, path[t]]
+        return path
+
+    def decode(self, batch: list[list[str]], before: list[tuple[str, ...]] | None = None) -> list[np.ndarray]:
         """Viterbi over a batch of runs at once: runs are padded to one length and masked."""
         if not batch:
             return []
+        before = before or [()] * len(batch)
         n, most = len(batch), max(map(len, batch))
+        if n == 1 or n * most > 64 * SLICE:
+            return [self.decode_long(*x) for x in zip(batch, before)]
         e = np.zeros((n, most, STATES))
         length = np.array([len(b) for b in batch])
         for k, words in enumerate(batch):
-            e[k, : len(words)] = self.scores(words)
+            e[k, : len(words)] = self.scores(words, before[k])
         best = e[:, 0] + self.trans[STATES][None]
-        back = np.zeros((n, most, STATES), np.int64)
+        back = np.zeros((n, most, STATES), np.int8)
         for t in range(1, most):
             step = best[:, :, None] + self.trans[None, :STATES]
             back[:, t] = step.argmax(1)
             live = (t < length)[:, None]
             best = np.where(live, step.max(1) + e[:, t], best)
         state = (best + self.trans[STATES + 1][None]).argmax(1)
-        paths = [np.zeros(x, np.int64) for x in length]
+        paths = np.zeros((n, most), np.int64)
         rows = np.arange(n)
         for t in range(most - 1, -1, -1):
-            for k in np.flatnonzero(t < length):
-                paths[k][t] = state[k]
+            paths[:, t] = state
             if t:
                 state = np.where(t < length, back[rows, t, state], state)
-        return paths
+        return [p[:m] for p, m in zip(paths, length)]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -169,12 +241,12 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(examples: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.3, penalty: float = 1e-3) -> Field:
+def train(examples: list[tuple[list[str], tuple[str, ...], list[int]]], rounds: int = 50, rate: float = 0.4, penalty: float = 1e-3) -> Field:
     """Maximum-likelihood weights by batch gradients (forward-backward over all runs of one length at once, AdaGrad)."""
     index: dict[str, int] = {}
     groups: dict[int, list] = {}
-    for words, tags in examples:
-        ids = [[index.setdefault(f, len(index)) for f in features(words, i)] for i in range(len(words))]
+    for words, before, tags in examples:
+        ids = [[index.setdefault(f, len(index)) for f in features(words, i, before)] for i in range(len(words))]
         groups.setdefault(len(words), []).append((ids, tags))
     emit, trans = np.zeros((max(len(index), 1), STATES)), np.zeros((STATES + 2, STATES))
     for s in range(STATES):  # inside follows its own begin or inside only; no run starts inside
@@ -227,33 +299,83 @@ def tag_run(text: str, run: list[tuple[int, int]], spans: list[tuple[int, int, i
     return [2 * ((t - 1) // 2) + 1 if t and t % 2 == 0 and (i == 0 or (tags[i - 1] + 1) // 2 != t // 2) else t for i, t in enumerate(tags)]
 
 
-def labelled_table(docs: DataFrame, rows: int = 600, text_col: str = "text") -> DataFrame:
-    """A bounded labelled table (``words array<string>, tags array<int>``): the candidate runs of up to ``rows`` documents."""
-
-    @F.pandas_udf("array<struct<words:array<string>,tags:array<int>>>")
-    def label(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            spans = base_spans(text)
-            found = []
-            for run in candidate_runs(text)[:50]:
-                words = [text[a:b] for a, b in run]
-                tags = tag_run(text, run, spans)
-                found.append({"words": words, "tags": tags})
-                if tags[0] == 7 and len(tags) > 1 and words[0].startswith("+") and tags[1] == 8:  # the same phone without its country code
-                    found.append({"words": words[1:], "tags": [7, *tags[2:]]})
-            out.append(found)
-        return pd.Series(out)
-
-    t = F.col(text_col)
-    short = docs.where(t.rlike("[0-9@]") & (F.length(t) < 20_000)).select(F.xxhash64(t).alias("h"), t.alias("t"))
-    # hashes alone are ranked, and copies of a text are one: what meets in a task is bounded by ``rows``, texts included
-    last = short.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("last"))
-    some = short.join(F.broadcast(last), F.col("h") <= F.col("last")).groupBy("h").agg(F.any_value("t").alias("t"))
-    return some.select(F.explode(label("t")).alias("r")).select("r.words", "r.tags")
-
-
-def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+def _row(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A synthetic line and its spans (start, kind, end)."""
+    pick = rng.choice
+    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
+    chars = lambda n, of: "".join(pick(of) for _ in range(n))
+    hexa, mixed, capitals = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: chars(rng.randint(2, 9), "etaoinshrdlucmfwypvbgk")
+    prose = lambda n: " ".join(word() for _ in range(n))
+
+    def secret() -> tuple[str, str, str]:
+        name = pick(["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token", "pwd", "client_secret", "key", "credential"])
+        name = pick([name, name.upper(), name.capitalize()])
+        value = pick([chars(pick([16, 18, 20, 24, 32, 40, 64]), hexa), chars(rng.randint(16, 44), mixed), chars(20, capitals)])
+        return pick([
+            (f'{name} = "', value, '"'), (f"{name}=", value, ""), (f"{name}: ", value, ""), (f"{name}='", value, "'"), (f"{name} is ", value, pick(["", "."])), ("Bearer ", value, ""),
+            ("", "AKIA" + chars(16, capitals), pick(["", "."])), ("", "ghp_" + chars(36, mixed), ""), ("", "sk-live" + chars(32, mixed), ""),
+        ])
+
+    def phone() -> tuple[str, str, str]:
+        a, b, c = digits(3), digits(3), digits(4)
+        lead = pick(["", "", "call ", "phone ", "tel: ", "fax ", "mobile: "])
+        return lead, pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+44 {digits(2)} {c} {c}", f"00{digits(2)} {a} {digits(6)}"]), pick(["", ".", ","])
+
+    def address() -> tuple[str, str, str]:
+        at, dot = pick([("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]"), ("AT", "DOT")])
+        plain = f"{word()}{pick(['', '.', digits(2)])}{word()}@{word()}.{pick(['com', 'org', 'example.com'])}"
+        return pick(["", "mail ", "contact "]), pick([plain, f"{word()} {at} {word()} {dot} {pick(['com', 'org', 'net'])}"]), pick(["", "."])
+
+    def card() -> tuple[str, str, str]:
+        d = digits(15)
+        d += next(x for x in "0123456789" if luhn(d + x))
+        return "", pick([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}"]), ""
+
+    def other() -> str:
+        n, d = rng.randint(1, 2030), digits(16)
+        if luhn(d):
+            d = d[:-1] + str((int(d[-1]) + 1) % 10)
+        return pick([
+            f"version {n % 20}.", f"v{n % 9}.{n % 7}.{n % 5}", f"CC BY-NC {n % 5}.0.", f"version {n % 9}.{n % 9}", f"in {1900 + n % 130},", f"{1900 + n % 99}-{1950 + n % 99}", f"2024-0{1 + n % 9}-1{n % 9}", f"1{n % 9}/05/2021", f"{n % 24}:{10 + n % 50}", f"${n}.50", f"{1 + n % 9},{100 + n % 900},{100 + n % 900}",
+            f"page {n % 400}", f"({n % 30})", d, f"{300 + n % 600}.{n % 999}.{n}.{n % 300}", f"commit {chars(7, hexa)}", word() + digits(rng.randint(1, 3)), " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 16))), " ".join(digits(4) for _ in range(rng.randint(5, 16))), f"{word()}@{word()}", f"@{word()}{n % 100}", f"https://www.{word()}.com/{word()}{n}?id={n % 99}",
+            f"{word()} at {word()} {word()}", f"dot {word()}", f"{word()} dot {word()}", f"{word()} at {pick(['the', 'a'])} dot {pick(['of', 'in', word()])} {word()}", f"{word()} at {word()} dot {pick(['of', word()])} {word()}", f"at the {word()} dot {word()}", f"a={n % 9} b={n}", f"x = {n}", f"{word()}={word()}", f"token {n % 500}", f"key {n % 12}", f"secret {word()}", f"password {word()}", f"{n % 100}%", f"<|{word()}|>", f"No. {n}", f"{n}th", f"{word()}-{n % 99}", chars(rng.randint(12, 16), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        ])
+
+    text, spans = pick([prose(rng.randint(1, 4)), prose(2), " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(1, 5)))]), []
+    for _ in range(rng.randint(1, 3)):
+        kind = pick([0, 1, 2, 3, 3, 4, 4, 4, None, None, None, None, None])
+        lead, value, tail = ("", other(), "") if kind is None else [address, lambda: ("", ".".join(str(rng.randrange(256)) for _ in range(4)), pick(["", ".", ","])), card, phone, secret][kind]()
+        if kind is not None:
+            at = len(text) + 1 + len(lead)
+            spans.append((at, kind, at + len(value)))
+        near = prose(rng.randint(1, 3)) if kind != BASE or rng.random() < 0.7 else " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(1, 9)))
+        text += f" {lead}{value}{tail} {near}"
+    return text, spans
+
+
+def labelled_rows(rows: int = 1_200, seed: int = 17) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """``rows`` synthetic lines with their spans; the same for the same seed."""
+    rng = random.Random(seed)
+    return [_row(rng) for _ in range(rows)]
+
+
+def labelled_table(spark: SparkSession, rows: int = 1_200, seed: int = 17) -> DataFrame:
+    """The small labelled table ``text string, spans array<struct<a:int,kind:int,b:int>>``."""
+    return spark.createDataFrame(labelled_rows(rows, seed), "text string, spans array<struct<a:int,kind:int,b:int>>")
+
+
+def examples_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[str], tuple[str, ...], list[int]]]:
+    """The candidate runs of a labelled line, with the words before each and the states of its words. Internet addresses and
+    cards are what their base patterns and checks say, no more, so the field learns them as outside."""
+    spans = [x for x in spans if x[1] not in (1, 2)]
+    return [([text[a:b] for a, b in run], words_before(text, run[0][0]), tag_run(text, run, spans)) for run in candidate_runs(text)]
+
+
+def _trimmed(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    if BASE == kind:  # the value of name=value, without quotes
+        m = re.search(r"^[\"'({\[]*[A-Za-z_][A-Za-z_.-]*[\"']?[=:](?=.)", text[a:b])
+        a += m.end() if m else 0
     while a < b and not (text[a].isalnum() or text[a] in "+("):
         a += 1
     while a < b and not (text[b - 1].isalnum() or text[b - 1] == ")"):
@@ -261,25 +383,61 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _holds(kind: int, value: str) -> bool:
+    """What any span of a kind must be, however it was found."""
+    digits = _digits(value)
+    if kind == 0:
+        return "@" in value or bool(re.search(r"\bat\b.*\bdot\b", value, re.I | re.S))
+    if kind == 1:
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value)) and _octets(value)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15 if kind == 3 else len(value) >= 8
+
+
 def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text. Spans that the field adds never touch a base span."""
     bases = [base_spans(t) if t else [] for t in texts]
     added: list[list] = [[] for _ in texts]
+    merged: dict[int, tuple[list[int], list[int]]] = {}
+
+    def covered(k: int, a: int, b: int) -> bool:
+        if k not in merged:  # base spans as disjoint stretches
+            starts: list[int] = []
+            ends: list[int] = []
+            for s, _, e in bases[k]:
+                if ends and s <= ends[-1]:
+                    ends[-1] = max(ends[-1], e)
+                else:
+                    starts.append(s)
+                    ends.append(e)
+            merged[k] = starts, ends
+        starts, ends = merged[k]
+        i = bisect.bisect_right(ends, a)
+        return i < len(starts) and starts[i] < b
+
     if field is not None and len(field.index):
         runs = [(k, run) for k, t in enumerate(texts) if t for run in candidate_runs(t)]
         runs.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(runs), 512):
+        at = 0
+        while at < len(runs):
             part = runs[at : at + 512]
-            for (k, run), path in zip(part, field.decode([[texts[k][a:b] for a, b in r] for k, r in part])):
+            while len(part) > 1 and len(part) * len(part[-1][1]) > 16 * SLICE:
+                part = part[: len(part) // 2]
+            at += len(part)
+            paths = field.decode([[texts[k][a:b] for a, b in r] for k, r in part], [words_before(texts[k], r[0][0]) for k, r in part])
+            for (k, run), path in zip(part, paths):
+                path = path.tolist()
                 i = 0
                 while i < len(path):
                     if path[i] % 2 == 1:
                         j = i + 1
                         while j < len(path) and path[j] == path[i] + 1:
                             j += 1
-                        a, b = _trimmed(texts[k], run[i][0], run[j - 1][1])
-                        if a < b and all(b <= s or e <= a for s, _, e in bases[k]):
-                            added[k].append((a, int(path[i]) // 2, b))
+                        kind = path[i] // 2
+                        a, b = _trimmed(texts[k], kind, run[i][0], run[j - 1][1])
+                        if a < b and _holds(kind, texts[k][a:b]) and not covered(k, a, b):
+                            added[k].append((a, kind, b))
                         i = j
                     else:
                         i += 1
@@ -288,26 +446,26 @@ def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list,
 
 def pii_spans(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, digest of the base spans and all spans of every row. ``labelled`` is small and bounded (a parameter)."""
-    examples = [(list(r.words), list(r.tags)) for r in labelled.collect()]
+    examples = [x for r in labelled.collect() for x in examples_of(r.text, [tuple(s) for s in r.spans])]
     field = train(examples) if examples else None
+    columns = [f"n_{k}" for k in KINDS[:BASE]]
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in columns) + ", base_sha256 string, spans string, n_spans long, n_added long, n_secret long")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             texts = list(texts)
             for at in range(0, len(texts), 1000):
                 for base, every in find_spans(texts[at : at + 1000], field):
-                    kinds = [sum(k == i for _, k, _ in base) for i in range(4)]
-                    rows.append((*kinds, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every), len(every) - len(base)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                    kinds = [sum(k == i for _, k, _ in base) for i in range(BASE)]
+                    rows.append((*kinds, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every), len(every), len(every) - len(base), sum(k == BASE for _, k, _ in every)))
+            yield pd.DataFrame(rows, columns=[*columns, "base_sha256", "spans", "n_spans", "n_added", "n_secret"])
 
     return docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col)).alias("r")).select("doc_id", "r.*")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return pii_spans(docs, labelled_table(docs))
+    return pii_spans(read(spark, sf_dir, "documents"), labelled_table(spark))
 
 
 QUERIES = {"op3_pii": op3_pii}
