@@ -1,14 +1,20 @@
 """Near duplicates by b-bit MinHash: bands of minima give candidates, packed low bits of the minima estimate their
 similarity (corrected for chance agreement), and full shingle sets confirm every link.
 
-Equal sets are one class from the start. In a band's bucket each class is first compared with the bucket's smallest class
-only; components then join what is linked, and only classes of one bucket that are still in different components are
-compared further: in tiles, by bit counts over the packed signatures, so a large group of copies costs no pairs within
-itself. Rounds of this end when no bucket holds an unchecked pair across components: components are those of all links
-that share a band. A pair at the threshold shares one of the 32 bands of 4 minima but for odds of 5e-8.
+Equal sets are one class from the start, named by a 64-bit digest of the set. In a band's bucket each class is first
+compared with the bucket's smallest class only, its hub; what that links is joined in a few rounds, and classes of one
+bucket that are still apart are compared in tiles, by bit counts over the packed signatures alone. Pairs whose estimate is
+close enough are confirmed in groups around their first class: its set is sent once to each group, however many partners it
+has, and large groups are split. A last run of rounds gives the components of all links: those that share a band. A pair at
+the threshold shares one of the 32 bands of 4 minima but for odds of 5e-8.
+
+Rows are what is compared: a row's key is a hash of id and text, so two texts of one id are two documents, each with its own
+component, and the smallest id of a component names it.
 
 Edge cases: null, empty and wordless texts have no shingles and are linked with nothing; fewer words than the width give
-one shingle; repeated rows (equal ids) have one class; an empty table gives no rows; extra columns are ignored.
+one shingle; repeated rows are in one component and are all ``kept`` if theirs is the smallest id (``one_of_each`` leaves one
+row); rows with a null id are linked like others, but never name a component that has an id, and are kept only where no
+row of the component has one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import cut, read
@@ -26,7 +32,8 @@ from .base import cut, read
 BANDS, ROWS, LOW_BITS = 32, 4, 2
 HASHES = BANDS * ROWS
 WORDS = HASHES * LOW_BITS // 64  # 64-bit words of a packed signature
-TILE = 4096
+TILE = 1024  # classes
+GROUP = 500  # pairs of one class that are confirmed together
 _rng = np.random.default_rng(20240601)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -68,14 +75,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(key)
 
 
-def short(s: np.ndarray) -> np.ndarray:
-    """32-bit fingerprints of shingle hashes."""
-    return (s >> np.uint64(32)).astype(np.uint32)
-
-
 def minima(s: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions (multiply-add of 32 bits) over the set."""
-    x = short(s)
+    x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), _PART):
         part = x[a : a + _PART, None]
@@ -108,56 +110,64 @@ def _band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, set_key, bands, sig`` of each row."""
+    """``id, row_key, n_shingles, cls, bands, sig`` of each row; ``cls`` names its shingle set and is null for none."""
 
-    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
+    @F.pandas_udf("n_shingles long, cls long, bands array<long>, sig binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
                 s = shingles(text, width)
                 if len(s):
-                    m, raw = minima(s), xxhash.xxh3_128_digest(s.tobytes())
-                    a, b = np.frombuffer(raw, np.int64)
-                    rows.append((len(s), int(a), int(b), _band_keys(m), packed(m).tobytes()))
+                    m = minima(s)
+                    rows.append((len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), _band_keys(m), packed(m).tobytes()))
                 else:
-                    rows.append((0, None, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "sig"])
-            yield out.astype({"set_a": "Int64", "set_b": "Int64"})
+                    rows.append((0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "cls", "bands", "sig"]).astype({"cls": "Int64"})
 
-    return docs.select(F.col(id_col).alias("id"), sign(F.col(text_col)).alias("s")).select("id", "s.*")
+    return docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), sign(F.col(text_col)).alias("s")).select("id", "row_key", "s.*")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold; only the texts of paired ids are hashed again. The ids
-    grow with the corpus, so they are never broadcast, whatever their size."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets meet the threshold. Pairs are grouped by ``a``, in parts of about GROUP: its
+    set is sent once to each part, every partner's set once to its pair, so no set is copied along with a popular key."""
+    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    heads = sized.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
+    others = pairs.join(sized, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    dealt = heads.union(others).join(sets, "cls").select("a", "part", "b", "set").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
 
-    @F.pandas_udf("binary")
-    def as_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in texts])
-
-    @F.pandas_udf("boolean")
-    def meets(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out)
-
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(texts.select("id", as_set("t").alias("set")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(meets("x", "y")).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``id, comp`` for every id in the links (a, b): the smallest id reachable, by alternating large and small stars."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = np.zeros(0, np.uint64)  # the set of the group that is read, which may go on in the next batch
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            a, b, sets_ = batch["a"].to_numpy(), batch["b"].to_numpy(), [np.frombuffer(x, np.uint64) for x in batch["set"]]
+            first = np.flatnonzero(a == b)
+            for lo, hi in zip([0, *first.tolist()], [*first.tolist(), len(batch)]):
+                if lo in first:
+                    head, lo = sets_[lo], lo + 1
+                if lo < hi:
+                    size = np.array([len(x) for x in sets_[lo:hi]])
+                    flat = np.concatenate(sets_[lo:hi])
+                    at = np.minimum(np.searchsorted(head, flat), len(head) - 1)
+                    both = np.add.reduceat((head[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
+                    good = 100 * both >= percent * (size + len(head) - both)
+                    found += [(int(a[lo]), int(x)) for x in b[lo:hi][good]]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.mapInPandas(compare, "a long, b long")
+
+
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``id, comp`` for every id in the links (a, b): the smallest id reachable, by alternating large and small stars. With
+    ``rounds``, what so many rounds join: ids with one ``comp`` are linked, but not all that are linked have one."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    before, done = None, 0
+    while rounds is None or done < rounds:
         # large star: the larger neighbours of every node point to its smallest neighbour
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -166,42 +176,75 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        done += 1
+        if rounds is None:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: float = 0.22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept`` of every row. ``slack`` is how far below the threshold an estimate may lie
-    and still be confirmed on the full sets (five standard errors)."""
+    """``id, row_key, n_shingles, component, component_id, kept`` of every row. ``slack`` is how far below the threshold an
+    estimate may lie and still be confirmed on the full sets (five standard errors)."""
     floor = percent / 100 - slack
     rows = cut(signatures(docs, width, id_col, text_col))
-    classes = cut(rows.where("set_a IS NOT NULL AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig")))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("key", "rep")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    members = cut(banded.join(shared, "key").select("key", "hub", "rep"))  # classes that share a band with another
-    sigs = classes.select("rep", "sig")
-    close = _close(floor)
-
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(close("sa", "sb")).select("a", "b")
-    stars = cut(stars)
-    links = cut(confirmed(stars, docs, width, percent, id_col, text_col))
-    comp = components(links)
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"), F.min("row_key").alias("at"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = cut(classes)
+    sigs = classes.select("cls", "size", "sig")
+    banded = classes.select("cls", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1")
+    members = cut(banded.join(shared, "key").select("key", "hub", "cls"))  # classes that share a band with another
+
+    @F.pandas_udf("binary")
+    def as_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width).tobytes() for t in texts])
 
-    # classes across components within a bucket: buckets with one component left are done
-    placed = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = cut(placed.join(mixed, "key").select("key", "rep", "comp"))
-    more = cut(_across(placed, sigs, docs, width, floor, percent, id_col, text_col))
-    links = links.union(confirmed(more, docs, width, percent, id_col, text_col))
+    # the texts move once; copies of a row meet map-side, and of a class only one row is wanted
+    texts = docs.select(row_key(id_col, text_col).alias("at"), F.col(text_col).alias("t")).groupBy("at").agg(F.first("t").alias("t"))
+    wanted = classes.select("cls", "at").join(members.select("cls").distinct(), "cls", "left_semi")
+    sets = cut(texts.join(wanted.hint("merge"), "at").select("cls", as_set("t").alias("set")))  # as many as the corpus has: never broadcast
+
+    stars = members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = stars.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b").where(_alike("na", "nb", percent) & _close(floor)("sa", "sb")).select("a", "b")
+    links = cut(confirmed(cut(stars), sets, percent))
+    comp = components(links, rounds=2)
+
+    # classes of a bucket that are still apart
+    placed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
+    more = cut(_across(placed.join(mixed, "key"), sigs, floor, percent))
+    links = links.union(confirmed(more, sets, percent))
     comp = components(links)
 
-    reps = classes.select("set_a", "set_b", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    out = rows.select("id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left").withColumn("component_id", F.coalesce("comp", "id"))
-    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = classes.select("cls", "least").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    place = named.join(least, "comp").select("cls", F.col("comp").alias("component"), "component_id")
+    out = rows.select("id", "row_key", "n_shingles", "cls").join(place, "cls", "left")
+    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    return out.select("id", "row_key", "n_shingles", "component", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of every component: of the smallest id (nulls last), then of the smallest row key;
+    among rows equal in both, the one whose columns hash lowest."""
+    rows = cut(near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).where("component IS NOT NULL").groupBy("component", "row_key").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("best"), F.sum("n").alias("total")).where("total > 1")
+    marked = rows.join(best, "component").select(F.col("row_key").alias("__key"), (F.col("row_key") == F.col("best.row_key")).alias("__best"), "n").where("NOT __best OR n > 1").drop("n")
+    marked = cut(marked)
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    if marked.where("__best").isEmpty():
+        return keyed.join(marked, "__key", "left_anti").select(docs.columns)
+    joined = keyed.join(marked, "__key", "left")
+    whole = F.struct(*docs.columns)
+    single = joined.where("__best").groupBy("__key").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return joined.where("__best IS NULL").select(docs.columns).union(single)
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can meet the threshold at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _close(floor: float):
@@ -215,33 +258,21 @@ def _close(floor: float):
     return close
 
 
-def _across(placed: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, floor: float, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a < b) of one bucket in different components whose fingerprints come within one percent of the threshold. A
-    bucket is dealt into tiles of about TILE classes, and each pair of tiles is one group: signatures are compared by bit
-    counts, and those that are close enough by their sets, which come along. Pairs that fail never leave the task."""
-
-    @F.pandas_udf("binary")
-    def as_short_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(short(shingles(t, width))).tobytes() for t in texts])
-
-    reps = placed.select(F.col("rep").alias("id")).distinct()
-    sets = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(reps.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(sets.select(F.col("id").alias("rep"), as_short_set("t").alias("set")).join(sigs, "rep"))
-    sized = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = placed.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+def _across(placed: DataFrame, sigs: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Pairs (a < b) of one bucket (``key, cls, comp, tiles``) in different components whose estimate comes near the
+    threshold. A bucket is dealt into tiles of about TILE classes, and each pair of tiles is one group of signatures."""
+    dealt = placed.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
-    dealt = dealt.withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "rep", "comp").join(sets, "rep")
+    dealt = dealt.join(sigs, "cls").withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "cls", "comp", "size", "sig")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInPandas(_compare(floor, percent), "a long, b long").distinct()
 
 
-def _compare(floor: float, percent: int, block_rows: int = 8_000, most_pairs: int = 400_000):
+def _compare(floor: float, percent: int, block_rows: int = 20_000, most_pairs: int = 400_000):
     def run(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """All groups of a block: the pairs of small groups are laid out together."""
-        comp, tile, rep = df["comp"].to_numpy(), df["tile"].to_numpy(), df["rep"].to_numpy()
+        comp, tile, cls, size = (df[c].to_numpy() for c in ("comp", "tile", "cls", "size"))
         sig = np.frombuffer(b"".join(df["sig"]), np.uint64).reshape(-1, WORDS)
-        sets = df["set"].tolist()
-        size = np.array([len(x) // 4 for x in sets])
         cross = (df["i"] != df["j"]).to_numpy()
         keys = df[["key", "i", "j"]].to_numpy()
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(df)]
@@ -252,20 +283,13 @@ def _compare(floor: float, percent: int, block_rows: int = 8_000, most_pairs: in
         def flush() -> pd.DataFrame:
             x, y = np.concatenate(left), np.concatenate(right)
             good = (comp[x] != comp[y]) & (~cross[x] | (tile[x] != tile[y]))
-            good &= 100 * np.minimum(size[x], size[y]) >= (percent - 1) * np.maximum(size[x], size[y])
+            good &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
             x, y = x[good], y[good]
             good = agreement(sig[x], sig[y]) >= floor
-            found = []
-            for p, q in zip(x[good].tolist(), y[good].tolist()):
-                a, b = np.frombuffer(sets[p], np.uint32), np.frombuffer(sets[q], np.uint32)
-                both = np.concatenate([a, b])
-                both.sort()
-                both = int((both[1:] == both[:-1]).sum())
-                if 100 * both >= (percent - 1) * (len(a) + len(b) - both):
-                    found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
+            p, q = cls[x[good]], cls[y[good]]
             left.clear()
             right.clear()
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if comp[s:e].min() == comp[s:e].max():
@@ -320,7 +344,7 @@ def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(read(spark, sf_dir, "documents"), width=4)
-    return rows.withColumnRenamed("id", "doc_id")
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op8_near_duplicates": op8_near_duplicates}
