@@ -21,15 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id."""
-    classes = near_duplicates.near_duplicates(docs, width=5, percent=80)
-    gone = classes.where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return near_duplicates.one_of_each(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that quote or reword a benchmark item go."""
-    columns = decontamination.leak_columns(docs, read(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(F.concat(*columns)) == 0) if columns else docs
+    return decontamination.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
