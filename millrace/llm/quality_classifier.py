@@ -5,7 +5,8 @@ features in time linear in the features, by the sum-of-squares identity. Feature
 on the executors; only the features of a bounded sample of labelled rows (``sample_rows``) reach the trainer.
 
 Edge cases: null and empty texts have the bias and structure features alone and get a score like any other; a null id is
-never held out; repeated rows get equal scores; without any labelled row every score is 0.5; an empty table gives no rows;
+never held out; repeated rows get equal scores; an id with contradictory labels teaches nothing, and of several texts of
+one labelled id the one with the least hash does, so reruns agree; without any labelled row every score is 0.5; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -122,7 +123,7 @@ def held_out(id_: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[float, np.ndarray, np.ndarray] | None:
     """The machine, learnt from at most ``sample_rows`` labelled rows that are not held out (a seeded order picks them)."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where(~held_out(F.col("__id")) & F.col("y").isNotNull() & F.col("__id").isNotNull())
-    some = some.dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample_rows)
+    some = some.groupBy("__id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most").orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample_rows)
 
     @F.pandas_udf("ids binary, x binary")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, id_col: st
 
     # the sample is bounded by sample_rows, so it may be broadcast: texts stay where they are
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(some), "__id")
-    got = found.select("__id", "y", features("t").alias("f")).select("__id", "y", "f.ids", "f.x").toPandas().sort_values("__id", kind="stable").drop_duplicates("__id")
+    got = found.select("__id", "y", F.xxhash64("t").alias("h"), features("t").alias("f")).select("__id", "y", "h", "f.ids", "f.x").toPandas().sort_values(["__id", "h"], kind="stable").drop_duplicates("__id")
     if got.empty:
         return None
     row = np.repeat(np.arange(len(got), dtype=np.int32), got["ids"].map(len) // 4)
