@@ -197,22 +197,49 @@ def test_mixing(spark, corpus):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
 
 
-def test_sharding(spark, corpus):
-    got = sharding.interleaved_shards(frame(spark, corpus), shards=5, rows_per_bucket=10).collect()
-    assert len(got) == len(corpus)
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    """Sources of equal rows come within a document of their targets, as others do, and no row goes beyond two copies."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20), "a") for i in range(300)] + [(i, prose(rng, 20), "b") for i in range(300, 600)] + [(None, prose(rng, 20), "c") for _ in range(150)]
+    rows += [(None, "one text of these words all equal in every row it has so here are its last twenty words by now", "c")] * 2300 + [(7, "tied " * 20, "d")] * 301
+    df = frame(spark, rows)
+    p = {r["__plan_source"]: r.target for r in mixing.plan(mixing._ranked(df, 11, mixing.length_odds, "doc_id", "text", "source", [])).collect()}
+    mixed = mixing.mix(df).collect()
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r.source] += len(r.text.split())
+    assert set(p) == set("abcd") and all(abs(taken[s] - p[s]) <= 20 for s in p), (taken, p)
+    have, got = collections.Counter((i, t, s) for i, t, s in rows), collections.Counter((r.doc_id, r.text, r.source) for r in mixed)
+    assert all(got[x] <= 2 * have[x] for x in got)
+    assert collections.Counter(map(str, mixing.mix(df.repartition(7)).collect())) == collections.Counter(map(str, mixed))
+
+
+def test_sharding(spark, odd_corpus):
+    """Slots, sizes and the mixture; the order is that of the fractional ranks."""
+    got = sharding.interleaved_shards(frame(spark, odd_corpus), shards=5, rows_per_bucket=10).collect()
+    text = lambda t: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert collections.Counter((r.doc_id, r.source, r["size"], r.text_crc32) for r in got) == collections.Counter((i, s, *text(t)) for i, t, s in odd_corpus)
     by = collections.defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
-        t = next(t for i, t, _ in corpus if i == r.doc_id)
-        assert r.text_crc32 == zlib.crc32((t or "").encode()) and r["size"] == len((t or "").encode()) + 8
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     n = sorted(map(len, by.values()))
     assert n[-1] - n[0] <= 1 and len(by) == 5
-    total = collections.Counter(s for _, _, s in corpus)
-    for k in by:
+    total = collections.Counter(s for _, _, s in odd_corpus)
+    for k in by:  # a run of the interleaving holds its share of each source but for one row at either end
         own = collections.Counter(r.source for r in got if r.shard == k)
-        assert all(abs(own[s] - total[s] / 5) <= len(total) for s in total)  # every shard holds the mixture
-    assert sharding.interleaved_shards(frame(spark, corpus[:2]), shards=5).count() == 2  # fewer rows than shards
+        assert all(abs(own[s] - total[s] * len(by[k]) / len(odd_corpus)) <= 2 for s in total)
+    # by hand: ranks inside a source by hash, fractional ranks over all, cut into equal runs
+    hashed = spark.createDataFrame([(r.doc_id, r.text_crc32, r.tie) for r in got], "i long, c long, t long").select("*", F.xxhash64(F.lit(7), "i", "c", "t").bitwiseAND(F.lit((1 << 52) - 1)).alias("u"))
+    u = {(r.i, r.c, r.t): r.u for r in hashed.collect()}
+    key = lambda r: u[r.doc_id, r.text_crc32, r.tie]
+    order = []
+    for s in total:
+        rows = sorted((r for r in got if r.source == s), key=key)
+        order += [((k + 0.5) / len(rows), "t" if s is None else "s" + s, key(r), r) for k, r in enumerate(rows)]
+    order = [x[3] for x in sorted(order, key=lambda x: x[:3])]
+    assert [(r.shard, r.slot) for r in order] == sorted((r.shard, r.slot) for r in got)
+    assert sharding.interleaved_shards(frame(spark, odd_corpus[:2]), shards=5).count() == 2  # fewer rows than shards
 
 
 def test_pii_base_spans_against_patterns():
@@ -316,6 +343,12 @@ def test_classifier_held_out_accuracy(spark):
     assert sum((got[i] >= 0.5) == (q == 1) for i, q in held) / len(held) > 0.97
     assert quality_classifier.fit(docs, marks.limit(0)) is None
     assert {r.s for r in docs.select(quality_classifier.scorer(None)("text").alias("s")).collect()} == {0.5}
+    assert docs.limit(0).select(score("text").alias("s")).collect() == [] and quality_classifier.fit(docs.limit(0), marks) is None
+    # contradictory labels teach nothing, and of two texts of one id always the same is read: any order of rows gives one model
+    more = frame(spark, [(12, "another text of this id", "a"), (13, "and *** of this", "a")])
+    again = marks.union(spark.createDataFrame([(20, 0, "x"), (20, 1, "x"), (21, 1, "x"), (21, 0, "x")], marks.schema))
+    one, two = (quality_classifier.fit(d, m) for d, m in ((docs.union(more), again), (more.union(docs).repartition(5), again.repartition(3))))
+    assert one[0] == two[0] and np.array_equal(one[1], two[1]) and np.array_equal(one[2], two[2])
 
 
 def test_machine_in_linear_time_equals_pairs():
