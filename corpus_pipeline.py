@@ -35,11 +35,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot; copies of a document get places of their own."""
-    placed = sharding.interleaved_shards(docs).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    crc = F.coalesce(F.crc32(F.encode(F.col("text"), "UTF-8")), F.lit(0)).cast("long")
-    texts = docs.drop("shard", "slot").withColumn("__c", crc).dropDuplicates(["doc_id", "__c"])
-    return placed.join(texts, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__crc") == F.col("__c"))).drop("__id", "__crc", "__c")
+    """The documents with their shard and slot, in place of columns of these names; copies of a document get places of
+    their own. Rows are numbered in a written table, so each is matched with its own place."""
+    rows = cut(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()))
+    placed = sharding.interleaved_shards(rows, tie_col="__row").select(F.col("tie").alias("__row"), "shard", "slot")
+    return rows.join(placed, "__row").drop("__row")
 
 
 STAGES = [
