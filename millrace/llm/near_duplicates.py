@@ -3,9 +3,10 @@ similarity (corrected for chance agreement), and full shingle sets confirm every
 
 Equal sets are one class from the start, named by a 64-bit digest of the set. In a band's bucket each class is first
 compared with the bucket's smallest class only, its hub; what that links is joined in a few rounds, and classes of one
-bucket that are still apart are compared in tiles, by bit counts over the packed signatures alone. Pairs whose estimate is
-close enough are confirmed in groups around their first class: its set is sent once to each group, however many partners it
-has, and large groups are split. A last run of rounds gives the components of all links: those that share a band. A pair at
+bucket that are still apart are compared in tiles of bounded bytes: by bit counts over the packed signatures, then by their
+sets. A tile passes on the links that join something within it, so neither the many pairs of a bucket which resemble each
+other but miss the threshold nor those of a large group of near copies leave the task. Pairs with a hub are confirmed on
+full sets in groups around it: its set is sent once to each group, and large groups are split. A last run of rounds gives the components of all links: those that share a band. A pair at
 the threshold shares one of the 32 bands of 4 minima but for odds of 5e-8.
 
 Rows are what is compared: a row's key is a hash of id and text, so two texts of one id are two documents, each with its own
@@ -32,7 +33,7 @@ from .base import cut, read
 BANDS, ROWS, LOW_BITS = 32, 4, 2
 HASHES = BANDS * ROWS
 WORDS = HASHES * LOW_BITS // 64  # 64-bit words of a packed signature
-TILE = 1024  # classes
+TILE, TILE_BYTES = 4096, 8 << 20  # classes, and bytes of their sets
 GROUP = 500  # pairs of one class that are confirmed together
 _rng = np.random.default_rng(20240601)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -136,7 +137,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold. Pairs are grouped by ``a``, in parts of about GROUP: its
     set is sent once to each part, every partner's set once to its pair, so no set is copied along with a popular key."""
-    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    sized = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))  # read anew, so that the join can split a popular class
     heads = sized.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     others = pairs.join(sized, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     dealt = heads.union(others).join(sets, "cls").select("a", "part", "b", "set").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
@@ -195,6 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     sigs = classes.select("cls", "size", "sig")
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1")
+    shared = cut(shared)  # read anew, so that the join can split a popular bucket
     members = cut(banded.join(shared, "key").select("key", "hub", "cls"))  # classes that share a band with another
 
     @F.pandas_udf("binary")
@@ -212,10 +214,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     comp = components(links, rounds=2)
 
     # classes of a bucket that are still apart
-    placed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
-    more = cut(_across(placed.join(mixed, "key"), sigs, floor, percent))
-    links = links.union(confirmed(more, sets, percent))
+    placed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(sigs, "cls")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("lo < hi")
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("n") / TILE, 8 * F.col("bytes") / TILE_BYTES)).cast("int").alias("tiles"))
+    links = links.union(_across(placed.select("key", "cls", "comp", "size", "sig").join(mixed, "key"), sets, floor, percent))
     comp = components(links)
 
     named = classes.select("cls", "least").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -231,6 +233,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     among rows equal in both, the one whose columns hash lowest."""
     rows = cut(near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).where("component IS NOT NULL").groupBy("component", "row_key").agg(F.count("*").alias("n"), F.min("id").alias("id")))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("best"), F.sum("n").alias("total")).where("total > 1")
+    best = cut(best)  # read anew, so that the join can split a large component
     marked = rows.join(best, "component").select(F.col("row_key").alias("__key"), (F.col("row_key") == F.col("best.row_key")).alias("__best"), "n").where("NOT __best OR n > 1").drop("n")
     marked = cut(marked)
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
@@ -258,21 +261,22 @@ def _close(floor: float):
     return close
 
 
-def _across(placed: DataFrame, sigs: DataFrame, floor: float, percent: int) -> DataFrame:
-    """Pairs (a < b) of one bucket (``key, cls, comp, tiles``) in different components whose estimate comes near the
-    threshold. A bucket is dealt into tiles of about TILE classes, and each pair of tiles is one group of signatures."""
+def _across(placed: DataFrame, sets: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links (a < b) of one bucket (``key, cls, comp, size, sig, tiles``) that join its components. A bucket is dealt into
+    tiles, and each pair of tiles is one group."""
     dealt = placed.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
-    dealt = dealt.join(sigs, "cls").withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "cls", "comp", "size", "sig")
+    dealt = dealt.join(sets, "cls").withColumn("p", pairs).select("key", "p.i", "p.j", "tile", "cls", "comp", "size", "sig", "set")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInPandas(_compare(floor, percent), "a long, b long").distinct()
 
 
-def _compare(floor: float, percent: int, block_rows: int = 20_000, most_pairs: int = 400_000):
+def _compare(floor: float, percent: int, block_rows: int = 8_000, block_bytes: int = 32 << 20, most_pairs: int = 400_000):
     def run(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """All groups of a block: the pairs of small groups are laid out together."""
         comp, tile, cls, size = (df[c].to_numpy() for c in ("comp", "tile", "cls", "size"))
         sig = np.frombuffer(b"".join(df["sig"]), np.uint64).reshape(-1, WORDS)
+        sets = df["set"].tolist()
         cross = (df["i"] != df["j"]).to_numpy()
         keys = df[["key", "i", "j"]].to_numpy()
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(df)]
@@ -280,16 +284,34 @@ def _compare(floor: float, percent: int, block_rows: int = 20_000, most_pairs: i
         right: list[np.ndarray] = []
         held = 0
 
+        up: dict[int, int] = {}  # components that the block has joined
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
         def flush() -> pd.DataFrame:
             x, y = np.concatenate(left), np.concatenate(right)
             good = (comp[x] != comp[y]) & (~cross[x] | (tile[x] != tile[y]))
             good &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
             x, y = x[good], y[good]
             good = agreement(sig[x], sig[y]) >= floor
-            p, q = cls[x[good]], cls[y[good]]
+            x, y = x[good], y[good]
+            found = []
+            for p, q in zip(x.tolist(), y.tolist()):
+                u, v = top(comp[p]), top(comp[q])
+                if u != v:
+                    both = np.concatenate([np.frombuffer(sets[p], np.uint64), np.frombuffer(sets[q], np.uint64)])
+                    total = len(both)
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                    if 100 * same >= percent * (total - same):
+                        up[max(u, v)] = min(u, v)
+                        found.append((min(cls[p], cls[q]), max(cls[p], cls[q])))
             left.clear()
             right.clear()
-            return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if comp[s:e].min() == comp[s:e].max():
@@ -315,16 +337,17 @@ def _compare(floor: float, percent: int, block_rows: int = 20_000, most_pairs: i
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
-        rows = 0
+        rows = size = 0
         for batch in batches:
             if not len(batch):
                 continue
             kept.append(batch)
             rows += len(batch)
-            if rows >= block_rows:
+            size += int(batch["set"].map(len).sum())
+            if rows >= block_rows or size >= block_bytes:
                 df = pd.concat(kept, ignore_index=True)
                 last = (df[["key", "i", "j"]] == df[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()  # this group may go on
-                kept, rows = [df[last]], int(last.sum())
+                kept, rows, size = [df[last]], int(last.sum()), int(df["set"][last].map(len).sum())
                 if not last.all():
                     yield from run(df[~last].reset_index(drop=True))
         if rows:
