@@ -13,7 +13,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where that is unset, a folder of our own on a
+    local master, and an error on a cluster, as its executors couldn't read it."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 

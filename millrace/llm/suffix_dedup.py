@@ -14,7 +14,8 @@
    different text) would make an unbounded group; its windows are counted by digest with map-side sums instead.
 
 Edge cases: null and empty texts have no bytes (digest of the empty string); texts under 200 bytes lose nothing; texts of
-any length are read in overlapping segments; equal rows are occurrences of their own and so repeat each other; an empty
+any length are read in overlapping segments; equal rows are occurrences of their own and so repeat each other; rows
+with a null id are documents like any other; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -268,6 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = long_enough.mapInPandas(_anchor_rows, "rid long, anchor long, ctx long, place long")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
+    shared = cut(shared)  # read anew, so that the join can split a popular anchor
     joined = cut(found.join(shared.select("anchor", (F.col("lo") == F.col("hi")).alias("equal")), "anchor"))
     windows = F.shiftright("place", 8).bitwiseAND(F.lit(255))
     pack = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
@@ -294,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hits = hits.union(grams.join(twice, ["d1", "d2"]).select("anchor", "ctx", F.col("p").alias("a"), (F.col("p") + 1).alias("b")))
     hits = cut(hits.distinct())
     partial = mixed.join(hits, ["anchor", "ctx"]).select("rid", pack(first + F.col("a"), first + F.col("b") + (LENGTH - 1)).alias("range"))
-    ranges = equal.union(partial).groupBy("rid").agg(F.collect_list("range").alias("ranges"))
+    ranges = equal.union(partial).groupBy("rid").agg(F.collect_set("range").alias("ranges"))  # equal rows share a key: a set is bounded by the text
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     def strip(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
