@@ -1,14 +1,16 @@
 """Tool-call linking with DataFrame functions only: calls and results are joined by identifier, calls are ordered
-topologically after the call they build on, arguments are validated against schemas, and each linked call is written as
+topologically after all calls they need, arguments are validated against schemas, and each linked call is written as
 canonical JSON (keys sorted at every level, no white space).
 
-The order is a depth per call, found by pointer doubling: a chain of n calls takes log2(n) joins, and no conversation is
-ever gathered in one task.
+The order is a depth per call: the longest chain of calls that it needs. It is found by doubling: a table of steps (call,
+needed call, length) is joined with itself, steps that end at a call without needs stay, and of steps with the same ends the
+longest is kept. A chain of n calls takes log2(n) joins, and no conversation is ever gathered in one task.
 
 Edge cases: calls without an identifier are dropped as they can't be linked; repeated calls or results of one identifier
-count, the least (by sequence, then content) is kept; results without a call are rows of status ``orphan``; a parent that
-is not there makes its call a root; calls on a cycle have status ``cycle`` and no depth; null or broken arguments fail
-validation; texts of any length and empty tables work; extra columns are ignored.
+count, the least (by sequence, then content) is kept; results without a call are rows of status ``orphan``; a need that is
+not there is ignored, a call without others is a root; calls on a cycle, and those that need one of them at any distance,
+have status ``cycle`` and no depth; null or broken arguments fail validation; texts of any length and empty tables work;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,27 +40,34 @@ def argument_errors(tool: Column, arguments: Column, schemas: dict = SCHEMAS) ->
     return F.array_sort(F.array_compact(F.array(*checks)))
 
 
-def depths(calls: DataFrame) -> DataFrame:
-    """``call_id, depth``: calls before it on its chain of parents; null on a cycle. Input: unique ``call_id, parent_id``."""
-    ids = calls.select(F.col("call_id").alias("p"))
-    state = calls.join(ids, F.col("parent_id") == F.col("p"), "left").select("call_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    state = cut(state)
-    total, reach = state.count(), 1
-    while reach <= total and not state.where("up IS NOT NULL").isEmpty():
-        above = state.select(F.col("call_id").alias("c"), F.col("up").alias("u2"), F.col("depth").alias("d2"))
-        state = cut(state.join(above, F.col("up") == F.col("c"), "left").select("call_id", F.col("u2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+def depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """``call_id, depth``: the longest chain of needed calls below each; null where a chain never ends. ``calls``: unique
+    ``call_id``; ``needs``: ``call_id, needs_id``, any number per call."""
+    ids = calls.select(F.col("call_id").alias("id"))
+    steps = needs.join(ids, F.col("needs_id") == F.col("id"), "left_semi").where("call_id IS NOT NULL")
+    steps = cut(steps.select(F.col("call_id").alias("u"), F.col("needs_id").alias("v"), F.lit(1).cast("long").alias("w")).distinct())
+    total, reach = calls.count(), 1
+    inner = steps.select(F.col("u").alias("v")).distinct()
+    while reach <= total and not steps.join(inner, "v", "left_semi").isEmpty():
+        after = steps.select(F.col("u").alias("m"), F.col("v").alias("v2"), F.col("w").alias("w2"))
+        longer = steps.join(after, F.col("v") == F.col("m"), "left")
+        steps = cut(longer.select("u", F.coalesce("v2", "v").alias("v"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")).groupBy("u", "v").agg(F.max("w").alias("w")))
         reach *= 2
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    ends = steps.join(inner.withColumn("inner", F.lit(True)), "v", "left").groupBy("u").agg(F.max("w").alias("w"), F.max("inner").alias("endless"))
+    found = calls.select("call_id").join(ends, F.col("call_id") == F.col("u"), "left")
+    return found.select("call_id", F.when(F.col("endless").isNull(), F.coalesce("w", F.lit(0))).alias("depth"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """``calls``: conv_id, call_id, parent_id, seq, tool, arguments (JSON text); ``results``: call_id, seq, content. One row
-    per call, plus one per identifier of results without a call."""
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, needs: DataFrame | None = None) -> DataFrame:
+    """``calls``: conv_id, call_id, parent_id, seq, tool, arguments (JSON text); ``results``: call_id, seq, content;
+    ``needs``: call_id, needs_id, by default each call's parent. One row per call, plus one per identifier of results
+    without a call."""
     one = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("n_calls"), F.min(F.struct("seq", "conv_id", "parent_id", "tool", "arguments")).alias("c"))
     one = cut(one.select("call_id", "n_calls", "c.*"))
     answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("seq", "content")).alias("r"))
     linked = one.join(answers.select("call_id", "n_results", F.col("r.content").alias("result")), "call_id", "full")
-    linked = linked.join(depths(one.select("call_id", "parent_id")), "call_id", "left")
+    needs = one.select("call_id", F.col("parent_id").alias("needs_id")) if needs is None else needs
+    linked = linked.join(depths(one, needs), "call_id", "left")
     arguments = F.try_parse_json("arguments")
     errors = F.when(F.col("n_calls").isNull(), F.array().cast("array<string>")).otherwise(argument_errors(F.col("tool"), arguments, schemas))
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("depth").isNull(), "cycle").when(F.size(errors) > 0, "invalid").when(F.col("n_results").isNull(), "open").otherwise("linked")
