@@ -464,7 +464,27 @@ def test_tool_calls(spark):
     assert (got["1"].n_calls, got["1"].n_results) == (2, 2)
     assert tool_calls.link_calls(c.limit(0), r.limit(0)).collect() == []
     chain = spark.createDataFrame([(str(i), str(i - 1)) for i in range(300)], "call_id string, parent_id string")
-    assert {int(x.call_id): x.depth for x in tool_calls.depths(chain).collect()} == {i: i for i in range(300)}
+    assert {int(x.call_id): x.depth for x in tool_calls.depths(chain, chain.toDF("call_id", "needs_id")).collect()} == {i: i for i in range(300)}
+
+
+def test_calls_with_several_needs(spark):
+    """Longest chains over random graphs, with cycles, shortcuts, missing and repeated needs."""
+    rng = random.Random(13)
+    needs = {(i, j) for i in range(120) for j in rng.sample(range(i + 1), min(i, 3)) if j < i} | {(i, i - 1) for i in range(1, 60)} | {(200 + i, 200 + (i + 1) % 4) for i in range(4)} | {(210, 203), (211, 210), (211, 5), (212, 999), (213, 213)}
+    ids = [*range(120), *range(200, 204), *range(210, 215)]
+
+    def depth(i, above=()):
+        if i in above:
+            return None
+        if i not in known:
+            below = [depth(j, (*above, i)) for k, j in needs if k == i and j in ids]
+            known[i] = None if None in below else max((x + 1 for x in below), default=0)
+        return known[i]
+
+    known = {}
+    calls = spark.createDataFrame([(str(i),) for i in ids], "call_id string")
+    edges = spark.createDataFrame([(str(i), str(j)) for i, j in [*needs, *list(needs)[:20]]], "call_id string, needs_id string")
+    assert {int(x.call_id): x.depth for x in tool_calls.depths(calls, edges).collect()} == {i: depth(i) for i in ids}
 
 
 @pytest.mark.parametrize("run", [quality_rules.ledger, near_duplicates.near_duplicates, sharding.interleaved_shards, mixing.mix, suffix_dedup.remove_repeats])
