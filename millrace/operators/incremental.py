@@ -25,9 +25,10 @@ def changed(current: DataFrame, known: DataFrame, key: str, fingerprint: str = "
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str], update: list[str], keep_when: str | None = None) -> DataFrame:
     """The target with the new rows' ``update`` columns where keys match (unless ``keep_when``, over target columns, holds)
-    and new keys added. Both sides have the columns keys + update; keys are unique."""
+    and new keys added. Both sides have the columns keys + update; of several new rows of a key the least counts, so no
+    target row is multiplied."""
     t = target.select(*keys, F.struct(*update).alias("__t"), (F.expr(keep_when) if keep_when else F.lit(False)).alias("__keep"))
-    n = new.select(*keys, F.struct(*update).alias("__n"))
+    n = new.groupBy(*keys).agg(F.min(F.struct(*update)).alias("__n"))
     row = F.when(F.col("__n").isNull() | F.coalesce("__keep", F.lit(False)), F.col("__t")).otherwise(F.col("__n"))
     return t.join(n, keys, "full").select(*keys, row.alias("__r")).select(*keys, "__r.*")
 

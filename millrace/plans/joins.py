@@ -81,13 +81,13 @@ def j7(spark, sf_dir):
     return M.only_containing(names, part.select(F.col("p_brand").alias("brand")), "raw", "brand")
 
 
-@query("J8", """WITH i AS (SELECT p_partkey AS item, p_brand, lower(p_name || ' ' || p_type) AS a FROM part WHERE p_partkey % 10 = 3), p AS (SELECT p_partkey, p_brand, lower(p_name) AS b FROM part WHERE p_partkey % 10 <> 3),
-s AS (SELECT item, p_partkey, CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) ELSE coalesce(list_sum(list_transform(list_intersect(regexp_extract_all(a, '[\\p{L}\\p{N}]+'), regexp_extract_all(b, '[\\p{L}\\p{N}]+')), lambda t: length(t))), 0) END AS score FROM i JOIN p USING (p_brand))
+@query("J8", """WITH i AS (SELECT p_partkey AS item, p_brand, lower(p_name || ' ' || p_type) AS a FROM part), p AS (SELECT p_partkey, p_brand, lower(p_name) AS b FROM part),
+s AS (SELECT item, p_partkey, CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) ELSE coalesce(list_sum(list_transform(list_intersect(regexp_extract_all(a, '[\\p{L}\\p{N}]+'), regexp_extract_all(b, '[\\p{L}\\p{N}]+')), lambda t: length(t))), 0) END AS score FROM i JOIN p USING (p_brand) WHERE item <> p_partkey)
 SELECT item, p_partkey, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, p_partkey) AS n FROM s WHERE score >= 4) WHERE n = 1""")
 def j8(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    items = part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("item"), "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    return M.best_in_block(items, part.where("p_partkey % 10 <> 3").select("p_partkey", "p_brand", "p_name"), "p_brand", "item", "title", "p_partkey", "p_name")
+    items = part.select(F.col("p_partkey").alias("item"), "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    return M.best_in_block(items, part.select("p_partkey", "p_brand", "p_name"), "p_brand", "item", "title", "p_partkey", "p_name")
 
 
 @query("J9")

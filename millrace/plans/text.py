@@ -22,17 +22,18 @@ def p1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.cast("binary")).alias("clean_md5"), F.length(clean).cast("long").alias("n_chars"))
 
 
-_SHORT = "regexp_extract(text, '^[^\\n]*', 0)"
 
 
 @query("P2", """
-WITH t AS (SELECT doc_id, regexp_extract(text, '^[^\\n]*') AS line FROM documents),
-f AS (SELECT doc_id, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS substantive FROM t)
-SELECT doc_id, substantive, length(line) >= 2 AND regexp_matches(line, '\\p{L}') AND lower(line) NOT IN ('ok', 'nice', 'is.') AS meaningful,
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+t AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l),
+f AS (SELECT doc_id, line_no, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS substantive FROM t)
+SELECT doc_id, line_no, substantive, length(line) >= 2 AND regexp_matches(line, '\\p{L}') AND lower(line) NOT IN ('ok', 'nice', 'is.') AS meaningful,
   substantive < 6 OR regexp_matches(lower(line), '^(?:(?:ha|oh|the)[\\s.,!?]*)+$') AS low_information FROM f""")
 def p2(spark, sf_dir):
-    line = F.regexp_extract("text", r"^[^\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", T.substantive_length(line).alias("substantive"), T.is_meaningful(line, ("ok", "nice", "is.")).alias("meaningful"), T.is_low_information(line, "ha|oh|the").alias("low_information"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.substantive_length(line).alias("substantive"), T.is_meaningful(line, ("ok", "nice", "is.")).alias("meaningful"), T.is_low_information(line, "ha|oh|the").alias("low_information"))
 
 
 @query("P3", "SELECT lower(regexp_replace(p_name, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS name_key, lower(regexp_replace(p_brand, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS brand_key, count(*) AS n FROM part GROUP BY 1, 2")

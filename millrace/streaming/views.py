@@ -13,23 +13,26 @@ from ..operators.incremental import dirty_keys
 
 def stream_counted_views(views: DataFrame, post: str, viewer: str, at: str, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """A row (post, viewer, at) for each view that counts. Views later than the watermark are dropped by definition; views
-    of one micro-batch are put in order first; a key's state ends ``minutes`` after its last counted view."""
-    gap = minutes * 60_000
+    of one micro-batch are put in order first; a view without a time never counts; times are compared in microseconds, as in
+    the batch form; a key's state ends ``minutes`` after its last counted view."""
+    gap = minutes * 60_000_000
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        times = sorted(int(t.timestamp() * 1000) for b in batches for t in b[at])
+        times = sorted(t.value // 1000 for b in batches for t in b[at].dropna())
+        if not times and last is None:
+            return
         counted = []
         for t in times:
             if last is None or t - last >= gap:
                 last = t
                 counted.append(t)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({post: [key[0]] * len(counted), viewer: [key[1]] * len(counted), at: pd.to_datetime(counted, unit="ms")})
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({post: [key[0]] * len(counted), viewer: [key[1]] * len(counted), at: pd.to_datetime(counted, unit="us")})
 
     types = dict(views.dtypes)
     return (
@@ -45,7 +48,10 @@ def rebuild_dirty(marks: DataFrame, done_path: str, rebuild, key: str = "key", g
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        done = spark.read.schema(f"{key} long, {generation} long").parquet(done_path)
+        schema = f"{key} long, {generation} long"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done_path)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        done = spark.read.schema(schema).parquet(done_path) if there else spark.createDataFrame([], schema)
         todo = dirty_keys(df, done, key, generation).persist()
         rebuild(todo)
         todo.select(key, generation).write.mode("append").parquet(done_path)
