@@ -525,3 +525,22 @@ def test_pipeline_stages(spark):
     assert ids[4] <= ids[3] <= ids[2]
     final = pipeline.STAGES[-1][1](spark, kept[4], DATA)
     assert final.count() == kept[4].count() and {"shard", "slot"} <= set(final.columns)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_corpus):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables in every stage."""
+    import corpus_pipeline as pipeline
+
+    rows = [*odd_corpus[:30], *odd_corpus[-50:]]
+    docs = spark.createDataFrame([(i, t, None, s, len(t or ""), "x", "x", "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, n string, shard string")
+    have = collections.Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+    for name, stage in pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, DATA)
+            assert set(out.columns) == {*docs.columns, *(["slot"] if name == "sharding" else [])}
+            got = collections.Counter((r.doc_id, r.text, r.source) for r in out.collect())
+            most = 2 if name == "mixing" else 1
+            assert all(n <= most * have[x] for x, n in got.items()), name
+            if name == "decontamination" and df is docs or name == "sharding" and df is docs:
+                assert got == have, name
+    assert pipeline.run(spark, DATA).count() > 0
