@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .match import sequence_ratio
+from .match import jaccard_bound, nutrition_similarity, ordered_similarity, sequence_ratio, sharing_rare_names, top_exact_share
 from .ranking import rank_in_group
 
 
@@ -205,26 +206,57 @@ def existing_by_two_keys(new: DataFrame, old: DataFrame, id_: str, first: list[s
     return new.join(a, first, "left").join(b, second, "left").withColumn("existing", F.least("__a", "__b")).drop("__a", "__b")
 
 
-def ordered_clusters(rows: DataFrame, group: str, id_: str, names: str, least: float = 0.6, most_rows: int = 100_000) -> DataFrame:
-    """Rows of a group in id order join the one cluster whose first row is similar enough (same list, or Jaccard of the
-    names), else open a cluster, also when several match. Sequential by definition, so one task per group; a group of more
-    than ``most_rows`` fails loudly instead of exhausting a task."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        if len(df) > most_rows:
-            raise ValueError(f"a group has {len(df)} rows; ordered clustering takes {most_rows}")
-        df = df.sort_values(id_, kind="stable")
-        firsts: list[tuple[int, frozenset]] = []
-        out = []
-        for key, listed in zip(df[id_], df[names]):
-            own = frozenset(listed)
-            hits = [k for k, f in firsts if own == f or (own | f and len(own & f) / len(own | f) >= least)]
-            if len(hits) == 1:
-                out.append(hits[0])
-            else:
-                firsts.append((key, own))
-                out.append(key)
-        return pd.DataFrame({group: df[group], id_: df[id_], "cluster": out})
-
-    return rows.select(group, id_, names).groupBy(group).applyInPandas(run, f"{group} long, {id_} long, cluster long")
-
+def mergeable_lists(classes: DataFrame, least: float = 0.96, top_least: float = 0.8, metrics: int = 4, nutrition_least: float = 0.95) -> DataFrame:
+    """(ga, gb, a, b), directed: the class ``a`` agrees with the class ``b`` of its group whose list is another, as names and
+    nutrition are near. Classes: ``grp, list, cls, names, nutrition``; ``list`` names a group's list. Lists are compared
+    once, whatever classes they have."""
+    lists = classes.groupBy("grp", "list").agg(F.first("names").alias("n"))
+    one, other = lists.toDF("grp", "a", "x"), lists.toDF("grp", "b", "y")
+    near = sharing_rare_names(one, other, jaccard_bound(least), ["grp"]).where("a <> b").join(one, ["grp", "a"]).join(other, ["grp", "b"])
+    near = near.where((top_exact_share(F.col("x"), F.col("y")) >= top_least) & (ordered_similarity(F.col("x"), F.col("y")) >= least)).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    both = near.join(classes.select(F.col("list").alias("ga"), F.col("cls").alias("a"), F.col("nutrition").alias("m")), "ga").join(classes.select(F.col("list").alias("gb"), F.col("cls").alias("b"), F.col("nutrition").alias("o")), "gb")
+    score, comparable = nutrition_similarity(F.col("m"), F.col("o"))
+    return both.where((comparable >= metrics) & (score >= nutrition_least)).select("ga", "gb", "a", "b")
+
+
+def ordered_clusters(rows: DataFrame, group: str, id_: str, names: str, nutrition: str, **rule: float) -> DataFrame:
+    """(group, id, cluster): in id order, a row joins the cluster whose newest row it agrees with (equal lists, or the rule of
+    ``mergeable_lists``), if there is exactly one, else it opens a cluster, named by its id. Only lists that are linked,
+    directly or not, bear on each other, so each such set of a group is a stream of its own: a task keeps its links and one
+    count and cluster for each class of equal names and nutrition, never the rows. Rows with a null group, id or list are
+    left out; ids are unique in a group."""
+    use_checkpoints(rows.sparkSession)
+    r = rows.where(F.col(group).isNotNull() & F.col(id_).isNotNull() & F.col(names).isNotNull())
+    metrics = F.coalesce(F.to_json(F.array_sort(F.map_entries(nutrition))), F.lit(""))
+    r = r.select(F.col(group).alias("grp"), F.col(id_).alias("id"), F.col(names).alias("names"), F.col(nutrition).alias("nutrition"), F.xxhash64(F.col(group), F.to_json(names)).alias("list"), metrics.alias("metrics"))
+    r = r.withColumn("cls", F.xxhash64("list", "metrics"))
+    links = mergeable_lists(r.groupBy("grp", "list", "cls").agg(F.first("names").alias("names"), F.first("nutrition").alias("nutrition")).checkpoint(), **rule).checkpoint()
+    sets = clusters(links, "ga", "gb").toDF("list", "set")
+    edges = links.join(sets, links["ga"] == sets["list"]).select("set", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("list"), "a", "b", F.lit(None).cast(rows.schema[group].dataType).alias("grp"))
+    events = r.join(sets, "list", "left").select(F.coalesce("set", "list").alias("set"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), "list", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "grp")
+    dealt = edges.union(events).repartition("set").sortWithinPartitions("set", "kind", "id")
+    schema = rows.select(group, F.col(id_), F.col(id_).alias("cluster")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
+        for batch in batches:
+            out = []
+            for s, kind, key, listed, a, b, g in batch.itertuples(index=False, name=None):
+                if s != at:
+                    at, agrees, newest, of = s, {}, {}, {}
+                if not kind:
+                    agrees.setdefault(a, []).append(b)
+                    continue
+                same = of.setdefault(listed, set())  # classes of this list that a newest row has
+                hits = [*same, *(d for d in agrees.get(a, ()) if d in newest)] if len(same) < 2 else ()
+                if len(hits) == 1 and newest[hits[0]][0] == 1:
+                    _, where, cluster = newest.pop(hits[0])
+                    of[where].discard(hits[0])
+                else:
+                    cluster = key
+                newest[a] = (newest[a][0] + 1 if a in newest else 1, listed, cluster)  # of several only the number matters
+                same.add(a)
+                out.append((g, key, cluster))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return dealt.mapInPandas(run, schema)

@@ -99,8 +99,10 @@ def j9(spark, sf_dir):
 @query("J10")
 def j10(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    lists = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name")))), lambda x: x["name"]).alias("names"))
-    return M.formula_matches(lists.where("l_orderkey % 2 = 0"), lists.where("l_orderkey % 2 = 1"), "l_orderkey", "names", least=0.5).withColumn("similarity", F.round("similarity", 6))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name")))), lambda x: x["name"])
+    metrics = [part for m in ("l_quantity", "l_discount", "l_tax", "l_extendedprice") for part in (F.lit(m), F.round(F.avg(m), 6))]
+    lists = lines.groupBy("l_orderkey").agg(listed.alias("names"), F.create_map(*metrics).alias("nutrition"))
+    return M.formula_matches(lists.where("l_orderkey % 2 = 0"), lists.where("l_orderkey % 2 = 1"), "l_orderkey", "names", "nutrition", least=0.5)
 
 
 _PERIODS = """SELECT user_id, ts AS started_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended_at, event_id AS period_id FROM events WHERE event_type = 'signup'"""

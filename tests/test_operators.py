@@ -75,7 +75,7 @@ def test_sequence_and_ordered_similarity(spark):
     assert [r[0] for r in values(df.select(match.sequence_ratio("a", "b")))] == [difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in (("abcd", "bcde"), ("", ""), (None, "x"))]
     lists = spark.createDataFrame([(["a", "b"], ["a", "c", "b"]), ([], [])], "x array<string>, y array<string>")
     got = [r[0] for r in values(lists.select(match.ordered_similarity(F.col("x"), F.col("y"))))]
-    assert abs(got[0] - (0.5 / 3 + 0.3 + 0.2 * 2 / 3)) < 1e-9 and got[1] == 0.0
+    assert abs(got[0] - (0.5 * 6 / 11 + 0.3 * 1.25 / 1.5 + 0.2 * 2 / 3)) < 1e-5 and got[1] == 0.0
 
 
 def test_view_boundary(spark):
@@ -143,8 +143,85 @@ def test_md5_modulo_and_ordered_clusters(spark):
 
     df = spark.createDataFrame([("a", 7), ("b", 3)], "k string, n long")
     assert [r[0] for r in values(df.select(ranking.md5_modulo("k", "n")))] == [int(hashlib.md5(k.encode()).hexdigest(), 16) % n for k, n in (("a", 7), ("b", 3))]
-    rows = [(1, 1, ["a", "b"]), (1, 2, ["b", "a"]), (1, 3, ["c"]), (2, 4, ["a"])]
-    assert sorted(values(similar.ordered_clusters(spark.createDataFrame(rows, "g long, id long, names array<string>"), "g", "id", "names"))) == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 4, 4)]
+
+
+def plain_ordered(x, y):
+    """(similarity, share of equal names among the first five places) of two lists."""
+    if not x or not y:
+        return 0.0, 0.0
+    longer = max(len(x), len(y))
+    equal = sum(1 / (i + 1) for i in range(min(len(x), len(y))) if x[i] == y[i]) / sum(1 / (i + 1) for i in range(longer))
+    shared = set(x) & set(y)
+    last = [{n: i for i, n in enumerate(v)} for v in (x, y)]
+    w = {n: 1 / (last[0][n] + 1) for n in shared}
+    near = sum(v / (1 + abs(last[0][n] - last[1][n])) for n, v in w.items()) / sum(w.values()) if shared else 0
+    top = min(5, len(x), len(y))
+    return round(0.5 * equal + 0.3 * near + 0.2 * len(shared) / len(set(x) | set(y)), 5), sum(x[i] == y[i] for i in range(top)) / top
+
+
+def plain_nutrition(m, o):
+    both = set(m or {}) & set(o or {})
+    alike = sum(abs(m[k] - o[k]) <= max(0.05, abs(m[k]) * 0.01, abs(o[k]) * 0.01) for k in both)
+    return (round(alike / len(both), 5) if both else 0.0), len(both)
+
+
+def formulas(rng, n, groups):
+    for i in range(n):
+        names = list("abcdefgh")[: rng.choice([0, 1, 3, 6, 8])]
+        if rng.random() < 0.5 and len(names) > 1:
+            at = rng.randrange(len(names) - 1)
+            names[at : at + 2] = rng.choice([names[at : at + 2][::-1], ["z"], names[at : at + 2] * 2])
+        nutrition = rng.choice([None, {}, {"p": 1.0, "q": 2.0}, {"p": 1.0, "q": 2.0, "r": rng.choice([5.0, 5.04, 9.0]), "s": 100.0 + rng.choice([0, 0.5, 40])}])
+        yield rng.choice(groups), i * 3 % 101 + (1 << 60), None if rng.random() < 0.03 else names, nutrition
+
+
+def test_ordered_clusters_against_plain_python(spark):
+    schema = "g long, id long, names array<string>, nutrition map<string,double>, cluster string"
+    rng = random.Random(11)
+    for rule in ({}, {"least": 0.7, "top_least": 0.3, "metrics": 2, "nutrition_least": 0.5}):
+        least, top_least, metrics, enough = ({"least": 0.96, "top_least": 0.8, "metrics": 4, "nutrition_least": 0.95} | rule).values()
+        rows = list(formulas(rng, 100, [1, 1, 1, 2, None]))
+        want, newest = set(), collections.defaultdict(list)
+        for g, i, names, nutrition in sorted(rows, key=lambda r: r[1]):
+            if g is None or names is None:
+                continue
+
+            def agree(x, m, y, o):
+                (a, t), (n, c) = plain_ordered(x, y), plain_nutrition(m, o)
+                return x == y or a >= least and t >= top_least and c >= metrics and n >= enough
+
+            hits = [c for c in newest[g] if agree(names, nutrition, c[1], c[2])]
+            if len(hits) == 1:
+                hits[0][1:] = [names, nutrition]
+            else:
+                hits = [[i, names, nutrition]]
+                newest[g].append(hits[0])
+            want.add((g, i, hits[0][0]))
+        df = spark.createDataFrame([(*r, "x") for r in rows], schema).repartition(5)
+        assert {tuple(r) for r in values(similar.ordered_clusters(df, "g", "id", "names", "nutrition", **rule))} == want
+    assert any(i != c for _, i, c in want)
+    assert values(similar.ordered_clusters(df.limit(0), "g", "id", "names", "nutrition")) == []
+
+
+def test_formula_matches_against_plain_python(spark):
+    rng = random.Random(12)
+    rows = [(i, names, nutrition) for _, i, names, nutrition in formulas(rng, 90, [1])]
+    df = spark.createDataFrame(rows, "id long, names array<string>, nutrition map<string,double>")
+    for least in (0.5, 0.9, 0.96):
+        want = set()
+        for (a, x, m), (b, y, o) in itertools.permutations(rows, 2):
+            if x is None or y is None:
+                continue
+            (s, t), (n, c) = plain_ordered(x, y), plain_nutrition(m, o)
+            if x == y or s >= least:
+                want.add((a, b, x == y, s, n, round(s * 0.75 + n * 0.25, 5), (x == y or s >= 0.96 and t >= 0.8) and c >= 4 and n >= 0.95))
+        got = {r[:2]: r[2:] for r in values(match.formula_matches(df, df, "id", "names", "nutrition", least))}
+        assert len(got) == match.formula_matches(df, df, "id", "names", "nutrition", least).count()
+        want = {r[:2]: r[2:] for r in want}
+        assert got.keys() == want.keys()
+        for k, (exact, *scores_, auto) in got.items():
+            assert (exact, auto) == (want[k][0], want[k][-1])
+            assert all(abs(x - y) < 2e-5 for x, y in zip(scores_, want[k][1:-1]))
 
 
 def test_sources_round_trip(spark, tmp_path):
