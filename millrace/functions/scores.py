@@ -83,23 +83,51 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:
     return F.when(n > 0, F.greatest(bound, F.lit(0.0))).otherwise(0.0)
 
 
+def value_places(df: DataFrame, value: str, part: list[str], slots: int = 256) -> DataFrame:
+    """(part as ``__e_`` + name, ``__v``, ``__n``, ``__before``, ``__all``): each distinct non-null value of a partition with its
+    rows, the rows of smaller values and all rows. Values are counted first and cut into slots of about as many distinct values
+    each, by approximate quantiles; slots are summed, then the values inside each slot: no task sorts a whole partition."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(p).alias(f"__e_{p}") for p in part], F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    keys = [f"__e_{p}" for p in part]
+    shares = [i / slots for i in range(1, slots)]
+    ends = counts.groupBy(*keys).agg(F.percentile_approx("__v", shares).alias("__ends"), F.sum("__n").alias("__all"))
+
+    def joined(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"__r{k}" for k in [*keys, *also]})
+        on = F.lit(True)
+        for k in [*keys, *also]:
+            on = on & F.col(k).eqNullSafe(F.col(f"__r{k}"))
+        return (left.join(right, on) if keys or also else left.crossJoin(F.broadcast(right))).drop(*[f"__r{k}" for k in [*keys, *also]])
+
+    counts = joined(counts, ends).withColumn("__slot", F.size(F.filter("__ends", lambda e: e < F.col("__v")))).drop("__ends")
+    sums = counts.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__s"))
+    sums = sums.withColumn("__base", F.sum("__s").over(Window.partitionBy(*keys).orderBy("__slot")) - F.col("__s")).drop("__s")
+    counts = joined(counts, sums, "__slot")
+    inside = F.sum("__n").over(Window.partitionBy(*keys, "__slot").orderBy("__v")) - F.col("__n")
+    return counts.withColumn("__before", F.col("__base") + inside).drop("__slot", "__base")
+
+
+def exact_quantiles(df: DataFrame, value: str, part: list[str], shares: dict[str, float]) -> DataFrame:
+    """Per partition the linearly interpolated quantiles ``{name: share}`` of the non-null values."""
+    v = value_places(df, value, part)
+
+    def end(share: float, rounded) -> Column:
+        place = rounded((F.col("__all") - 1) * share)
+        return F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__n")), F.col("__v")))
+
+    def quantile(share: float) -> Column:
+        place = F.max((F.col("__all") - 1) * share)
+        low, high = end(share, F.floor), end(share, F.ceil)
+        return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return v.groupBy(*[F.col(f"__e_{p}").alias(p) for p in part]).agg(*[quantile(s).alias(n) for n, s in shares.items()])
+
+
 def average_tie_percentile(df: DataFrame, value: str, part: list[str], out: str, inverted: bool = False) -> DataFrame:
-    """Share of non-null rows at or below a value, ties averaged, times 100. Counts per distinct value come first; a wide
-    partition is summed in two steps (ranges of values, then inside a range), so no task sorts all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("__n"))
-    ends = counts.groupBy(*part).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__all"))
-    ends = ends.withColumnsRenamed({p: f"__e_{p}" for p in part})
-    same = F.lit(True)
+    """Share of non-null rows at or below a value, ties averaged, times 100."""
+    share = (F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all") * 100
+    ranks = value_places(df, value, part).select(*[f"__e_{p}" for p in part], "__v", (100 - share if inverted else share).alias(out))
+    on = F.col(value) == F.col("__v")
     for p in part:
-        same = same & F.col(p).eqNullSafe(F.col(f"__e_{p}"))
-    counts = counts.join(ends, same) if part else counts.crossJoin(F.broadcast(ends))
-    slot = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1023)).otherwise(0)
-    counts = counts.withColumn("__slot", slot).select(*part, value, "__n", "__all", "__slot")
-    slots = counts.groupBy(*part, "__slot").agg(F.sum("__n").alias("__s"))
-    slots = slots.withColumn("__base", F.sum("__s").over(Window.partitionBy(*part).orderBy("__slot")) - F.col("__s")).drop("__s")
-    slots = slots.withColumnsRenamed({p: f"__e_{p}" for p in part} | {"__slot": "__eslot"})
-    counts = counts.join(slots, same & (F.col("__slot") == F.col("__eslot"))).drop("__eslot", *[f"__e_{p}" for p in part])
-    before = F.col("__base") + F.sum("__n").over(Window.partitionBy(*part, "__slot").orderBy(value)) - F.col("__n")
-    share = (before + (F.col("__n") + 1) / 2) / F.col("__all") * 100
-    ranks = counts.select(*[F.col(p).alias(f"__e_{p}") for p in part], F.col(value).alias("__v"), (100 - share if inverted else share).alias(out))
-    return df.join(ranks, same & (F.col(value) == F.col("__v")), "left").drop("__v", *[f"__e_{p}" for p in part])
+        on = on & F.col(p).eqNullSafe(F.col(f"__e_{p}"))
+    return df.join(ranks, on, "left").drop("__v", *[f"__e_{p}" for p in part])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import wilson_lower
+from ..functions.scores import exact_quantiles, value_places, wilson_lower
+from .ranking import rank_in_group
 
 
 def text_groups(rows: DataFrame, text: str, key: str, lists: dict[str, str], date: str) -> DataFrame:
@@ -65,26 +66,36 @@ def coverage(mentions: DataFrame, products: DataFrame, group: str, via: str, pro
 def market_summary(items: DataFrame, group: str, name: str, price: str, sales: str, taste: str) -> DataFrame:
     """Per group: items, average, exact median, least and greatest price, the taste with the most sales, first ten names."""
     tastes = items.groupBy(group, taste).agg(F.sum(sales).alias("__s")).groupBy(group).agg(F.max(F.struct("__s", F.col(taste).alias("t"))).alias("__t"))
-    out = items.groupBy(group).agg(F.count("*").alias("items"), F.avg(price).alias("average"), F.median(price).alias("median"), F.min(price).alias("least"), F.max(price).alias("greatest"), F.slice(F.array_sort(F.collect_set(name)), 1, 10).alias("names"))
-    return out.join(tastes.select(group, F.col("__t.t").alias("top_taste")), group)
+    first = rank_in_group(items.where(F.col(name).isNotNull()).select(group, name).distinct(), [group], [F.asc(name)], "__n").where("__n <= 10")
+    names = first.groupBy(group).agg(F.array_sort(F.collect_list(name)).alias("names"))
+    out = items.groupBy(group).agg(F.count("*").alias("items"), F.avg(price).alias("average"), F.min(price).alias("least"), F.max(price).alias("greatest"))
+    for more in (exact_quantiles(items, price, [group], {"median": 0.5}), names, tastes.select(group, F.col("__t.t").alias("top_taste"))):
+        out = out.join(more.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    return out
+
+
+def pool_position(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value, with the share of values at or below it (``position``), the average and the exact median."""
+    places = value_places(df, value, []).select("__v", ((F.col("__before") + F.col("__n")) / F.col("__all")).alias("position"))
+    pool = df.agg(F.avg(value).alias("average")).crossJoin(exact_quantiles(df, value, [], {"median": 0.5}))
+    return df.join(places, F.col(value) == F.col("__v")).drop("__v").crossJoin(F.broadcast(pool))
 
 
 def quantile_tags(df: DataFrame, columns: list[str], high: float = 0.75, low: float = 0.25) -> DataFrame:
     """``advantages`` and ``weaknesses``: columns at or above / below the table's linear-interpolation quantiles (one
     aggregated row is joined)."""
-    ends = df.agg(*[F.percentile(c, high).alias(f"__h_{c}") for c in columns], *[F.percentile(c, low).alias(f"__l_{c}") for c in columns])
-    marked = df.crossJoin(F.broadcast(ends))
+    marked = df
+    for c in columns:
+        marked = marked.crossJoin(F.broadcast(exact_quantiles(df, c, [], {f"__h_{c}": high, f"__l_{c}": low})))
     up = F.array_compact(F.array(*[F.when(F.col(c) >= F.col(f"__h_{c}"), F.lit(c)) for c in columns]))
     down = F.array_compact(F.array(*[F.when(F.col(c) <= F.col(f"__l_{c}"), F.lit(c)) for c in columns]))
     return marked.withColumn("advantages", up).withColumn("weaknesses", down).drop(*[f"__{x}_{c}" for x in "hl" for c in columns])
 
 
 def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at place min(int(n x share), n - 1) of the sorted non-null values: counts per value, then a running sum
-    over distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    seen = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return seen.where(F.col("upto") > F.least(F.floor(F.col("total") * share), F.col("total") - 1)).agg(F.min(value).alias("threshold"))
+    """The value at place min(int(n x share), n - 1) of the sorted non-null values."""
+    place = F.least(F.floor(F.col("__all") * share), F.col("__all") - 1)
+    return value_places(df, value, []).where(F.col("__before") + F.col("__n") > place).agg(F.min("__v").alias("threshold"))
 
 
 def problem_clusters(df: DataFrame, fields: list[str]) -> DataFrame:

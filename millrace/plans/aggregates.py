@@ -78,11 +78,8 @@ def a8(spark, sf_dir):
 
 @query("A9", """SELECT c_custkey, round(cume_dist() OVER (ORDER BY c_acctbal), 9) AS position, round(avg(c_acctbal) OVER (), 6) AS average, median(c_acctbal) OVER () AS median FROM customer WHERE c_acctbal IS NOT NULL""")
 def a9(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL")
-    counts = customer.groupBy("c_acctbal").agg(F.count("*").alias("n"))
-    upto = counts.select("c_acctbal", (F.sum("n").over(Window.orderBy("c_acctbal")) / F.sum("n").over(Window.partitionBy())).alias("position"))
-    pool = customer.agg(F.round(F.avg("c_acctbal"), 6).alias("average"), F.median("c_acctbal").alias("median"))
-    return customer.join(upto, "c_acctbal").crossJoin(F.broadcast(pool)).select("c_custkey", F.round("position", 9).alias("position"), "average", "median")
+    out = A.pool_position(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+    return out.select("c_custkey", F.round("position", 9).alias("position"), F.round("average", 6).alias("average"), "median")
 
 
 @query("A10", """WITH q AS (SELECT quantile_cont(p_retailprice, 0.75) AS h1, quantile_cont(p_retailprice, 0.25) AS l1, quantile_cont(p_size, 0.75) AS h2, quantile_cont(p_size, 0.25) AS l2 FROM part)

@@ -132,6 +132,28 @@ def test_average_tie_percentile_is_permutation_invariant(spark):
     assert x == y and x[99] is None and abs(x[0] - 2 / 20 * 100) < 1e-9
 
 
+def test_quantiles_and_places_against_plain_python(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 1e15, -5.0, *(rng.gauss(0, 1) for _ in range(20))])) for _ in range(700)] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for slots in (2, 256):
+        got = {tuple(r) for r in values(scores.value_places(df, "v", ["g"], slots).select("__e_g", "__v", "__n", "__before", "__all"))}
+        want = set()
+        for g in {r[0] for r in rows}:
+            own = [v for h, v in rows if h == g and v is not None]
+            want |= {(g, v, own.count(v), sum(x < v for x in own), len(own)) for v in own}
+        assert got == want
+    got = {r.g: (r.q, r.m) for r in scores.exact_quantiles(df, "v", ["g"], {"q": 0.25, "m": 0.5}).collect()}
+    assert got.keys() == {"a", "b", None, "one"}
+    for g, (q, m) in got.items():
+        own = [v for h, v in rows if h == g and v is not None]
+        assert np.allclose([q, m], np.quantile(own, [0.25, 0.5]), rtol=1e-12)
+    empty = stats.pool_position(df.limit(0), "v")
+    assert values(empty) == [] and stats.nearest_rank(df.limit(0), "v", 0.5).first().threshold is None
+
+
 def test_wilson_and_outcomes_count_a_clue_once(spark):
     rows = [("s", 1, "improved"), ("s", 1, "improved"), ("s", 2, "worsened")]
     got = stats.outcome_stats(spark.createDataFrame(rows, "g string, c int, o string"), ["g"], "c", "o").first()
