@@ -19,9 +19,12 @@ from .ranking import rank_in_group
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
+    context = spark.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
 def weighted_jaccard(targets: DataFrame, vectors: DataFrame, entity: str, key: str, weight: str, salts: int = 8) -> DataFrame:
@@ -141,13 +144,14 @@ def near_texts(rows: DataFrame, key: str, text: str, bucket: list[str], threshol
     return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def near_vectors(rows: DataFrame, key: str, vector: str, bucket: str, threshold: float = 0.85, tile: int = 512) -> DataFrame:
+def near_vectors(rows: DataFrame, key: str, vector: str, bucket: list[str], threshold: float = 0.85, tile: int = 512) -> DataFrame:
     """Pairs (a < b) of one bucket with a cosine of the threshold or more: a bucket is dealt into tiles, each pair of tiles
     is one group and one block product, so a large bucket spreads over many tasks."""
-    sized = rows.groupBy(bucket).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = rows.where(F.col(vector).isNotNull()).select(key, vector, bucket).join(sized, bucket).withColumn("t", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
+    known = rows.where(F.col(vector).isNotNull())
+    sized = known.groupBy(*bucket).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = known.select(key, vector, *bucket).join(sized, bucket).withColumn("t", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("t")).alias("i"), F.greatest(t, F.col("t")).alias("j"))))
-    dealt = dealt.withColumn("p", spread).select(bucket, "p.i", "p.j", "t", F.col(key).alias("k"), F.col(vector).alias("v"))
+    dealt = dealt.withColumn("p", spread).select(*bucket, "p.i", "p.j", "t", F.col(key).alias("k"), F.col(vector).alias("v"))
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(group["v"].to_numpy()).astype(np.float64)
@@ -162,7 +166,17 @@ def near_vectors(rows: DataFrame, key: str, vector: str, bucket: str, threshold:
         keep = a < b if i == j else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[keep]})
 
-    return dealt.groupBy(bucket, "i", "j").applyInPandas(block, "a long, b long, similarity double")
+    return dealt.groupBy(*bucket, "i", "j").applyInPandas(block, "a long, b long, similarity double")
+
+
+def without_conflicts(pairs: DataFrame, points: DataFrame, key: str, conditions: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sets of no condition, if neither is null or empty, are disjoint."""
+    side = lambda k, n: points.select(F.col(key).alias(k), *[F.col(c).alias(f"__{n}{i}") for i, c in enumerate(conditions)])
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    for i in range(len(conditions)):
+        x, y = F.col(f"__x{i}"), F.col(f"__y{i}")
+        joined = joined.where((F.coalesce(F.size(x), F.lit(0)) <= 0) | (F.coalesce(F.size(y), F.lit(0)) <= 0) | (F.size(F.array_intersect(x, y)) > 0))
+    return joined.select(*pairs.columns)
 
 
 def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
