@@ -109,40 +109,59 @@ def ingredient_rows(c: Column) -> Column:
     return F.transform(items, lambda x, i: F.struct(name(x).alias("name"), (i + 1).cast("long").alias("rank"), percent(x).alias("percent")))
 
 
-def split_nested(text: str | None, noise: tuple[str, ...], synonyms: dict[str, str], longest: int = 80) -> list[str]:
-    """Names of a label text: cut at separators outside brackets, bracket notes and percents stripped, noise words and
-    over-long names dropped, synonyms mapped."""
-    names, depth, last = [], 0, 0
-    text = text or ""
+def cut_outside_brackets(text: str) -> list[str]:
+    """The pieces between separators that stand outside brackets; a bracket left open ends with the text."""
+    pieces, depth, last = [], 0, 0
     for i, ch in enumerate(text + ","):
         if ch in "([（【":
             depth += 1
         elif ch in ")]）】":
             depth = max(0, depth - 1)
         elif ch in ",，、;；\n" and (depth == 0 or i == len(text)):
-            names.append(text[last:i])
+            pieces.append(text[last:i])
             last = i + 1
+    return pieces
+
+
+def around_brackets(piece: str) -> tuple[str, str]:
+    """(text outside brackets, text inside the first bracket), inner brackets kept inside."""
+    outside, inside, depth, closed = [], [], 0, False
+    for ch in piece:
+        ends = ch in ")]）】" and depth > 0
+        depth -= ends
+        closed |= ends and depth == 0
+        if depth > 0 and not closed:
+            inside.append(ch)
+        depth += ch in "([（【"
+        if depth == 0 and not ends:
+            outside.append(ch)
+    return "".join(outside), "".join(inside)
+
+
+def split_nested(text: str | None, noise: tuple[str, ...], synonyms: dict[str, str], longest: int = 80, headers: tuple[str, ...] = ()) -> list[str]:
+    """Names of a label text: cut at separators outside brackets, bracket notes and percents stripped, noise words and
+    over-long names dropped, synonyms mapped. A name with one of ``headers`` in it is a group's: the names in its bracket
+    stand in its place, and without a bracket it goes."""
     out = []
-    for name in names:
-        plain, depth = [], 0
-        for ch in name:
-            depth += ch in "([（【"
-            if depth == 0:
-                plain.append(ch)
-            depth -= ch in ")]）】" and depth > 0
-        word = re.sub(r"\s*[0-9]+(\.[0-9]+)?\s*%", "", "".join(plain)).strip(" .:").lower()
+    pieces = cut_outside_brackets(text or "")[::-1]
+    while pieces:
+        outside, inside = around_brackets(pieces.pop())
+        word = re.sub(r"\s*[0-9]+(\.[0-9]+)?\s*[%％]", "", outside).strip(" .:)]）】").lower()
+        if any(h in word for h in headers):
+            pieces += cut_outside_brackets(inside)[::-1]
+            continue
         word = synonyms.get(word, word)
         if word and word not in noise and len(word) <= longest:
             out.append(word)
     return out
 
 
-def nested_names(noise: tuple[str, ...] = (), synonyms: dict[str, str] | None = None):
+def nested_names(noise: tuple[str, ...] = (), synonyms: dict[str, str] | None = None, headers: tuple[str, ...] = ()):
     """Pandas UDF text -> array of names, bracket-aware."""
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_nested(t, noise, synonyms or {}))
+        return texts.map(lambda t: split_nested(t, noise, synonyms or {}, headers=headers))
 
     return split
 

@@ -220,6 +220,17 @@ def existing_by_two_keys(new: DataFrame, old: DataFrame, id_: str, first: list[s
     return new.join(a, first, "left").join(b, second, "left").withColumn("existing", F.least("__a", "__b")).drop("__a", "__b")
 
 
+def first_in_batch(new: DataFrame, id_: str, first: list[str], second: list[str]) -> DataFrame:
+    """New rows with ``first``, the least id of the rows of the batch that are linked to it by either key, directly or not.
+    Each key's rows are linked to its least id only. Keys with a null link nothing."""
+    def linked(keys: list[str]) -> DataFrame:
+        hubs = new.groupBy(*keys).agg(F.min(id_).alias("b"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        return new.select(F.col(id_).alias("a"), *keys).join(hubs, keys).select("a", "b")
+
+    members = clusters(linked(first).union(linked(second))).withColumnsRenamed({"id": id_, "cluster": "first"})
+    return new.join(members, id_, "left").withColumn("first", F.coalesce("first", id_))
+
+
 def mergeable_lists(classes: DataFrame, least: float = 0.96, top_least: float = 0.8, metrics: int = 4, nutrition_least: float = 0.95) -> DataFrame:
     """(ga, gb, a, b), directed: the class ``a`` agrees with the class ``b`` of its group whose list is another, as names and
     nutrition are near. Classes: ``grp, list, cls, names, nutrition``; ``list`` names a group's list. Lists are compared

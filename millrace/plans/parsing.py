@@ -51,12 +51,12 @@ def f5(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.review_date(raw).alias("review_day"), F.date_format(P.unix_time(unix), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("F6", """WITH n AS (SELECT p_partkey, list_filter([lower(split_part(p_name, ' ', 1)), lower(p_brand), CASE WHEN lower(p_type) = 'promo steel' THEN 'steel' ELSE lower(p_type) END], lambda x: x <> 'water') AS names FROM part)
+@query("F6", """WITH n AS (SELECT p_partkey, list_filter([lower(split_part(p_name, ' ', 1)), lower(p_brand), CASE WHEN lower(p_type) = 'promo steel' THEN 'steel' ELSE lower(p_type) END, 'fowl', 'salt'], lambda x: x <> 'water') AS names FROM part)
 SELECT p_partkey, array_to_string(names, '|') AS names, sha256('["' || array_to_string(names, '", "') || '"]') AS fingerprint FROM n""")
 def f6(spark, sf_dir):
     first = F.split("p_name", " ")[0]
-    text = F.concat(first, F.lit(" (fresh, min. 4%), "), F.col("p_brand"), F.lit(" [a; b] 12.5%; Water, "), F.col("p_type"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", P.nested_names(("water",), {"promo steel": "steel"})(text).alias("n"))
+    text = F.concat(first, F.lit(" (fresh, min. 4%), "), F.col("p_brand"), F.lit(" [a; b] 12.5%; Water, Wares and products thereof 40% ("), F.col("p_type"), F.lit(" 5%, Fowl [fresh, dried]), Other products thereof 3%, Salt"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.nested_names(("water",), {"promo steel": "steel"}, ("products thereof",))(text).alias("n"))
     return rows.select("p_partkey", F.array_join("n", "|").alias("names"), F.sha2(F.concat(F.lit('["'), F.array_join("n", '", "'), F.lit('"]')), 256).alias("fingerprint"))
 
 

@@ -39,6 +39,9 @@ def test_fold_and_grams(spark):
 def test_nested_names_and_segmentation():
     assert parse.split_nested("Chicken (fresh, 20%), Rice 5%; Fish[a,b], water", ("water",), {"fish": "cod"}) == ["chicken", "rice", "cod"]
     assert parse.split_nested(None, (), {}) == []
+    grouped = "Fish products 43% (tuna, sardine (smoked); oil), Meat products 42%, chicken, meal), Plum (open, end"
+    assert parse.split_nested(grouped, (), {}, headers=("products",)) == ["tuna", "sardine", "oil", "chicken", "meal", "plum"]
+    assert parse.split_nested("A products (b products (c, d), e)", (), {}, headers=("products",)) == ["c", "d", "e"]
     known = frozenset({"ab", "c", "abc", "d"})
     assert parse.only_segmentation("abd", known) == ["ab", "d"]
     assert parse.only_segmentation("abc", known) == []  # two ways
@@ -197,6 +200,14 @@ def formulas(rng, n, groups):
         yield rng.choice(groups), i * 3 % 101 + (1 << 60), None if rng.random() < 0.03 else names, nutrition
 
 
+def test_first_in_batch_and_conflicts(spark):
+    df = spark.createDataFrame([(5, "a", 1), (3, "b", 1), (9, "b", 2), (4, "c", 3), (7, None, 4), (8, None, 5)], "id long, t string, n int")
+    assert sorted(values(similar.first_in_batch(df, "id", ["t"], ["n"]).select("id", "first"))) == [(3, 3), (4, 4), (5, 3), (7, 7), (8, 8), (9, 3)]
+    points = spark.createDataFrame([(1, ["cat"], None), (2, ["dog"], [1]), (3, [], [2]), (4, ["cat", "dog"], [1])], "id long, s array<string>, l array<int>")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(1, 5), 2)), "a long, b long")
+    assert sorted(values(similar.without_conflicts(pairs, points, "id", ["s", "l"]))) == [(1, 3), (1, 4), (2, 4)]
+
+
 def test_ordered_clusters_against_plain_python(spark):
     schema = "g long, id long, names array<string>, nutrition map<string,double>, cluster string"
     rng = random.Random(11)
