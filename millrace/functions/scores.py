@@ -53,9 +53,40 @@ def fit_score(features: dict[str, tuple[Column, float]], rules: list[tuple[Colum
 
 
 def hit_rate(text: Column, keywords: list[str], base: float, step: float = 0.12, top: float = 0.85) -> Column:
-    """base + step per keyword found, at most ``top``."""
+    """base + step per keyword found, at most ``top``; 0 where none is found, null for a null text."""
     hits = F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k)))
-    return F.least(F.lit(base) + hits * step, F.lit(top))
+    return F.when(text.isNull(), F.lit(None).cast("double")).when(hits == 0, 0.0).otherwise(F.least(F.lit(base) + hits * step, F.lit(top)))
+
+
+def level_rate(name: Column, rates: list[tuple[str, float]]) -> Column:
+    """The rate of the first listed level that a level's name contains; 0 without one or for null."""
+    out = F.lit(0.0)
+    for part, rate in reversed(rates):
+        out = F.when(F.contains(name, F.lit(part)), rate).otherwise(out)
+    return out
+
+
+def derived_rate(probability: Column, index: Column, by_level: Column, by_hits: Column) -> Column:
+    """The greatest of a probability, an index, a level's rate and a keyword rate, each inside 0..1; nulls count 0."""
+    return F.greatest(*[F.coalesce(clamp(c, 0.0, 1.0), F.lit(0.0)) for c in (probability, index, by_level, by_hits)])
+
+
+def on_scale(c: Column, top: float) -> Column:
+    """A value inside 0..top; null outside."""
+    return F.when(c.between(0, top), c)
+
+
+def burden_level(c: Column, top: float) -> Column:
+    """missing, low, medium_low, elevated or high by the share of a scale; scales of 1 have wider low bands."""
+    share = c / top
+    low, medium = (0.35, 0.65) if top == 1 else (0.25, 0.5)
+    return F.when(c.isNull(), "missing").when(share <= low, "low").when(share <= medium, "medium_low").when(share <= 0.75, "elevated").otherwise("high")
+
+
+def support_level(c: Column, top: float) -> Column:
+    """missing, low, medium_low, medium_high or high by quarters of a scale."""
+    share = c / top
+    return F.when(c.isNull(), "missing").when(share <= 0.25, "low").when(share <= 0.5, "medium_low").when(share <= 0.75, "medium_high").otherwise("high")
 
 
 def level(c: Column, strong: float = 75.0, weak: float = 60.0) -> Column:

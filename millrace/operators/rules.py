@@ -48,6 +48,11 @@ def longest_alias(aliases: list[tuple[str, str]]):
     return tag
 
 
+def first_category(text: Column, categories: list[tuple[str, str]]) -> Column:
+    """The first (name, pattern) category whose pattern the text matches; null without one. Serves names that no alias fits."""
+    return F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in categories])
+
+
 def contained_aliases(text: Column, aliases: list[str]) -> Column:
     """Aliases of a small dictionary that the text contains, in dictionary order, without a UDF."""
     low = F.lower(text)
@@ -71,6 +76,18 @@ def signal_score(text: Column, signals: list[tuple[str, str, int]]) -> tuple[Col
     return tags([(text.rlike(p), n) for n, p, _ in signals]), score.cast("long")
 
 
+def choice_verdict(names: Column, score: Column, intents: dict[str, str], context: list[str], choice: list[str], condition: Column, weak: Column, least: int = 5) -> tuple[Column, Column]:
+    """(keep, intents) of a text from its signal names and score. Intents are those of its signals. A text that names a condition
+    is kept (intent Need without another). Otherwise it needs a signal of ``context`` and one of ``choice`` or the intent
+    Experience or Switch, mustn't be a mere ``weak`` phrase, and is kept from ``least`` points on (intent Decision without another)."""
+    has = lambda wanted: F.arrays_overlap(names, F.array(*map(F.lit, wanted)))
+    found = F.array_distinct(tags([(F.array_contains(names, n), i) for n, i in intents.items()]))
+    moved = [n for n, i in intents.items() if i in ("Experience", "Switch")]
+    chosen = has(context) & has([*choice, *moved]) & ~weak
+    default = F.when(condition, F.array(F.lit("Need"))).when(chosen, F.array(F.lit("Decision"))).otherwise(F.array().cast("array<string>"))
+    return condition | (chosen & (score >= least)), F.when(F.size(found) > 0, found).otherwise(default)
+
+
 def condition_confidence(own: Column, context: Column, pattern: str, ambiguous: str) -> Column:
     """high: in the own text; medium: there by an ambiguous term only, or both contexts; low: in the context alone."""
     return F.when(own.rlike(pattern), "high").when(own.rlike(ambiguous) & context.rlike(pattern), "medium").when(context.rlike(pattern), "low")
@@ -114,12 +131,20 @@ def switch_path(brands: list[str], patterns: tuple[str, ...]):
     return path
 
 
-def mention_spans(symptoms: list[str], outcomes: dict[str, str], negations: list[str], window: int = 30, before: int = 6):
-    """Pandas UDF text -> array of (symptom, start, end, negated, outcome): longest symptoms first without overlap; negated
-    by a word within ``before`` characters ahead; the outcome word nearest within ``window`` characters."""
+def mention_spans(symptoms: list[str], outcomes: dict[str, str], negations: list[str], window: int = 30, before: int = 6, onsets: dict[str, str] | None = None):
+    """Pandas UDF text -> array of (symptom, start, end, negated, outcome; onset if ``onsets`` are given): longest symptoms first
+    without overlap; negated by a word within ``before`` characters ahead; the outcome and the onset (such as before or after
+    use, each a pattern) nearest within ``window`` characters, the least name on ties."""
     words = sorted(symptoms, key=lambda s: (-len(s), s))
 
-    @F.pandas_udf("array<struct<symptom:string,start:int,end:int,negated:boolean,outcome:string>>")
+    def places(low: str, patterns: dict[str, str]) -> list[tuple[int, int, str]]:
+        return [(m.start(), m.end(), name) for name, p in patterns.items() for m in re.finditer(p, low)]
+
+    def nearest(found: list[tuple[int, int, str]], a: int, b: int) -> str | None:
+        near = [(min(abs(x - b), abs(a - y)), name) for x, y, name in found if x <= b + window and y >= a - window and (x >= b or y <= a)]
+        return min(near)[1] if near else None
+
+    @F.pandas_udf(f"array<struct<symptom:string,start:int,end:int,negated:boolean,outcome:string{',onset:string' if onsets else ''}>>")
     def spans(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
@@ -131,10 +156,10 @@ def mention_spans(symptoms: list[str], outcomes: dict[str, str], negations: list
                         taken.append((at, at + len(w), w))
                     at = low.find(w, at + 1)
             rows = []
-            places = [(m.start(), m.end(), o) for o, p in outcomes.items() for m in re.finditer(p, low)] if taken else []
+            outcome_at, onset_at = (places(low, outcomes), places(low, onsets or {})) if taken else ([], [])
             for a, b, w in sorted(taken):
-                near = [(min(abs(x - b), abs(a - y)), o) for x, y, o in places if x <= b + window and y >= a - window and (x >= b or y <= a)]
-                rows.append({"symptom": w, "start": a, "end": b, "negated": any(n in low[max(0, a - before) : a] for n in negations), "outcome": min(near)[1] if near else None})
+                negated = any(n in low[max(0, a - before) : a] for n in negations)
+                rows.append({"symptom": w, "start": a, "end": b, "negated": negated, "outcome": nearest(outcome_at, a, b)} | ({"onset": nearest(onset_at, a, b)} if onsets else {}))
             out.append(rows)
         return pd.Series(out, dtype=object)
 
@@ -197,6 +222,11 @@ def arg_max_label(candidates: dict[str, Column]) -> Column:
     return F.array_max(F.array_compact(F.array(*rows)))["n"]
 
 
+def structure_labels(dimensions: list[tuple[str, Column]]) -> Column:
+    """``dimension:class`` labels of the dimensions whose class isn't null, in order."""
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{name}:"), label) for name, label in dimensions]))
+
+
 def capability_scores(tag_rows: DataFrame, rules: DataFrame, entity: str) -> DataFrame:
     """Capability per entity from tag rows (entity, tag_key, score) and rule rows (rule, tag_key, role, weight) with roles
     required_any, required_all, optional, negative: all required_all tags and one required_any tag (if the rule has any)
@@ -210,6 +240,13 @@ def capability_scores(tag_rows: DataFrame, rules: DataFrame, entity: str) -> Dat
     return ok.select(entity, "rule", "score", F.when(F.col("score") >= 7, "strong").when(F.col("score") >= 4, "medium").otherwise("weak").alias("level"))
 
 
+def grouped_attributes(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """Array of (kind, attributes found) for every kind of the (kind, attribute, pattern) rules with an attribute in the text."""
+    kinds = list(dict.fromkeys(k for k, _, _ in rules))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(tags([(text.rlike(p), a) for g, a, p in rules if g == k])).alias("attributes")) for k in kinds])
+    return F.filter(rows, lambda r: F.size(r["attributes"]) > 0)
+
+
 def polarity(text: Column, good: str, bad: str) -> Column:
     g, b = text.rlike(good), text.rlike(bad)
     return F.when(g & b, "mixed").when(g, "positive").when(b, "negative").otherwise("neutral")

@@ -154,3 +154,42 @@ def alias_audit(names: DataFrame, aliases: DataFrame, key: str, target: str) ->
     n = aliases.groupBy(key).agg(F.countDistinct(target).alias("__n"), F.min(target).alias("__t"))
     status = F.when(F.col("__n") == 1, "unique").when(F.col("__n") > 1, "ambiguous").otherwise("unmatched")
     return names.join(n, key, "left").withColumn("status", status).withColumn("target", F.when(F.col("__n") == 1, F.col("__t"))).drop("__n", "__t")
+
+
+def latest_samples(rows: DataFrame, topic: str, conversation: str, turn: str, text: str) -> DataFrame:
+    """The latest message (greatest turn, then text) of each conversation per topic."""
+    last = rows.groupBy(topic, conversation).agg(F.max(F.struct(F.col(turn), F.col(text))).alias("__l"))
+    return last.select(topic, conversation, F.col(f"__l.{turn}").alias(turn), F.col(f"__l.{text}").alias(text))
+
+
+def direction_states(metrics: DataFrame, keys: list[str], metric: str, changed: Column, directions: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """One row per key and direction (name -> core metrics, required metrics): abnormal if a core metric changed, normal if all
+    required ones are there, else insufficient; with the changed core metrics and the missing required ones."""
+    day = metrics.groupBy(*keys).agg(F.collect_set(metric).alias("__present"), F.collect_set(F.when(changed, F.col(metric))).alias("__changed"))
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("direction"), F.array_intersect(texts(core), "__changed").alias("evidence"), F.array_except(texts(required), "__present").alias("missing"))
+        for name, (core, required) in directions.items()])
+    state = F.when(F.size("evidence") > 0, "abnormal").when(F.size("missing") == 0, "normal").otherwise("insufficient")
+    return day.select(*keys, F.explode(rows).alias("d")).select(*keys, "d.*").withColumn("state", state)
+
+
+def label_insights(rows: DataFrame, main: str, labels: str, resolved: str, unresolved: str, onset: str, k: int = 4) -> DataFrame:
+    """The k most frequent second labels of each main label (ties by name): count, share of the main label's rows, share
+    resolved among those with an outcome, unresolved count and most frequent onset (the greatest name on ties)."""
+    part = rows.select(main, resolved, unresolved, onset, F.explode(labels).alias("label")).groupBy(main, "label", onset).agg(
+        F.count("*").alias("n"), F.count_if(resolved).alias("__y"), F.count_if(unresolved).alias("unresolved"))
+    most = F.max(F.when(F.col(onset).isNotNull(), F.struct("n", F.col(onset).alias("o"))))
+    counts = part.groupBy(main, "label").agg(most.alias("__o"), F.sum("n").alias("n"), F.sum("__y").alias("__y"), F.sum("unresolved").alias("unresolved"))
+    place = F.row_number().over(Window.partitionBy(main).orderBy(F.desc("n"), "label"))
+    top = counts.withColumn("place", place).where(F.col("place") <= k).join(rows.groupBy(main).agg(F.count("*").alias("__all")), main)
+    known = F.col("__y") + F.col("unresolved")
+    return top.select(main, "label", "place", "n", (F.col("n") / F.col("__all")).alias("share"), F.when(known > 0, F.col("__y") / known).alias("resolved_rate"), "unresolved", F.col("__o.o").alias("top_onset"))
+
+
+def year_over_year(rows: DataFrame, key: str, year: str, before: int) -> DataFrame:
+    """Change in percent between a key's last two years before the given one; keys with fewer years are left out."""
+    counts = rows.where(F.col(year) < before).groupBy(key, year).agg(F.count("*").alias("n"))
+    last = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(year).alias("y"), "n"))).alias("__s")).where(F.size("__s") > 1)
+    a, b = F.element_at("__s", -2), F.element_at("__s", -1)
+    return last.select(key, a["y"].alias("previous"), b["y"].alias("current"), F.round((b["n"] - a["n"]) * 100 / a["n"], 1).alias("change"))

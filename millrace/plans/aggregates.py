@@ -201,14 +201,16 @@ def a22(spark, sf_dir):
 
 
 @query("A23", """WITH m AS (SELECT conv_id, turn, text, unnest(list_filter([CASE WHEN text LIKE '%the%' THEN 'the' END, CASE WHEN text LIKE '%eau%' THEN 'eau' END, CASE WHEN text LIKE '%keit%' THEN 'keit' END], lambda x: x IS NOT NULL)) AS topic FROM conversations),
-l AS (SELECT topic, conv_id, max(turn) AS turn FROM m GROUP BY 1, 2)
-SELECT topic, count(*) AS conversations, array_to_string(list_sort(list(conv_id))[1:3], '|') AS samples FROM l GROUP BY 1""")
+l AS (SELECT topic, conv_id, max({'turn': turn, 'text': text}) AS last FROM m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY conv_id) AS r FROM l)
+SELECT topic, count(*) AS conversations, string_agg(conv_id || ':' || last.turn || ':' || md5(last.text), '|' ORDER BY conv_id) FILTER (r <= 3) AS samples FROM r GROUP BY 1""")
 def a23(spark, sf_dir):
     topics = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in ("the", "eau", "keit")]))
-    latest = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(topics).alias("topic")).groupBy("topic", "conv_id").agg(F.max("turn").alias("turn"))
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy("conv_id"))
-    out = latest.withColumn("r", rank).groupBy("topic").agg(F.count("*").alias("conversations"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("conv_id")))).alias("s"))
-    return out.select("topic", "conversations", F.array_join(F.transform("s", lambda x: x.cast("string")), "|").alias("samples"))
+    latest = A.latest_samples(table(spark, sf_dir, "conversations").withColumn("topic", F.explode(topics)), "topic", "conv_id", "turn", "text")
+    first = latest.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("conv_id"))).where("r <= 3")
+    samples = first.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("s"))
+    shown = F.transform("s", lambda x: F.concat_ws(":", x["conv_id"].cast("string"), x["turn"].cast("string"), F.md5(x["text"].cast("binary"))))
+    return latest.groupBy("topic").agg(F.count("*").alias("conversations")).join(samples, "topic").select("topic", "conversations", F.array_join(shown, "|").alias("samples"))
 
 
 @query("A24", """SELECT coalesce(nullif(trim(CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END), ''), 'other') AS priority, year(o_orderdate)::INT AS year, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus <> 'F') AS open FROM orders GROUP BY 1, 2""")
@@ -237,28 +239,36 @@ def a26(spark, sf_dir):
     return g.select("l_orderkey", "eligible", "used", (F.col("eligible") - F.col("used")).alias("missing"), ratio.alias("ratio"), F.array_join("n", "|").alias("names"), F.round("w", 6).alias("weighted"))
 
 
-@query("A27", """WITH m AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, avg(value) AS v FROM events GROUP BY 1, 2, 3), r(direction, event_type, core) AS (VALUES ('use', 'view', true), ('use', 'click', false), ('buy', 'purchase', true), ('buy', 'signup', false)),
-g AS (SELECT user_id, day, direction, count(*) FILTER (core AND v > 30) AS changed, count(*) AS present, string_agg(m.event_type, '|' ORDER BY m.event_type) FILTER (v > 30) AS evidence FROM m JOIN r ON m.event_type = r.event_type GROUP BY 1, 2, 3)
-SELECT user_id, day, direction, CASE WHEN changed > 0 THEN 'abnormal' WHEN present = 2 THEN 'normal' ELSE 'insufficient' END AS state, coalesce(evidence, '') AS evidence FROM g""")
+@query("A27", """WITH m AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, avg(value) AS v FROM events GROUP BY 1, 2, 3),
+d AS (SELECT user_id, day, list(event_type) AS present, coalesce(list(event_type) FILTER (v > 30), []) AS changed FROM m GROUP BY 1, 2),
+r(direction, core, required) AS (VALUES ('buy', ['purchase'], ['purchase', 'signup']), ('trust', ['error', 'signup'], ['error']), ('use', ['click', 'view'], ['click', 'view']))
+SELECT user_id, day, direction, CASE WHEN list_has_any(core, changed) THEN 'abnormal' WHEN list_has_all(present, required) THEN 'normal' ELSE 'insufficient' END AS state,
+ array_to_string(list_filter(core, lambda x: list_contains(changed, x)), '|') AS evidence, array_to_string(list_filter(required, lambda x: NOT list_contains(present, x)), '|') AS missing FROM d, r""")
 def a27(spark, sf_dir):
     daily = table(spark, sf_dir, "events").groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg("value").alias("v"))
-    rules = spark.createDataFrame([("use", "view", True), ("use", "click", False), ("buy", "purchase", True), ("buy", "signup", False)], "direction string, event_type string, core boolean")
-    g = daily.join(rules, "event_type").groupBy("user_id", "day", "direction").agg(F.count_if(F.col("core") & (F.col("v") > 30)).alias("changed"), F.count("*").alias("present"), F.array_sort(F.collect_list(F.when(F.col("v") > 30, F.col("event_type")))).alias("e"))
-    state = F.when(F.col("changed") > 0, "abnormal").when(F.col("present") == 2, "normal").otherwise("insufficient")
-    return g.select("user_id", "day", "direction", state.alias("state"), F.array_join("e", "|").alias("evidence"))
+    directions = {"buy": (["purchase"], ["purchase", "signup"]), "trust": (["error", "signup"], ["error"]), "use": (["click", "view"], ["click", "view"])}
+    states = A.direction_states(daily, ["user_id", "day"], "event_type", F.col("v") > 30, directions)
+    return states.select("user_id", "day", "direction", "state", F.array_join("evidence", "|").alias("evidence"), F.array_join("missing", "|").alias("missing"))
 
 
-@query("A28", """WITH s AS (SELECT l_returnflag AS main, unnest(string_split(p_type || ' ' || p_brand, ' ')) AS second, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT main, second, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS resolved FROM s GROUP BY 1, 2),
+@query("A28", """WITH s AS (SELECT l_returnflag AS main, unnest(string_split(p_type || ' ' || p_brand, ' ')) AS second, l_linestatus, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey),
+o AS (SELECT main, second, l_linenumber, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS resolved, count(*) FILTER (l_linestatus = 'O') AS unresolved FROM s GROUP BY 1, 2, 3),
+c AS (SELECT main, second, sum(n)::BIGINT AS n, sum(resolved)::BIGINT AS resolved, sum(unresolved)::BIGINT AS unresolved, list(l_linenumber ORDER BY n DESC, l_linenumber DESC)[1] AS top_onset FROM o GROUP BY 1, 2),
 t AS (SELECT l_returnflag AS main, count(*) AS total FROM lineitem GROUP BY 1)
-SELECT main, second, n, round(n / total::DOUBLE, 6) AS share, round(resolved / n::DOUBLE, 6) AS resolved_rate FROM (SELECT *, row_number() OVER (PARTITION BY main ORDER BY n DESC, second) AS r FROM c JOIN t USING (main)) WHERE r <= 4""")
+SELECT main, second, r AS place, n, round(n / total::DOUBLE, 6) AS share, CASE WHEN resolved + unresolved > 0 THEN round(resolved / (resolved + unresolved)::DOUBLE, 6) END AS resolved_rate, unresolved, top_onset
+FROM (SELECT *, row_number() OVER (PARTITION BY main ORDER BY n DESC, second) AS r FROM c JOIN t USING (main)) WHERE r <= 4""")
 def a28(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    seconds = lines.select(F.col("l_returnflag").alias("main"), "l_linestatus", F.explode(F.split(F.concat_ws(" ", "p_type", "p_brand"), " ")).alias("second"))
-    counts = seconds.groupBy("main", "second").agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("resolved"))
-    totals = lines.groupBy(F.col("l_returnflag").alias("main")).agg(F.count("*").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("main").orderBy(F.desc("n"), "second"))
-    top = counts.withColumn("r", rank).where("r <= 4").join(totals, "main")
-    return top.select("main", "second", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round(F.col("resolved") / F.col("n"), 6).alias("resolved_rate"))
+    rows = lines.select(F.col("l_returnflag").alias("main"), F.split(F.concat_ws(" ", "p_type", "p_brand"), " ").alias("labels"), (F.col("l_linestatus") == "F").alias("resolved"), (F.col("l_linestatus") == "O").alias("unresolved"), "l_linenumber")
+    top = A.label_insights(rows, "main", "labels", "resolved", "unresolved", "l_linenumber")
+    return top.select("main", F.col("label").alias("second"), "place", "n", F.round("share", 6).alias("share"), F.round("resolved_rate", 6).alias("resolved_rate"), "unresolved", "top_onset")
+
+
+@query("A28b", """WITH y AS (SELECT o_orderpriority AS main, year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) < 1998 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY year DESC) AS r FROM y)
+SELECT a.main, b.year AS previous, a.year AS current, round((a.n - b.n) * 100 / b.n::DOUBLE, 1) AS change FROM r a JOIN r b ON a.main = b.main AND a.r = 1 AND b.r = 2""")
+def a28b(spark, sf_dir):
+    return A.year_over_year(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("main"), F.year("o_orderdate").alias("year")), "main", "year", 1998)
 
 
 @query("A29", """WITH a AS (SELECT lower(p_name) AS k, count(DISTINCT p_brand) AS n, min(p_brand) AS t FROM part GROUP BY 1)

@@ -17,10 +17,12 @@ _D = "(SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)"
 
 @query("R1", f"""WITH a(alias, std, i) AS (VALUES ('thing', 'T', 0), ('ing', 'I', 1), ('eau', 'E', 2), ('the', 'H', 3), ('keit', 'K', 4)),
 m AS (SELECT doc_id, arg_max(std, length(alias) * 100 - i) AS brand FROM {_D} d JOIN a ON contains(lower(text), alias) GROUP BY doc_id)
-SELECT d.doc_id, brand FROM {_D} d LEFT JOIN m USING (doc_id)""")
+SELECT d.doc_id, brand, coalesce(brand, CASE WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'numbered' WHEN regexp_matches(text, '\\ber') THEN 'er-word' END) AS product FROM {_D} d LEFT JOIN m USING (doc_id)""")
 def r1(spark, sf_dir):
     tag = R.longest_alias([("thing", "T"), ("ing", "I"), ("eau", "E"), ("the", "H"), ("keit", "K")])
-    return _docs(spark, sf_dir).select("doc_id", tag("text").alias("brand"))
+    brands = _docs(spark, sf_dir).select("doc_id", "text", tag("text").alias("brand"))
+    category = R.first_category(F.col("text"), [("numbered", "[0-9]{3}"), ("er-word", r"\ber")])
+    return brands.select("doc_id", "brand", F.coalesce("brand", category).alias("product"))
 
 
 @query("R2", f"""WITH l AS (SELECT doc_id, regexp_matches(text, '[*$%&#]{{3}}') AS blocked, regexp_matches(text, 'threat|erstand') OR regexp_matches(text, 'eaux|keiten') AS body,
@@ -31,11 +33,16 @@ def r2(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(labels, "|").alias("labels"))
 
 
-@query("R3", f"""WITH s AS (SELECT doc_id, regexp_matches(text, 'ing\\b') AS a, regexp_matches(text, '[0-9]') AS b, regexp_matches(text, '\\bth') AS c FROM {_D})
-SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'need' END, CASE WHEN b THEN 'number' END, CASE WHEN c THEN 'switch' END) AS signals, (a::INT * 3 + b::INT * 2 + c::INT * 2)::BIGINT AS score, (a::INT * 3 + b::INT * 2 + c::INT * 2) >= 5 AS keep FROM s""")
+@query("R3", f"""WITH s AS (SELECT doc_id, regexp_matches(text, 'ing\\b') AS a, regexp_matches(text, '[0-9]') AS b, regexp_matches(text, '\\bth') AS c, contains(text, 'eaux') AS condition, regexp_full_match(text, '\\s*(ok|thanks)[.!]*\\s*') AS weak FROM {_D}),
+v AS (SELECT *, (a OR b) AND (b OR c) AND NOT weak AS chosen, (a::INT * 3 + b::INT * 2 + c::INT * 2)::BIGINT AS score, concat_ws('|', CASE WHEN a THEN 'Need' END, CASE WHEN c THEN 'Switch' END) AS found FROM s)
+SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'need' END, CASE WHEN b THEN 'number' END, CASE WHEN c THEN 'switch' END) AS signals, score, condition OR (chosen AND score >= 5) AS keep,
+ CASE WHEN found <> '' THEN found WHEN condition THEN 'Need' WHEN chosen THEN 'Decision' ELSE '' END AS intents FROM v""")
 def r3(spark, sf_dir):
-    names, score = R.signal_score(F.col("text"), [("need", r"ing\b", 3), ("number", "[0-9]", 2), ("switch", r"\bth", 2)])
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(names, "|").alias("signals"), score.alias("score"), (score >= 5).alias("keep"))
+    text = F.col("text")
+    names, score = R.signal_score(text, [("need", r"ing\b", 3), ("number", "[0-9]", 2), ("switch", r"\bth", 2)])
+    condition, weak = F.contains(text, F.lit("eaux")), text.rlike(r"^\s*(ok|thanks)[.!]*\s*\z")
+    keep, intents = R.choice_verdict(names, score, {"need": "Need", "switch": "Switch"}, ["need", "number"], ["number"], condition, weak)
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(names, "|").alias("signals"), score.alias("score"), keep.alias("keep"), F.array_join(intents, "|").alias("intents"))
 
 
 @query("R4", """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text), '') AS prior FROM conversations)
@@ -71,7 +78,7 @@ def r7(spark, sf_dir):
 
 @query("R8")
 def r8(spark, sf_dir):
-    spans = R.mention_spans(["thing", "nothing", "tion"], {"better": r"bl[ey]", "worse": r"\bno"}, ["the ", "un"])
+    spans = R.mention_spans(["thing", "nothing", "tion"], {"better": r"bl[ey]", "worse": r"\bno"}, ["the ", "un"], onsets={"before": r"\bsince\b|\bold", "after": r"\bafter\b|\bnew"})
     return _docs(spark, sf_dir).select("doc_id", F.explode(spans("text")).alias("m")).select("doc_id", "m.*")
 
 
@@ -98,13 +105,27 @@ def r12(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull() & F.col("url").rlike(r"^https?://[^/\s]+/") & F.col("html").rlike("<title>[^<]+</title>")).select("page_id", "url")
 
 
-@query("R13", """WITH f AS (SELECT l_partkey, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS n, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS r, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY l_partkey)
-SELECT l_partkey, unnest(list_filter([CASE WHEN a IS NULL AND n IS NULL AND r IS NULL THEN NULL WHEN coalesce(a, -1) >= coalesce(n, -1) AND coalesce(a, -1) >= coalesce(r, -1) THEN 'main:A' WHEN coalesce(n, -1) >= coalesce(r, -1) THEN 'main:N' ELSE 'main:R' END, CASE WHEN sources >= 3 THEN 'sources:many' END], lambda x: x IS NOT NULL)) AS label FROM f""")
+@query("R13", """WITH f AS (SELECT l_partkey, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS n, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS r, count(DISTINCT l_suppkey) AS sources,
+ count(*) AS lines, max(l_quantity) AS most, min(l_quantity) AS least, count(DISTINCT l_linestatus) AS states, max(year(l_shipdate)) - min(year(l_shipdate)) AS years FROM lineitem GROUP BY l_partkey)
+SELECT l_partkey, unnest(list_filter([CASE WHEN a IS NULL AND n IS NULL AND r IS NULL THEN NULL WHEN coalesce(a, -1) >= coalesce(n, -1) AND coalesce(a, -1) >= coalesce(r, -1) THEN 'main:A' WHEN coalesce(n, -1) >= coalesce(r, -1) THEN 'main:N' ELSE 'main:R' END,
+ CASE WHEN sources >= 3 THEN 'sources:many' WHEN sources = 2 THEN 'sources:two' ELSE 'sources:one' END, CASE WHEN lines >= 35 THEN 'lines:many' WHEN lines < 25 THEN 'lines:few' END, CASE WHEN most = 50 THEN 'order:full' END,
+ CASE WHEN most >= 10 * least THEN 'spread:wide' WHEN most < 4 * least THEN 'spread:narrow' END, CASE WHEN states > 1 THEN 'state:mixed' ELSE 'state:single' END, CASE WHEN years >= 5 THEN 'life:long' WHEN years < 2 THEN 'life:short' END], lambda x: x IS NOT NULL)) AS label FROM f""")
 def r13(spark, sf_dir):
     q = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
-    f = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(q("A").alias("a"), q("N").alias("n"), q("R").alias("r"), F.countDistinct("l_suppkey").alias("sources"))
-    main = F.concat(F.lit("main:"), R.arg_max_label({"A": F.col("a"), "N": F.col("n"), "R": F.col("r")}))
-    return f.select("l_partkey", F.explode(F.array_compact(F.array(main, F.when(F.col("sources") >= 3, "sources:many")))).alias("label"))
+    year = F.year("l_shipdate")
+    f = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        q("A").alias("a"), q("N").alias("n"), q("R").alias("r"), F.countDistinct("l_suppkey").alias("sources"), F.count("*").alias("lines"), F.max("l_quantity").alias("most"), F.min("l_quantity").alias("least"),
+        F.countDistinct("l_linestatus").alias("states"), (F.max(year) - F.min(year)).alias("years"))
+    c = F.col
+    labels = R.structure_labels([
+        ("main", R.arg_max_label({"A": c("a"), "N": c("n"), "R": c("r")})),
+        ("sources", F.when(c("sources") >= 3, "many").when(c("sources") == 2, "two").otherwise("one")),
+        ("lines", F.when(c("lines") >= 35, "many").when(c("lines") < 25, "few")),
+        ("order", F.when(c("most") == 50, "full")),
+        ("spread", F.when(c("most") >= 10 * c("least"), "wide").when(c("most") < 4 * c("least"), "narrow")),
+        ("state", F.when(c("states") > 1, "mixed").otherwise("single")),
+        ("life", F.when(c("years") >= 5, "long").when(c("years") < 2, "short"))])
+    return f.select("l_partkey", F.explode(labels).alias("label"))
 
 
 _RULES = [("c1", "A-F", "required_any", 2.0), ("c1", "N-F", "required_any", 2.0), ("c1", "R-F", "negative", 1.0), ("c2", "A-O", "required_all", 3.0), ("c2", "N-O", "required_all", 3.0), ("c2", "R-O", "optional", 1.0)]
@@ -121,10 +142,17 @@ def r14(spark, sf_dir):
     return R.capability_scores(tags, rules, "l_suppkey").withColumn("score", F.round("score", 6))
 
 
-@query("R15", f"""SELECT doc_id, CASE WHEN regexp_matches(text, '\\band\\b') AND regexp_matches(text, '!!|[*]{{3}}') THEN 'mixed' WHEN regexp_matches(text, '\\band\\b') THEN 'positive' WHEN regexp_matches(text, '!!|[*]{{3}}') THEN 'negative' ELSE 'neutral' END AS polarity,
- CASE WHEN regexp_matches(text, '\\bwas\\b') THEN 'lasting' ELSE 'once' END AS durability FROM {_D} WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 6""")
+_ATTRIBUTES = [("joint", "and", r"\band\b"), ("joint", "or", r"\bor\b"), ("mark", "digits", "[0-9]{4}"), ("mark", "loud", "!!")]
+
+
+@query("R15", f"""WITH e AS (SELECT doc_id, CASE WHEN regexp_matches(text, '\\band\\b') AND regexp_matches(text, '!!|[*]{{3}}') THEN 'mixed' WHEN regexp_matches(text, '\\band\\b') THEN 'positive' WHEN regexp_matches(text, '!!|[*]{{3}}') THEN 'negative' ELSE 'neutral' END AS polarity,
+ CASE WHEN regexp_matches(text, '\\bwas\\b') THEN 'lasting' ELSE 'once' END AS durability,
+ unnest([{{'kind': 'joint', 'attributes': concat_ws('|', CASE WHEN regexp_matches(text, '\\band\\b') THEN 'and' END, CASE WHEN regexp_matches(text, '\\bor\\b') THEN 'or' END)}},
+  {{'kind': 'mark', 'attributes': concat_ws('|', CASE WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'digits' END, CASE WHEN contains(text, '!!') THEN 'loud' END)}}]) AS g FROM {_D} WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 6)
+SELECT doc_id, g.kind AS kind, g.attributes AS attributes, polarity, durability FROM e WHERE g.attributes <> ''""")
 def r15(spark, sf_dir):
     from ..functions.text import substantive_length
 
     rows = _docs(spark, sf_dir).where(substantive_length(F.col("text")) >= 6)
-    return rows.select("doc_id", R.polarity(F.col("text"), r"\band\b", "!!|[*]{3}").alias("polarity"), F.when(F.col("text").rlike(r"\bwas\b"), "lasting").otherwise("once").alias("durability"))
+    found = rows.select("doc_id", R.polarity(F.col("text"), r"\band\b", "!!|[*]{3}").alias("polarity"), F.when(F.col("text").rlike(r"\bwas\b"), "lasting").otherwise("once").alias("durability"), F.explode(R.grouped_attributes(F.col("text"), _ATTRIBUTES)).alias("g"))
+    return found.select("doc_id", "g.kind", F.array_join("g.attributes", "|").alias("attributes"), "polarity", "durability")

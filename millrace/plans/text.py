@@ -91,9 +91,10 @@ def p10(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(fit, 6).alias("fit"))
 
 
-@query("P11", """SELECT doc_id, round(greatest(least(0.2 + 0.12 * ((position('the' IN text) > 0)::INT + (position('ing' IN text) > 0)::INT + (position('eau' IN text) > 0)::INT), 0.85), CASE WHEN n_chars > 1000 THEN 0.5 ELSE 0.1 END), 6)::DOUBLE AS rate FROM documents""")
+@query("P11", """WITH h AS (SELECT *, (position('the' IN text) > 0)::INT + (position('ing' IN text) > 0)::INT + (position('eau' IN text) > 0)::INT AS hits FROM documents)
+SELECT doc_id, round(greatest(coalesce(least(n_chars / 20000, 1), 0), doc_id % 50 / 100, CASE WHEN lang IN ('en', 'de') THEN 0.15 WHEN lang = 'fr' THEN 0.4 ELSE 0 END, coalesce(CASE WHEN hits > 0 THEN least(0.2 + 0.12 * hits, 0.85) ELSE 0 END, 0)), 6)::DOUBLE AS rate FROM h""")
 def p11(spark, sf_dir):
-    rate = F.greatest(S.hit_rate(F.col("text"), ["the", "ing", "eau"], 0.2), F.when(F.col("n_chars") > 1000, 0.5).otherwise(0.1))
+    rate = S.derived_rate(F.col("n_chars") / 20000, F.col("doc_id") % 50 / 100, S.level_rate(F.col("lang"), [("en", 0.15), ("de", 0.15), ("fr", 0.4)]), S.hit_rate(F.col("text"), ["the", "ing", "eau"], 0.2))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(rate, 6).alias("rate"))
 
 
@@ -107,13 +108,21 @@ def p12(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"), S.level(score).alias("level"), F.array_join(found, "|").alias("tags"))
 
 
-@query("P13", """WITH v AS (SELECT s_suppkey, CASE WHEN s_acctbal BETWEEN 0 AND 10000 THEN s_acctbal END AS burden, CASE WHEN s_nationkey <= 20 THEN s_nationkey END AS support FROM supplier)
-SELECT s_suppkey, CASE WHEN burden / 10000 >= 0.66 THEN 'high' WHEN burden / 10000 >= 0.33 THEN 'medium' WHEN burden IS NOT NULL THEN 'low' END AS burden_level,
- CASE WHEN support / 20.0 >= 0.66 THEN 'high' WHEN support / 20.0 >= 0.33 THEN 'medium' WHEN support IS NOT NULL THEN 'low' END AS support_level,
- sha256('{"support":' || coalesce(support::VARCHAR, 'null') || ',"key":' || s_suppkey || '}') AS source_hash FROM v""")
+#: (name, expression, top of the scale, is a burden) of the six dimensions of a portrait.
+_PORTRAIT = [("balance", "s_acctbal / 10000", 1, True), ("place", "s_nationkey / 20", 1, True), ("load", "s_suppkey % 13 / 10", 1, True),
+             ("fibre", "s_suppkey % 7", 5, False), ("carbs", "s_suppkey % 8", 5, True), ("aid", "s_nationkey % 7", 5, False)]
+
+
+def _portrait_level_sql(name: str, expression: str, top: int, burden: bool) -> str:
+    (low, medium), third = ((0.35, 0.65) if burden and top == 1 else (0.25, 0.5)), "elevated" if burden else "medium_high"
+    v = f"({expression})"
+    return f"CASE WHEN {v} IS NULL OR {v} NOT BETWEEN 0 AND {top} THEN 'missing' WHEN {v} / {top} <= {low} THEN 'low' WHEN {v} / {top} <= {medium} THEN 'medium_low' WHEN {v} / {top} <= 0.75 THEN '{third}' ELSE 'high' END AS {name}"
+
+
+@query("P13", f"""SELECT s_suppkey, {", ".join(_portrait_level_sql(*d) for d in _PORTRAIT)},
+ sha256('{{"key":' || s_suppkey || ',"fibre":' || CASE WHEN s_suppkey % 7 <= 5 THEN (s_suppkey % 7)::VARCHAR ELSE 'null' END || ',"carbs":' || CASE WHEN s_suppkey % 8 <= 5 THEN (s_suppkey % 8)::VARCHAR ELSE 'null' END || '}}') AS source_hash FROM supplier""")
 def p13(spark, sf_dir):
-    burden = F.when(F.col("s_acctbal").between(0, 10000), F.col("s_acctbal")) / 10000
-    support = F.when(F.col("s_nationkey") <= 20, F.col("s_nationkey"))
-    band = lambda c: F.when(c >= 0.66, "high").when(c >= 0.33, "medium").when(c.isNotNull(), "low")
-    source = F.to_json(F.struct(support.alias("support"), F.col("s_suppkey").alias("key")), {"ignoreNullFields": "false"})
-    return table(spark, sf_dir, "supplier").select("s_suppkey", band(burden).alias("burden_level"), band(support / 20.0).alias("support_level"), F.sha2(source, 256).alias("source_hash"))
+    value = {name: S.on_scale(F.expr(e), top) for name, e, top, _ in _PORTRAIT}
+    levels = [(S.burden_level if burden else S.support_level)(value[name], top).alias(name) for name, _, top, burden in _PORTRAIT]
+    source = F.to_json(F.struct(F.col("s_suppkey").alias("key"), value["fibre"].alias("fibre"), value["carbs"].alias("carbs")), {"ignoreNullFields": "false"})
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *levels, F.sha2(source, 256).alias("source_hash"))

@@ -337,3 +337,61 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_mention_spans_against_plain_python(spark):
+    rng = random.Random(8)
+    words = ["sore", "sores", "no ", "well", "bad", "since", "after", "xx", " ", "old sore "]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, ""]
+    outcomes, onsets = {"good": "well", "ill": "bad"}, {"before": "since|old", "after": "after"}
+    spans = rules.mention_spans(["sore", "sores", "old sore"], outcomes, ["no "], window=12, onsets=onsets)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.id, *r.m) for r in df.select("id", F.explode(spans("t")).alias("m")).collect()}
+
+    def near(text, patterns, a, b):
+        best = None
+        for name in sorted(patterns):
+            for part in patterns[name].split("|"):
+                for x in range(len(text)):
+                    y = x + len(part)
+                    if text[x:y] == part and (x >= b or y <= a):
+                        gap = x - b if x >= b else a - y
+                        if gap <= 12 and (best is None or gap < best[0]):
+                            best = (gap, name)
+        return best and best[1]
+
+    want = set()
+    for i, text in enumerate(texts):
+        free = [True] * len(text or "")
+        for w in ("old sore", "sores", "sore"):
+            for a in range(len(text or "")):
+                b = a + len(w)
+                if text[a:b] == w and all(free[a:b]):
+                    free[a:b] = [False] * len(w)
+                    want.add((i, w, a, b, "no " in text[max(0, a - 6) : a], near(text, outcomes, a, b), near(text, onsets, a, b)))
+    assert got == want and len(want) > 200
+
+
+def test_choice_verdict(spark):
+    rows = [(["need"], 3, False, False), (["need", "number"], 5, False, False), (["number"], 2, False, False), (["need", "switch"], 5, False, True), ([], 0, True, False), (["switch"], 2, False, False), (["number"], 6, False, False)]
+    df = spark.createDataFrame(rows, "n array<string>, s int, c boolean, w boolean")
+    keep, intents = rules.choice_verdict(F.col("n"), F.col("s"), {"need": "Need", "switch": "Switch"}, ["need", "number"], ["number"], F.col("c"), F.col("w"))
+    got = [tuple(r) for r in df.select(keep.alias("k"), intents.alias("i")).collect()]
+    assert got == [(False, ["Need"]), (True, ["Need"]), (False, ["Decision"]), (False, ["Need", "Switch"]), (True, ["Need"]), (False, ["Switch"]), (True, ["Decision"])]
+
+
+def test_rates_levels_and_directions(spark):
+    from millrace.functions import scores
+    from millrace.operators import stats
+
+    df = spark.createDataFrame([(0.3, 1.7, "very high", "aa bb"), (None, None, "none", "zz"), (None, None, None, None)], "p double, x double, l string, t string")
+    by_level = scores.level_rate(F.col("l"), [("very high", 0.85), ("high", 0.65)])
+    rate = scores.derived_rate(F.col("p"), F.col("x") / 10, by_level, scores.hit_rate(F.col("t"), ["aa", "bb"], 0.2))
+    assert [r[0] for r in df.select(rate).collect()] == [0.85, 0.0, 0.0]
+    v = spark.createDataFrame([(None,), (0.0,), (0.3,), (0.6,), (0.7,), (1.0,)], "v double")
+    assert [r[0] for r in v.select(scores.burden_level(F.col("v"), 1)).collect()] == ["missing", "low", "low", "medium_low", "elevated", "high"]
+    assert [r[0] for r in v.select(scores.support_level(F.col("v"), 1)).collect()] == ["missing", "low", "medium_low", "medium_high", "medium_high", "high"]
+    m = spark.createDataFrame([("u", "a", True), ("u", "b", False), ("w", "b", True)], "k string, m string, c boolean")
+    got = stats.direction_states(m, ["k"], "m", F.col("c"), {"d": (["a"], ["a", "b"]), "e": (["x"], ["b"])})
+    assert sorted(tuple(r) for r in got.select("k", "direction", "state", "evidence", "missing").collect()) == [
+        ("u", "d", "abnormal", ["a"], []), ("u", "e", "normal", [], []), ("w", "d", "insufficient", [], ["a"]), ("w", "e", "normal", [], [])]
