@@ -187,7 +187,7 @@ def label_insights(rows: DataFrame, main: str, labels: str, resolved: str, unres
     return top.select(main, "label", "place", "n", (F.col("n") / F.col("__all")).alias("share"), F.when(known > 0, F.col("__y") / known).alias("resolved_rate"), "unresolved", F.col("__o.o").alias("top_onset"))
 
 
-def year_over_year(rows: DataFrame, key: str, year: str, before: int) -> DataFrame:
+def last_two_years(rows: DataFrame, key: str, year: str, before: int) -> DataFrame:
     """Change in percent between a key's last two years before the given one; keys with fewer years are left out."""
     counts = rows.where(F.col(year) < before).groupBy(key, year).agg(F.count("*").alias("n"))
     last = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(year).alias("y"), "n"))).alias("__s")).where(F.size("__s") > 1)

@@ -268,7 +268,7 @@ def a28(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY year DESC) AS r FROM y)
 SELECT a.main, b.year AS previous, a.year AS current, round((a.n - b.n) * 100 / b.n::DOUBLE, 1) AS change FROM r a JOIN r b ON a.main = b.main AND a.r = 1 AND b.r = 2""")
 def a28b(spark, sf_dir):
-    return A.year_over_year(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("main"), F.year("o_orderdate").alias("year")), "main", "year", 1998)
+    return A.last_two_years(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("main"), F.year("o_orderdate").alias("year")), "main", "year", 1998)
 
 
 @query("A29", """WITH a AS (SELECT lower(p_name) AS k, count(DISTINCT p_brand) AS n, min(p_brand) AS t FROM part GROUP BY 1)
