@@ -1,8 +1,9 @@
 """Which of several quality filters remove what, in every order in which they can be applied.
 
 The words of the texts are held as a sparse document-term matrix. Each task encodes a few megabytes of texts with a
-dictionary of its own and writes them as one CSR shard; the shards' distinct words make the global dictionary, with dense
-term numbers; each shard's words are looked up there once, and its columns become global terms. A row's sum is its
+dictionary of its own, its words in the order of their hashes, and writes them as one CSR shard. The global dictionary is
+dealt into buckets of hashes, as many as an estimate of all distinct words asks for: a shard sends each bucket its words as
+one packed row and gets their numbers back in the same order, so its columns become global terms. A row's sum is its
 document's number of words, its number of nonzero entries the number of distinct words: these decide filters A and B.
 C (upper-case letters) and D (symbols) are marked while a text is read, E (an equal text with a smaller id) comes from a
 digest of 128 bits. A document then is five bits, and all orders are worked out from the counts of each source's bit sets.
@@ -23,6 +24,7 @@ from itertools import chain, permutations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,9 @@ from .base import cut, read
 
 FILTERS = "ABCDE"
 SHARD_BYTES = 4 << 20  # of text in a shard, about
+BUCKET_WORDS = 1 << 16  # distinct words in a bucket of the dictionary, about
+SKETCH = 1024
+_SIGN = np.uint64(1 << 63)
 _UPPER, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 _SYMBOL[list(b"#$%&*|")] = True
@@ -43,6 +48,11 @@ def _encode(shard: int, ids: list, parts: list, raws: list[bytes]) -> tuple:
     columns = np.fromiter((known.setdefault(w, len(known)) for row in rows for w in row), np.int64)
     counts = np.fromiter(chain.from_iterable(row.values() for row in rows), np.int64)
     indptr = np.r_[0, np.cumsum([len(row) for row in rows])].astype(np.int64)
+    hashes = _hashes(list(known))
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    words = list(known)
     marks = np.zeros(len(raws), np.uint8)
     for i, raw in enumerate(raws):
         b = np.frombuffer(raw, np.uint8)
@@ -51,15 +61,21 @@ def _encode(shard: int, ids: list, parts: list, raws: list[bytes]) -> tuple:
     digests = [hashlib.blake2b(raw, digest_size=16).digest() for raw in raws]
     width = np.min_scalar_type(max(len(known), 1))
     size = np.min_scalar_type(int(counts.max(initial=1)))
-    return shard, ids, parts, digests, marks.tobytes(), indptr.tobytes(), width.str, columns.astype(width).tobytes(), size.str, counts.astype(size).tobytes(), list(known)
+    least = (np.unique(hashes)[:SKETCH] ^ _SIGN).view(np.int64)  # in the order of signed numbers
+    return shard, ids, parts, digests, marks.tobytes(), indptr.tobytes(), width.str, place[columns].astype(width).tobytes(), size.str, counts.astype(size).tobytes(), b" ".join([words[i] for i in order.tolist()]), least
 
 
 _SHARD = "shard long, ids array<string>, parts array<string>, digests array<binary>, marks binary, indptr binary, width string, indices binary, size string, counts binary"
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """CSR shards of whole texts, each with a dictionary of its own (``words``, in the order of its columns)."""
-    schema = _SHARD + ", words array<binary>"
+    """CSR shards of whole texts, each with a dictionary of its own (``words``, joined by spaces in the order of its
+    columns, which is that of their hashes) and its ``sketch``, the least hashes."""
+    schema = _SHARD + ", words binary, sketch array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,25 +100,60 @@ def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.mapInPandas(run, schema)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``word, term``: the distinct words of all shards with dense numbers from 0. A word is sent once by a shard; the
-    numbers are its place in its partition plus the sizes of the partitions before, one number for each partition."""
-    words = cut(shards.select(F.explode("words").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("m")))
-    block = F.shiftright("m", 33)
-    before, total = {}, 0
-    for b, n in sorted(map(tuple, words.groupBy(block.alias("b")).agg(F.count("*")).collect())):
-        before[b], total = total, total + n
-    if not before:
-        return words.select("word", F.col("m").alias("term"))
-    offset = F.create_map(*[F.lit(x).cast("long") for x in chain.from_iterable(before.items())])
-    return words.select("word", (offset[block] + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("term"))
+def distinct_words(shards: DataFrame) -> int:
+    """About how many distinct words all shards have, from the SKETCH least hashes (some 3 % off)."""
+    least = shards.select(F.explode("sketch").alias("h")).distinct().orderBy("h").limit(SKETCH).agg(F.count("*").alias("n"), F.max("h").alias("h")).first()
+    if least["n"] < SKETCH:
+        return least["n"]
+    return int((SKETCH - 1) * 2.0**64 / (least["h"] + 2.0**63))
+
 
+def term_numbers(shards: DataFrame, buckets: int) -> DataFrame:
+    """``shard, bucket, numbers, first, fresh``: the numbers of a shard's words inside each bucket of hashes, in the shard's
+    order; ``fresh`` are the words that got their numbers here, counted on from ``first``. A bucket holds its own distinct
+    words only. The term of number n in bucket b is n * buckets + b."""
+    bound = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
-def term_matrix(shards: DataFrame, terms: DataFrame) -> DataFrame:
-    """The CSR shards with global columns, in order within a row. Each shard looks up its distinct words once."""
-    places = shards.select("shard", F.posexplode("words").alias("place", "word")).join(terms, "word")
-    listed = places.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t")).select("shard", F.col("t.term").alias("terms"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shards.schema if f.name != "words")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, packed in zip(batch["shard"], batch["words"]):
+                words = packed.split(b" ") if packed else []
+                ends = [0, *np.searchsorted(_hashes(words), bound).tolist(), len(words)]
+                rows = [(shard, b, b" ".join(words[s:e])) for b, (s, e) in enumerate(zip(ends, ends[1:])) if s < e]
+                yield pd.DataFrame(rows, columns=["shard", "bucket", "words"])
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known = None, {}
+        for batch in batches:
+            rows = []
+            for shard, bucket, packed in batch.itertuples(index=False, name=None):
+                if bucket != at:
+                    at, known = bucket, {}
+                first = len(known)
+                words = packed.split(b" ")
+                numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+                fresh = b" ".join([w for w, n in zip(words, (numbers >= first).tolist()) if n])
+                rows.append((shard, bucket, numbers.astype(np.min_scalar_type(len(known))), first, fresh))
+            out = pd.DataFrame(rows, columns=["shard", "bucket", "numbers", "first", "fresh"])
+            out["width"] = [n.dtype.str for n in out["numbers"]]
+            out["numbers"] = [n.tobytes() for n in out["numbers"]]
+            yield out
+
+    dealt = shards.select("shard", "words").mapInPandas(deal, "shard long, bucket int, words binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInPandas(number, "shard long, bucket int, numbers binary, first long, fresh binary, width string")
+
+
+def dictionary(numbers: DataFrame, buckets: int) -> DataFrame:
+    """``word, term`` of all terms."""
+    fresh = numbers.where(F.length("fresh") > 0).select("bucket", "first", F.posexplode(F.split(F.decode("fresh", "UTF-8"), " ")).alias("n", "word"))
+    return fresh.select("word", ((F.col("first") + F.col("n")) * buckets + F.col("bucket")).alias("term"))
+
+
+def term_matrix(shards: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
+    """The CSR shards with global columns, in order within a row."""
+    listed = numbers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "width", "numbers"))).alias("numbers"))
+    columns = _SHARD.split(", ")
+    names = [c.split()[0] for c in columns]
 
     def globally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,15 +162,16 @@ def term_matrix(shards: DataFrame, terms: DataFrame) -> DataFrame:
                 local = np.frombuffer(row["indices"].iat[0], row["width"].iat[0])
                 indptr = np.frombuffer(row["indptr"].iat[0], np.int64)
                 counts = np.frombuffer(row["counts"].iat[0], row["size"].iat[0])
-                columns = np.asarray(row["terms"].iat[0], np.int64)[local] if len(local) else np.zeros(0, np.int64)
+                found = row["numbers"].iat[0]
+                terms = [np.frombuffer(x["numbers"], x["width"]).astype(np.int64) * buckets + x["bucket"] for x in (found if found is not None else [])]
+                terms = np.concatenate([np.zeros(0, np.int64), *terms])[local]
                 of = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                order = np.lexsort((columns, of))
-                width = np.min_scalar_type(int(columns.max(initial=0)))
-                row["width"], row["indices"], row["counts"] = width.str, [columns[order].astype(width).tobytes()], [counts[order].tobytes()]
-                yield row.drop(columns="terms")
+                order = np.lexsort((terms, of))
+                width = np.min_scalar_type(int(terms.max(initial=0)))
+                row["width"], row["indices"], row["counts"] = width.str, [terms[order].astype(width).tobytes()], [counts[order].tobytes()]
+                yield row.drop(columns="numbers")
 
-    # a shard without words has no terms
-    return shards.drop("words").join(listed, "shard", "left").select(*[f.name for f in shards.schema if f.name != "words"], F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")).mapInPandas(globally, schema)
+    return shards.select(names).join(listed, "shard", "left").select(*names, "numbers").mapInPandas(globally, _SHARD)  # a shard without words has no numbers
 
 
 def row_statistics(matrix: DataFrame) -> DataFrame:
@@ -141,7 +193,9 @@ def row_statistics(matrix: DataFrame) -> DataFrame:
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """``id, part, n_words, n_distinct, failed`` of every document; bit i of ``failed`` is set if it fails FILTERS[i]."""
     shards = cut(local_shards(docs, id_col, text_col, part_col))
-    rows = cut(row_statistics(term_matrix(shards, dictionary(shards))).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
+    buckets = -(-distinct_words(shards) // BUCKET_WORDS) or 1
+    matrix = term_matrix(shards, term_numbers(shards, buckets).select("shard", "bucket", "width", "numbers"), buckets)
+    rows = cut(row_statistics(matrix).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = cut(first)  # read anew, so that the join can split a popular text
     joined = rows.join(first, "digest", "left")

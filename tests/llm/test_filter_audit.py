@@ -62,6 +62,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 1500])
 def test_failures_and_audit(spark, rows, shard_bytes, monkeypatch):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 100)
     labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 200, 3)] + [(12, 1, 1), (12, 0, 0), (None, 1, 1)]
     failed = filter_audit.failures(frame(spark, rows)).cache()
     assert sorted((str(r["id"]), r["failed"]) for r in failed.collect()) == sorted((str(r[0]), b) for r, b in zip(rows, brute_failures(rows)))
@@ -70,16 +71,19 @@ def test_failures_and_audit(spark, rows, shard_bytes, monkeypatch):
     assert sorted(map(tuple, report.select(names).collect())) == sorted(brute_audit(rows, labels))
 
 
-def test_matrix_is_the_document_term_matrix(spark, rows, monkeypatch):
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_matrix_is_the_document_term_matrix(spark, rows, monkeypatch, buckets):
     import numpy as np
 
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 3000)
     shards = filter_audit.local_shards(frame(spark, rows)).cache()
-    terms = filter_audit.dictionary(shards)
-    known = {r["term"]: bytes(r["word"]).decode() for r in terms.collect()}
-    assert sorted(known) == list(range(len(known))) and len(set(known.values())) == len(known)
+    assert abs(filter_audit.distinct_words(shards) / len({w for _, t, _ in rows for w in SPACE.findall(t or "")}) - 1) < 0.2
+    numbers = filter_audit.term_numbers(shards, buckets).cache()
+    terms = filter_audit.dictionary(numbers, buckets).collect()
+    known = {r["term"]: r["word"] for r in terms}
+    assert len(known) == len(terms) == len(set(known.values()))
     got = []
-    for r in filter_audit.term_matrix(shards, terms).collect():
+    for r in filter_audit.term_matrix(shards, numbers, buckets).collect():
         at, cols, n = np.frombuffer(r["indptr"], np.int64), np.frombuffer(r["indices"], r["width"]), np.frombuffer(r["counts"], r["size"])
         for k, i in enumerate(r["ids"]):
             assert (np.diff(cols[at[k] : at[k + 1]].astype(np.int64)) > 0).all()
