@@ -22,7 +22,7 @@ def use_checkpoints(spark: SparkSession) -> None:
     """The folder in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
@@ -51,6 +51,21 @@ def recall(pairs: DataFrame, scores: dict[str, float], top: int, n: int, brand:
     for s in scores:
         pairs = rank_in_group(pairs, ["target"], [F.desc(s), F.asc("other")], f"__r_{s}")
     kept = pairs.where(reduce(lambda a, b: a | b, [F.col(f"__r_{s}") <= top for s in scores])).drop(*[f"__r_{s}" for s in scores])
+    return rerank(kept, scores, n, brand)
+
+
+def pair_jaccard(pairs: DataFrame, vectors: DataFrame, entity: str, key: str, weight: str) -> DataFrame:
+    """The pairs (target, other) with their weighted Jaccard, 0 without a shared key."""
+    v = vectors.groupBy(F.col(entity).alias("__e"), key).agg(F.sum(weight).alias("__w"))
+    total = v.groupBy("__e").agg(F.sum("__w").alias("__s"))
+    left = pairs.select("target", "other").join(v.toDF("target", key, "wa"), "target")
+    low = left.join(v.toDF("other", key, "wb"), ["other", key]).groupBy("target", "other").agg(F.sum(F.least("wa", "wb")).alias("low"))
+    both = pairs.join(low, ["target", "other"], "left").join(total.toDF("target", "sa"), "target").join(total.toDF("other", "sb"), "other")
+    return both.withColumn("similarity", F.when(F.col("low") > 0, F.col("low") / (F.col("sa") + F.col("sb") - F.col("low"))).otherwise(0.0)).drop("low", "sa", "sb")
+
+
+def rerank(kept: DataFrame, scores: dict[str, float], n: int, brand: str) -> DataFrame:
+    """Recalled pairs by their weighted score: the best of each brand, n per target."""
     kept = kept.withColumn("final", F.round(reduce(lambda a, b: a + b, [F.col(s) * w for s, w in scores.items()]), 9))
     best = rank_in_group(kept, ["target", brand], [F.desc("final"), F.asc("other")], "__b").where("__b = 1").drop("__b")
     return rank_in_group(best, ["target"], [F.desc("final"), F.asc("other")]).where(F.col("rank") <= n)
