@@ -93,22 +93,111 @@ def closeness(seed: DataFrame, rows: DataFrame, features: dict[str, float], labe
     return joined.withColumn("closeness", close + F.when(F.arrays_overlap(labels, "__labels"), bonus).otherwise(-malus)).drop("__labels", *[f"__m_{f}" for f in features])
 
 
+def bigram_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct character bigrams of a text as numbers, and their counts; a shorter text is a feature of its own."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique((c[:-1] << 21) | c[1:], return_counts=True) if len(c) > 1 else (c if len(c) else np.array([-1]), np.ones(1, np.int64))
+
+
 @F.pandas_udf(DoubleType())
 def bigram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cosine of the character bigram counts of two texts."""
-
-    def one(x: str, y: str) -> float:
-        p, q = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (x, y))
-        norm = math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
-        return sum(v * q[k] for k, v in p.items()) / norm if norm else float(x == y)
+    """Cosine of the character bigram counts of two texts; a batch counts each of its texts once."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    at, texts = pd.factorize(pd.concat([a, b], ignore_index=True).fillna(""))
+    lists = [bigram_codes(t) for t in texts]
+    size = np.array([len(x) for x, _ in lists])
+    end = np.cumsum(size)
+    feature = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)[1]
+    n = np.concatenate([y for _, y in lists])
+    square = np.bincount(np.repeat(np.arange(len(size)), size), n * n)
+    most = int(feature.max()) + 1
+    key = np.repeat(np.arange(len(size)), size) * most + feature  # ascending
+    x, y = at[: len(a)], at[len(a) :]
+    of = np.repeat(np.arange(len(x)), size[x])
+    mine = np.arange(len(of)) - np.repeat(np.cumsum(size[x]) - size[x], size[x]) + (end - size)[x][of]
+    wanted = y[of] * most + feature[mine]
+    there = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    dot = np.bincount(of, np.where(key[there] == wanted, n[mine] * n[there], 0), minlength=len(x))
+    return pd.Series(dot / np.sqrt((square[x] * square[y]).astype(np.float64)))
+
+
+SLOTS = 1 << 16  # of the table of bigram counts
+PRODUCTS = 20  # pairs that a block product compares in the time of one that prefixes meet in, about
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
+def near_texts(rows: DataFrame, key: str, text: str, bucket: list[str], threshold: float = 0.94) -> DataFrame:
+    """Pairs (a < b) of one bucket whose bigram cosine, or 0.9 x sequence ratio, reaches the threshold, exactly. Above a
+    threshold of 0.9 the ratio can't matter and a bucket takes the cheaper of two exact ways: where its prefixes
+    (``prefixes``) meet far less often than its texts are pairs, work grows with the candidates; where they don't, as the
+    alphabet is small and the lines are long, block products (``near_texts_in_blocks``) compare all its pairs."""
+    if threshold <= 0.9:
+        return near_texts_in_blocks(rows, key, text, bucket, threshold)
+    use_checkpoints(rows.sparkSession)
+    named = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("v"), *bucket)
+    post = prefixes(named, bucket, threshold).checkpoint()
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    meets = post.groupBy(*bucket, "f").agg(F.count("*").alias("n")).groupBy(*bucket).agg(F.sum(pairs("n")).alias("meets"))
+    dense = named.groupBy(*bucket).agg(F.count("*").alias("n")).join(meets, bucket).where(PRODUCTS * F.col("meets") > pairs("n")).select(*bucket).checkpoint()
+    texts = named.select("k", "v")
+    both = candidates(post.join(dense, bucket, "left_anti"), bucket, threshold).join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    found = both.withColumn("similarity", bigram_cosine("x", "y")).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return found.union(near_texts_in_blocks(named.join(dense, bucket, "left_semi"), "k", "v", bucket, threshold))
+
+
+def prefixes(named: DataFrame, bucket: list[str], threshold: float) -> DataFrame:
+    """``k, bucket, f, w, rest`` of texts (``k, v``): in one order of all bigrams, rare ones first, the first bigrams until the
+    norm of the rest is below the threshold, each with its weight and that norm. The order comes from counts in a table of
+    fixed size."""
+    kind = named.schema["k"].dataType.simpleString()
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for v in batch["v"]:
+                total += np.bincount(_slot(bigram_codes(v)[0]), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at, "n": total[at]})
 
+    often = np.zeros(SLOTS, np.int64)
+    for slot, n in named.select("v").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
+        often[slot] = n
 
-def near_texts(rows: DataFrame, key: str, text: str, bucket: list[str], threshold: float = 0.94, tile: int = 2048) -> DataFrame:
-    """Pairs (a < b) of one bucket whose bigram cosine, or 0.9 x sequence ratio, reaches the threshold. Every pair of a
-    bucket is compared: the bucket is dealt into tiles, each pair of tiles is one group and one block product of bigram
-    counts. Above a threshold of 0.9 the cosine alone decides; otherwise every pair's ratio is worked out."""
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = []
+            for v in batch["v"]:
+                codes, n = bigram_codes(v)
+                order = np.lexsort((codes, often[_slot(codes)]))
+                square = n[order].astype(np.float64) ** 2
+                rest = np.sqrt(np.maximum(0, 1 - np.cumsum(square) / square.sum()))  # the norm of what follows
+                size = int(np.searchsorted(-rest, -(threshold - 1e-9), "right")) + 1
+                lists.append((codes[order][:size], np.sqrt(square / square.sum())[:size], rest[:size]))
+            out = batch.drop(columns="v")
+            for name, i in (("f", 0), ("w", 1), ("rest", 2)):
+                out[name] = pd.Series([x[i] for x in lists], index=batch.index, dtype=object)
+            yield out
+
+    kinds = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in bucket)
+    listed = named.mapInPandas(first, f"k {kind}, {kinds}, f array<long>, w array<double>, rest array<double>")
+    return listed.select("k", *bucket, F.explode(F.arrays_zip("f", "w", "rest")).alias("e")).select("k", *bucket, "e.*")
+
+
+def candidates(post: DataFrame, bucket: list[str], threshold: float) -> DataFrame:
+    """Pairs (a < b) of one bucket that may reach the threshold: they share a bigram of both prefixes, and what they share
+    first, with the norms of what follows it on either side, bounds their cosine; pairs whose bound is lower end in the join."""
+    right = post.withColumnsRenamed({"k": "b", "w": "wb", "rest": "rb"})
+    found = post.join(right, [*bucket, "f"]).where((F.col("k") < F.col("b")) & (F.col("w") * F.col("wb") + F.col("rest") * F.col("rb") >= threshold - 1e-9))
+    return found.select(F.col("k").alias("a"), "b").distinct()
+
+
+def near_texts_in_blocks(rows: DataFrame, key: str, text: str, bucket: list[str], threshold: float = 0.94, tile: int = 2048) -> DataFrame:
+    """``near_texts`` of any threshold by comparing every pair of a bucket: the bucket is dealt into tiles, each pair of tiles
+    is one group and one block product of bigram counts. Up to a threshold of 0.9 every pair's ratio is worked out."""
     named = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("v"), *bucket)
     sized = named.groupBy(*bucket).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = named.join(sized, bucket).withColumn("t", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))

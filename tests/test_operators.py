@@ -7,6 +7,8 @@ import math
 import os
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import plans
@@ -290,11 +292,26 @@ def test_near_texts_compares_all_pairs_of_a_bucket(spark):
         rows.append((i, rng.choice("xxy"), t[:at] + rng.choice(["", "q", "qr", "a" * 25]) + t[at:]))
     df = spark.createDataFrame(rows, "id long, g string, t string")
     for threshold, tile in ((0.94, 7), (0.94, 2048), (0.7, 7)):
-        got = {(a, b, round(v, 6)) for a, b, v in values(similar.near_texts(df, "id", "t", ["g"], threshold, tile))}
+        got = {(a, b, round(v, 6)) for a, b, v in values(similar.near_texts_in_blocks(df, "id", "t", ["g"], threshold, tile))}
         assert got == plain_near(rows, threshold)
+        assert {(a, b, round(v, 6)) for a, b, v in values(similar.near_texts(df, "id", "t", ["g"], threshold))} == got
     assert any(len(rows[a][2]) // 20 != len(rows[b][2]) // 20 for a, b, _ in plain_near(rows, 0.94))
 
 
+@pytest.mark.parametrize("products", [0, 20, 1e9])
+def test_near_texts_meets_few_pairs_that_are_not_near(spark, monkeypatch, products):
+    """Texts over a large alphabet make far fewer candidates than pairs; either way loses none."""
+    monkeypatch.setattr(similar, "PRODUCTS", products)
+    rng = random.Random(6)
+    words = ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    rows = [(i, "x", " ".join(rng.choice(words) for _ in range(12))) for i in range(300)]
+    rows += [(1000 + i, "x", t[:-1] + "é") for i, _, t in rows[:40]] + [(2000, "x", "a"), (2001, "x", "a"), (2002, "x", ""), (2003, "y", ""), (2004, "x", None), (2005, "x", "")]
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    got = {(a, b, round(v, 6)) for a, b, v in values(similar.near_texts(df, "id", "t", ["g"], 0.94))}
+    assert got == {(i, 1000 + i, round(v, 6)) for (i, j, v) in plain_near([r for r in rows if r[2] and len(r[2]) > 1], 0.94) if j == 1000 + i} | {(2000, 2001, 1.0), (2002, 2005, 1.0)}
+    assert similar.candidates(similar.prefixes(df.where("t IS NOT NULL").select(F.col("id").alias("k"), F.col("t").alias("v"), "g"), ["g"], 0.94), ["g"], 0.94).count() < 5000  # of 58,653 pairs
+
+
 def test_near_lines_of_whole_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "source", "text").collect()
     least = {}
