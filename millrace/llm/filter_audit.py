@@ -149,8 +149,8 @@ def dictionary(numbers: DataFrame, buckets: int) -> DataFrame:
     return fresh.select("word", ((F.col("first") + F.col("n")) * buckets + F.col("bucket")).alias("term"))
 
 
-def term_matrix(shards: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
-    """The CSR shards with global columns, in order within a row."""
+def term_matrix(shards: DataFrame, numbers: DataFrame, buckets: int, statistics: bool = False) -> DataFrame:
+    """The CSR shards with global columns, in order within a row; or, without leaving the task, ``row_statistics`` of them."""
     listed = numbers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "width", "numbers"))).alias("numbers"))
     columns = _SHARD.split(", ")
     names = [c.split()[0] for c in columns]
@@ -171,31 +171,38 @@ def term_matrix(shards: DataFrame, numbers: DataFrame, buckets: int) -> DataFram
                 row["width"], row["indices"], row["counts"] = width.str, [terms[order].astype(width).tobytes()], [counts[order].tobytes()]
                 yield row.drop(columns="numbers")
 
-    return shards.select(names).join(listed, "shard", "left").select(*names, "numbers").mapInPandas(globally, _SHARD)  # a shard without words has no numbers
+    joined = shards.select(names).join(listed, "shard", "left").select(*names, "numbers")  # a shard without words has no numbers
+    if statistics:
+        return joined.mapInPandas(lambda batches: _statistics(globally(batches)), _STATISTICS)
+    return joined.mapInPandas(globally, _SHARD)
+
+
+_STATISTICS = "id string, part string, digest binary, n_words long, n_distinct long, marks int"
+
+
+def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            indptr = np.frombuffer(row.indptr, np.int64)
+            counts = np.frombuffer(row.counts, row.size).astype(np.int64)
+            total = np.r_[0, np.cumsum(counts)][indptr]
+            nonzero = np.r_[0, np.cumsum(counts > 0)][indptr]
+            out = pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "part": list(row.parts), "digest": list(row.digests)})
+            out["n_words"], out["n_distinct"], out["marks"] = np.diff(total), np.diff(nonzero), np.frombuffer(row.marks, np.uint8).astype(np.int32)
+            yield out
 
 
 def row_statistics(matrix: DataFrame) -> DataFrame:
     """``id`` (as text)``, part, digest, n_words, n_distinct, marks`` of every document: sums and nonzero counts of the matrix's rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                indptr = np.frombuffer(row.indptr, np.int64)
-                counts = np.frombuffer(row.counts, row.size).astype(np.int64)
-                total = np.r_[0, np.cumsum(counts)][indptr]
-                nonzero = np.r_[0, np.cumsum(counts > 0)][indptr]
-                out = pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "part": list(row.parts), "digest": list(row.digests)})
-                out["n_words"], out["n_distinct"], out["marks"] = np.diff(total), np.diff(nonzero), np.frombuffer(row.marks, np.uint8).astype(np.int32)
-                yield out
-
-    return matrix.mapInPandas(run, "id string, part string, digest binary, n_words long, n_distinct long, marks int")
+    return matrix.mapInPandas(_statistics, _STATISTICS)
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """``id, part, n_words, n_distinct, failed`` of every document; bit i of ``failed`` is set if it fails FILTERS[i]."""
     shards = cut(local_shards(docs, id_col, text_col, part_col))
     buckets = -(-distinct_words(shards) // BUCKET_WORDS) or 1
-    matrix = term_matrix(shards, term_numbers(shards, buckets).select("shard", "bucket", "width", "numbers"), buckets)
-    rows = cut(row_statistics(matrix).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
+    matrix = term_matrix(shards, term_numbers(shards, buckets).select("shard", "bucket", "width", "numbers"), buckets, statistics=True)
+    rows = cut(matrix.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = cut(first)  # read anew, so that the join can split a popular text
     joined = rows.join(first, "digest", "left")

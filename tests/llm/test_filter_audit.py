@@ -83,7 +83,9 @@ def test_matrix_is_the_document_term_matrix(spark, rows, monkeypatch, buckets):
     known = {r["term"]: r["word"] for r in terms}
     assert len(known) == len(terms) == len(set(known.values()))
     got = []
-    for r in filter_audit.term_matrix(shards, numbers, buckets).collect():
+    matrix = filter_audit.term_matrix(shards, numbers, buckets).cache()
+    assert sorted(map(str, filter_audit.row_statistics(matrix).collect())) == sorted(map(str, filter_audit.term_matrix(shards, numbers, buckets, statistics=True).collect()))
+    for r in matrix.collect():
         at, cols, n = np.frombuffer(r["indptr"], np.int64), np.frombuffer(r["indices"], r["width"]), np.frombuffer(r["counts"], r["size"])
         for k, i in enumerate(r["ids"]):
             assert (np.diff(cols[at[k] : at[k + 1]].astype(np.int64)) > 0).all()
