@@ -345,8 +345,55 @@ def test_best_candidates_of_all_parts(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice("ggggh"), rng.choice(["ab", "abc", "x"]), rng.choice(["one", "one two", "two", "tow", "three"])) for i in range(80)] + [(90, "alone", "ab", "one"), (-3, "g", "x", "three")]
     df = spark.createDataFrame(rows, "id long, g string, t string, x string")
-    got = {(a, b, round(v, 6)) for a, b, v in values(match.best_candidates(df, "id", "g", "t", "x").select("a", "b", "score"))}
-    assert got == plain(rows)
+    for tile in (512, 4):
+        got = {(a, b, round(v, 6)) for a, b, v in values(match.best_candidates(df, "id", "g", "t", "x", tile).select("a", "b", "score"))}
+        assert got == plain(rows)
+
+
+def test_bounds_spare_most_ratios(monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(60)]
+    rows = [(i, rng.choice(["acme", "apex"]), " ".join(rng.sample(words, 3))) for i in range(300)]
+    rows += [(1000 + i, t, x[:-1] + "é") for i, t, x in rows[:60]] + [(5000, None, "a"), (5001, "acme", None), (5002, "", "")]
+    asked = []
+    real = match._ratio
+    monkeypatch.setattr(match, "_ratio", lambda a, b: asked.append(1) or real(a, b))
+    got = match.bounded_best(rows, rows, [None] * len(rows))
+    few = len(asked)
+    want = [max((0.4 * match._lifted(t, u, 0.95) + 0.6 * match._lifted(x, y, 0.92), -j) for j, u, y in rows if j != i) for i, t, x in rows]
+    assert got == want
+    assert few < len(rows) ** 2 / 4
+
+
+def test_containing_pairs_in_both_directions(spark):
+    rng = random.Random(2)
+    texts = [("g", None), (None, "ab"), ("h", "")] + [(rng.choice("gh"), "".join(rng.choice("abé") for _ in range(rng.randrange(0, 9)))) for _ in range(120)]
+    df = spark.createDataFrame(texts, "g string, t string")
+    pairs = match.containing_pairs(df.select("g", F.col("t").alias("x")), df.select("g", F.col("t").alias("y")), ["g"])
+    known = {x for x in texts if None not in x}
+    assert sorted(map(tuple, pairs.collect())) == sorted((g, x, y) for g, x in known for h, y in known if g == h and y in x)
+    assert match.containing_pairs(df.select(F.col("t").alias("x")), df.select(F.col("t").alias("y")).where(F.lit(False)), []).count() == 0
+
+
+def test_best_in_block_with_popular_tokens(spark):
+    """Every name shares a token; the best come from rarer ones, containment and small keys."""
+    rng = random.Random(11)
+    words = ["common", "frequent", "odd", "queer", "rare", "seldom", "x", "yz"]
+    name = lambda: " ".join(["common"] + rng.sample(words, rng.randrange(0, 4)))
+    products = [(i, rng.choice("aab"), name()) for i in range(90)]
+    items = [(i, g, rng.choice(["", "new "]) + n) for i, g, n in products[:60]] + [(500, "a", "zzz"), (501, "b", "uncommonly"), (502, "a", None)]
+    got = match.best_in_block(spark.createDataFrame(items, "item long, g string, title string"), spark.createDataFrame(products, "p long, g string, n string"), "g", "item", "title", "p", "n")
+    want = []
+    for i, g, x in items:
+        found = []
+        for p, h, y in products:
+            if x is not None and g == h and p != i:
+                score = min(len(x), len(y)) if x in y or y in x else sum(map(len, set(x.split()) & set(y.split())))
+                found += [(score, -p)] if score >= 4 else []
+        if found:
+            want.append((i, -max(found)[1], max(found)[0]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
 
 
 def test_entry(spark):
