@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import incremental as I
+from ..sources import versions as V
+from ..streaming import rebuilds as B
 from .registry import query, table
+from .sources import files_folder
 
 
 @query("T1", """WITH t AS (SELECT event_type, max(event_id) AS m FROM events WHERE ts < TIMESTAMP '2024-01-20' AND event_type <> 'error' GROUP BY 1) SELECT event_id, e.event_type FROM events e LEFT JOIN t ON e.event_type = t.event_type WHERE m IS NULL OR event_id > m""")
@@ -34,6 +37,38 @@ def t4(spark, sf_dir):
     return I.dirty_keys(marks, marks.where("ts < timestamp'2024-01-30' AND key % 3 = 0"), "key", "generation")
 
 
+def _pieces(spark, sf_dir):
+    """The events in three pieces by id, each with the events of the one before once more, as a late export has them."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    ends = [low + (high - low) * i // 3 for i in range(3)] + [high]
+    return [events.where((F.col("event_id") > (ends[max(0, i - 1)] if i else low - 1)) & (F.col("event_id") <= ends[i + 1])) for i in range(3)]
+
+
+def _streamed(spark, pieces, start):
+    """A stream over a folder that is started anew, on its checkpoint, for each piece that comes in; the table it fills."""
+    folder = files_folder(spark)
+    for piece in pieces:
+        piece.write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(piece.schema).parquet(f"{folder}/in")
+        start(rows, f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return V.read(spark, f"{folder}/table")
+
+
+@query("T1b", "SELECT event_id, event_type FROM events")
+def t1b(spark, sf_dir):
+    return _streamed(spark, _pieces(spark, sf_dir), lambda rows, path: B.append_new(rows, path, ["event_type"], "event_id")).select("event_id", "event_type")
+
+
+@query("T4b", "SELECT user_id AS key, max(event_id) AS generation, count(*) AS n FROM events GROUP BY 1")
+def t4b(spark, sf_dir):
+    """Every change of a user marks it; what is built is the number of its events."""
+    sizes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"))
+    marks = [p.select(F.col("user_id").alias("key"), F.col("event_id").alias("generation")) for p in _pieces(spark, sf_dir)]
+    built = _streamed(spark, marks, lambda rows, path: B.rebuild_dirty(rows, path, lambda todo: todo.join(sizes, "key")))
+    return B.latest(built).select("key", "generation", "n")
+
+
 @query("T5", "SELECT p_partkey FROM part WHERE p_partkey % 7 = 0")
 def t5(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")

@@ -10,10 +10,11 @@ from ..functions.parse import first_number
 from ..operators import incremental as I
 from ..operators.similar import use_checkpoints
 from ..sources import files as S
+from ..sources import versions as V
 from .registry import query, table
 
 
-def _folder(spark) -> str:
+def files_folder(spark) -> str:
     use_checkpoints(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -21,7 +22,7 @@ def _folder(spark) -> str:
 
 @query("S1", "SELECT o_orderkey AS post_id, o_orderpriority AS title, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0")
 def s1(spark, sf_dir):
-    path = _folder(spark)
+    path = files_folder(spark)
     id_ = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string"))
     rows = table(spark, sf_dir, "orders").select(id_.alias("post_id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
     rows.union(rows.where("post_id LIKE '%1'")).write.option("header", True).csv(path)  # some ids come twice
@@ -30,7 +31,7 @@ def s1(spark, sf_dir):
 
 @query("S2", """SELECT p_partkey::VARCHAR AS item_id, sha256(p_partkey || chr(10) || p_brand || chr(10) || p_name || chr(10) || p_size || chr(10) || (p_size * 7) || '+') AS fingerprint, p_size::DOUBLE AS price FROM part WHERE p_partkey % 9 <> 0""")
 def s2(spark, sf_dir):
-    path = _folder(spark)
+    path = files_folder(spark)
     part = table(spark, sf_dir, "part")
     item = F.struct(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_name")).otherwise(" ").alias("title"), F.col("p_size").cast("string").alias("price"), F.concat((F.col("p_size") * 7).cast("string"), F.lit("+")).alias("sold_text"))
     part.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value")).write.text(f"{path}/lines")
@@ -51,7 +52,10 @@ def s4(spark, sf_dir):
     key = F.col("c_custkey")
     target = c.where((key % 4 != 0) | (key % 6 == 0)).select("c_custkey", F.col("c_acctbal").alias("balance"), F.when(key % 6 == 0, "rejected").otherwise("old").alias("status"))
     new = c.where(key % 2 == 0).select("c_custkey", (F.col("c_acctbal") + 1).alias("balance"), F.lit("new").alias("status"))
-    return I.upsert(target, new, ["c_custkey"], ["balance", "status"], "status = 'rejected'")
+    path = files_folder(spark)
+    V.publish(target, path)
+    V.upsert_table(new, path, ["c_custkey"], ["balance", "status"], "status = 'rejected'")
+    return V.read(spark, path)
 
 
 @query("S5", """WITH t AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3) SELECT l_partkey, l_suppkey, min(l_quantity) AS l_quantity FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.l_partkey = l.l_partkey AND t.l_suppkey = l.l_suppkey) GROUP BY 1, 2""")
@@ -63,21 +67,24 @@ def s5(spark, sf_dir):
 @query("S5b", """WITH t AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3), k AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT sum(n)::BIGINT AS scanned, count(*) FILTER (t.l_partkey IS NULL) AS missing, sum(CASE WHEN t.l_partkey IS NULL THEN n - 1 ELSE 0 END)::BIGINT AS duplicates FROM k LEFT JOIN t ON k.l_partkey = t.l_partkey AND k.l_suppkey = t.l_suppkey""")
 def s5b(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return I.sync_report(lines, lines.where("l_linenumber <= 3"), ["l_partkey", "l_suppkey"])
+    """The counts that the write itself has seen."""
+    lines, path = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_linenumber"), files_folder(spark)
+    V.publish(lines.where("l_linenumber <= 3").drop("l_linenumber"), path)
+    counts = V.insert_missing(lines.drop("l_linenumber"), path, ["l_partkey", "l_suppkey"])
+    return spark.createDataFrame([(counts["scanned"], counts["missing"], counts["duplicates"])], "scanned long, missing long, duplicates long")
 
 
 @query("S6", "SELECT n_regionkey, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def s6(spark, sf_dir):
-    path = _folder(spark)
+    path = files_folder(spark)
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    S.replace_table(rows.where("n < 0"), path)
-    S.replace_table(rows, path)
-    return spark.read.schema("n_regionkey int, n long").parquet(path)
+    V.publish(rows.where("n < 0"), path)
+    V.publish(rows, path)
+    return V.read(spark, path)
 
 
 @query("S7", "SELECT o_custkey, '[' || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || ']' AS orders FROM orders GROUP BY 1")
 def s7(spark, sf_dir):
-    path = _folder(spark)
+    path = files_folder(spark)
     S.write_csv(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders")), path)
     return spark.read.csv(path, header=True, schema="o_custkey long, orders string", escape='"')

@@ -1,9 +1,7 @@
-"""Reading of CSV, JSON and platform tables; writing by full replacement and as CSV."""
+"""Reading of CSV, JSON and platform tables; writing as CSV."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,31 +44,6 @@ def read_platforms(specs: list[tuple[DataFrame, str, dict[str, str]]], above: in
     return out
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Full replacement: the new version is written whole beside the old one and then takes its place by two renames; if the
-    second fails, the old version is put back. A failed write leaves the old one untouched. Between the renames the path is
-    missing for a moment: readers that may come at any time should retry or be given the versions' own paths."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, fresh, gone = (hadoop.Path(p) for p in (path, new, old))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(target)
-    if had and not fs.rename(target, gone):
-        raise OSError(f"{path} could not be moved; {new} holds the new version")
-    moved = False
-    try:
-        moved = fs.rename(fresh, target)
-    finally:
-        if not moved and had:
-            fs.rename(gone, target)
-    if not moved:
-        raise OSError(f"{new} could not take the place of {path}")
-    if had:
-        fs.delete(gone, True)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays, maps and structs as JSON."""
     nested = {f.name: F.to_json(f.name) for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")}

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.incremental import dirty_keys
-
 
 def stream_counted_views(views: DataFrame, post: str, viewer: str, at: str, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """A row (post, viewer, at) for each view that counts. Views later than the watermark are dropped by definition; views
@@ -41,20 +39,3 @@ def stream_counted_views(views: DataFrame, post: str, viewer: str, at: str, minu
         .groupBy(post, viewer)
         .applyInPandasWithState(count, f"{post} {types[post]}, {viewer} {types[viewer]}, {at} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     )
-
-
-def rebuild_dirty(marks: DataFrame, done_path: str, rebuild, key: str = "key", generation: str = "generation"):
-    """A writer that, for each micro-batch of marks, rebuilds each dirty key once and appends what it built to ``done_path``."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        schema = f"{key} long, {generation} long"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done_path)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        done = spark.read.schema(schema).parquet(done_path) if there else spark.createDataFrame([], schema)
-        todo = dirty_keys(df, done, key, generation).persist()
-        rebuild(todo)
-        todo.select(key, generation).write.mode("append").parquet(done_path)
-        todo.unpersist()
-
-    return marks.writeStream.foreachBatch(batch)
