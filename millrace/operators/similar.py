@@ -273,6 +273,61 @@ def near_vectors(rows: DataFrame, key: str, vector: str, bucket: list[str], thre
     return dealt.groupBy(*bucket, "i", "j").applyInPandas(block, "a long, b long, similarity double")
 
 
+def tables_for(threshold: float, recall: float, bits: int) -> int:
+    """Hash tables of ``bits`` hyperplanes after which a pair at the threshold has met with the probability ``recall``, if one
+    differing bit is probed: planes part two vectors with the probability angle / pi."""
+    p = 1 - math.acos(threshold) / math.pi
+    met = p**bits + bits * p ** (bits - 1) * (1 - p)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 1
+
+
+def near_vectors_by_planes(rows: DataFrame, key: str, vector: str, bucket: list[str], threshold: float = 0.85, recall: float = 0.95, bits: int = 12, probes: int = 3, crowd: int = 256, seed: int = 7) -> DataFrame:
+    """``near_vectors`` for large buckets, by random-hyperplane tables: in each table a vector lies under the signs of its
+    ``bits`` projections, and under ``probes`` more codes, each with one of its least certain signs turned (multi-probe).
+    Vectors that share a code are compared exactly, those of a crowded one (over ``crowd``) by block products; the number of tables follows from
+    the recall wanted for pairs at the threshold (``tables_for``), and nearer pairs meet more often. What it returns is
+    exact; it may lack pairs. ``near_vectors`` is the exact mode."""
+    tables = tables_for(threshold, recall, bits)
+
+    @F.pandas_udf("array<long>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            out = []
+            for v in batch:
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng(seed).normal(size=(tables * bits, len(v)))
+                side = (planes[len(v)] @ np.asarray(v, np.float64)).reshape(tables, bits)
+                own = (side > 0) @ weights
+                unsure = np.argsort(np.abs(side), axis=1)[:, :probes]
+                each = np.concatenate([own[:, None], own[:, None] ^ weights[unsure]], axis=1)
+                out.append((each + (np.arange(tables)[:, None] << bits)).ravel())
+            yield pd.Series(out, dtype=object)
+
+    use_checkpoints(rows.sparkSession)
+    known = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(F.col(key).alias("k"), F.col(vector).alias("v"), *bucket)
+    coded = known.select("k", *bucket, F.explode(codes(F.col("v"))).alias("__code")).checkpoint()
+    where = [*bucket, "__code"]
+    full = coded.groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n").checkpoint()
+    few = coded.join(full, where, "left_anti")
+    pairs = few.join(few.withColumnRenamed("k", "b"), where).where("k < b").select(F.col("k").alias("a"), "b").distinct()
+    vectors = known.select("k", "v")
+    met = pairs.join(vectors.toDF("a", "__x"), "a").join(vectors.toDF("b", "__y"), "b")
+    found = met.select("a", "b", _cosine("__x", "__y").alias("similarity")).where(F.col("similarity") >= threshold)
+    crowded = near_vectors(coded.join(full, where).join(vectors, "k"), "k", "v", where, threshold)
+    return found.union(crowded).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (a, b))
+    norm = lambda m: np.linalg.norm(m, axis=1) + 1e-12
+    return pd.Series((x * y).sum(1) / (norm(x) * norm(y)))
+
+
 def without_conflicts(pairs: DataFrame, points: DataFrame, key: str, conditions: list[str]) -> DataFrame:
     """The pairs (a, b) whose sets of no condition, if neither is null or empty, are disjoint."""
     side = lambda k, n: points.select(F.col(key).alias(k), *[F.col(c).alias(f"__{n}{i}") for i, c in enumerate(conditions)])
