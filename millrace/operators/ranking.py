@@ -50,10 +50,11 @@ def roles(df: DataFrame, entity: str, kind: str, score: str, key: str) -> DataFr
 
 
 def quota_top(fits: DataFrame, profile: str, order: list[Column], n: int) -> DataFrame:
-    """n places dealt evenly to the profiles (the first ones get the rest), each filled from its own ranking."""
+    """n places dealt evenly to the profiles (the first ones get the rest), each filled from its own ranking. No profile gets
+    over n, a constant, so every task ranks and passes on n rows of a profile at most before the exact quota is joined."""
     profiles = fits.select(profile).distinct().withColumn("__i", F.row_number().over(Window.orderBy(profile))).withColumn("__p", F.count("*").over(Window.partitionBy()))
     quota = profiles.select(profile, (F.floor(F.lit(n) / F.col("__p")) + (F.col("__i") <= F.lit(n) % F.col("__p")).cast("int")).alias("__q"))
-    return rank_in_group(fits, [profile], order).join(quota, profile).where(F.col("rank") <= F.col("__q")).drop("__q")
+    return rank_in_group(fits, [profile], order).where(F.col("rank") <= n).join(quota, profile).where(F.col("rank") <= F.col("__q")).drop("__q")
 
 
 def fair_top(df: DataFrame, group: list[str], provider: str, order: list[Column], k: int) -> DataFrame:

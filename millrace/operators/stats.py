@@ -156,6 +156,48 @@ def alias_audit(names: DataFrame, aliases: DataFrame, key: str, target: str) ->
     return names.join(n, key, "left").withColumn("status", status).withColumn("target", F.when(F.col("__n") == 1, F.col("__t"))).drop("__n", "__t")
 
 
+def alias_lookup(standards: DataFrame, aliases: DataFrame, id_: str, name: str, key) -> DataFrame:
+    """``key, target, matched_by`` of every target a name may stand for: standards (id_, name) under their own name, and
+    under their aliases (id_, name). Aliases of a standard that is gone stand for nothing. ``key`` normalises a column."""
+    live = aliases.join(standards.select(id_).distinct(), id_, "left_semi")
+    both = standards.select(key(F.col(name)).alias("key"), F.col(id_).alias("target"), F.lit(0).alias("__alias")).union(live.select(key(F.col(name)), F.col(id_), F.lit(1)))
+    once = both.where("key IS NOT NULL").groupBy("key", "target").agg(F.max("__alias").alias("__alias"))
+    return once.select("key", "target", F.when(F.col("__alias") == 1, "alias").otherwise("standard_name").alias("matched_by"))
+
+
+def alias_collisions(standards: DataFrame, aliases: DataFrame, id_: str, name: str, key) -> DataFrame:
+    """``key, target, n`` (its aliases) of every alias key that stands for several living targets."""
+    live = aliases.join(standards.select(id_).distinct(), id_, "left_semi")
+    counts = live.groupBy(key(F.col(name)).alias("key"), F.col(id_).alias("target")).agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.count("*").alias("__t")).where("__t > 1").select("key")
+    return counts.join(several, "key", "left_semi")
+
+
+def orphan_aliases(standards: DataFrame, aliases: DataFrame, id_: str, name: str, key) -> DataFrame:
+    """The aliases with ``action`` and ``target``: kept while their standard lives; an orphan is repaired if exactly one
+    standard bears its name, else deactivated, not guessed."""
+    ids = standards.select(id_).distinct().withColumn("__there", F.lit(True))
+    named = standards.groupBy(key(F.col(name)).alias("__key")).agg(F.count("*").alias("__n"), F.min(id_).alias("__one"))
+    joined = aliases.join(ids, id_, "left").withColumn("__key", key(F.col(name))).join(named, "__key", "left")
+    there = F.coalesce("__there", F.lit(False))
+    action = F.when(there, "kept").when(F.col("__n") == 1, "repaired").otherwise("deactivated")
+    target = F.when(there, F.col(id_)).when(F.col("__n") == 1, F.col("__one"))
+    return joined.withColumns({"action": action, "target": target}).drop("__there", "__key", "__n", "__one")
+
+
+def candidate_groups(candidates: DataFrame, key: str, id_: str, status: str, suggested: str, reviewed: str, priority: dict[str, int]) -> DataFrame:
+    """``key, survivor, members, duplicates, held_back`` of the candidates of one key: the survivor has the highest status, then
+    a suggestion, a review and the greatest id. The others are duplicates, unless approved candidates of the key name
+    several targets: such a group is held back whole. Map-side, so a hot key costs one row a task; it keeps the distinct
+    approved targets only up to two, as least and greatest."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col(status)], F.lit(0))
+    best = F.max(F.struct(rank.alias("p"), F.col(suggested).isNotNull().alias("s"), F.col(reviewed).isNotNull().alias("r"), F.col(id_).alias("id")))
+    approved = F.when(F.col(status) == "approved", F.col(suggested))
+    held = F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False))
+    groups = candidates.groupBy(key).agg(best.alias("__b"), F.count("*").alias("members"), F.min(approved).alias("__lo"), F.max(approved).alias("__hi"))
+    return groups.select(key, F.col("__b.id").alias("survivor"), "members", F.when(held, 0).otherwise(F.col("members") - 1).alias("duplicates"), held.alias("held_back"))
+
+
 def latest_samples(rows: DataFrame, topic: str, conversation: str, turn: str, text: str) -> DataFrame:
     """The latest message (greatest turn, then text) of each conversation per topic."""
     last = rows.groupBy(topic, conversation).agg(F.max(F.struct(F.col(turn), F.col(text))).alias("__l"))

@@ -276,3 +276,51 @@ SELECT p_partkey, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE
 def a29(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("k", F.lower("p_name"))
     return A.alias_audit(part.select("p_partkey", "k"), part, "k", "p_brand").select("p_partkey", "status", "target")
+
+
+_ALIASES = """s AS (SELECT p_partkey AS id, p_name || ' ' || p_size AS name FROM part WHERE p_partkey % 4 = 0),
+a AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey - p_partkey % 4 END AS id, p_name || ' ' || p_size AS name, p_partkey AS alias_id FROM part WHERE p_partkey % 4 > 0),
+live AS (SELECT a.* FROM a WHERE id IN (SELECT id FROM s))"""
+
+
+def _aliases(spark, sf_dir):
+    """Standards (a quarter of the parts) and aliases; some aliases name a standard that doesn't exist."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_size").alias("name"))
+    target = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey")).otherwise(F.col("p_partkey") - F.col("p_partkey") % 4)
+    return part.where("p_partkey % 4 = 0").withColumnRenamed("p_partkey", "id"), part.where("p_partkey % 4 > 0").select(target.alias("id"), "name", F.col("p_partkey").alias("alias_id"))
+
+
+@query("A29b", f"""WITH {_ALIASES}, l AS (SELECT upper(name) AS key, id, 0 AS alias FROM s UNION ALL SELECT upper(name), id, 1 FROM live), u AS (SELECT key, id, max(alias) AS alias FROM l GROUP BY 1, 2),
+n AS (SELECT key, count(*) AS n, min(id) AS id, min(alias) AS alias FROM u GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN n = 1 THEN id END AS target, CASE WHEN n = 1 THEN CASE WHEN alias = 1 THEN 'alias' ELSE 'standard_name' END END AS matched_by
+FROM (SELECT l_orderkey AS o_orderkey, upper(p_name || ' ' || (p_size + l_linenumber)) AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) LEFT JOIN n USING (key)""")
+def a29b(spark, sf_dir):
+    """Raw names of orders against standards and their aliases."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    names = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.upper(F.concat_ws(" ", "p_name", (F.col("p_size") + F.col("l_linenumber")))).alias("key"))
+    lookup = A.alias_lookup(*_aliases(spark, sf_dir), "id", "name", F.upper)
+    how = A.alias_audit(names, lookup, "key", "target").join(lookup.select("key", "target", "matched_by"), ["key", "target"], "left")
+    return how.select("o_orderkey", "status", "target", "matched_by")
+
+
+@query("A29c", f"""WITH {_ALIASES}, n AS (SELECT upper(name) AS key, count(*) AS n, min(id) AS one FROM s GROUP BY 1)
+SELECT alias_id, a.id, CASE WHEN a.id IN (SELECT id FROM s) THEN 'kept' WHEN n = 1 THEN 'repaired' ELSE 'deactivated' END AS action, CASE WHEN a.id IN (SELECT id FROM s) THEN a.id WHEN n = 1 THEN one END AS target FROM a LEFT JOIN n ON upper(name) = key""")
+def a29c(spark, sf_dir):
+    return A.orphan_aliases(*_aliases(spark, sf_dir), "id", "name", F.upper).select("alias_id", "id", "action", "target")
+
+
+@query("A29d", f"""WITH {_ALIASES}, c AS (SELECT upper(name) AS key, id AS target, count(*) AS n FROM live GROUP BY 1, 2) SELECT * FROM c WHERE key IN (SELECT key FROM c GROUP BY 1 HAVING count(*) > 1)""")
+def a29d(spark, sf_dir):
+    return A.alias_collisions(*_aliases(spark, sf_dir), "id", "name", F.upper)
+
+
+@query("A29e", """WITH c AS (SELECT p_name || ' ' || p_size % 10 AS key, p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'pending' WHEN 2 THEN 'rejected' END AS status, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS target, p_partkey % 3 = 0 AS reviewed FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE status WHEN 'approved' THEN 3 WHEN 'pending' THEN 2 WHEN 'rejected' THEN 1 ELSE 0 END DESC, target IS NOT NULL DESC, reviewed DESC, id DESC) AS r FROM c),
+g AS (SELECT key, max(id) FILTER (r = 1) AS survivor, count(*) AS members, count(DISTINCT target) FILTER (status = 'approved') > 1 AS held_back FROM r GROUP BY 1)
+SELECT key, survivor, members, CASE WHEN held_back THEN 0 ELSE members - 1 END AS duplicates, held_back FROM g""")
+def a29e(spark, sf_dir):
+    """Candidate names with a status, a suggested brand and a review; groups with conflicting approvals are held back."""
+    k = F.col("p_partkey")
+    status = F.when(k % 4 == 0, "approved").when(k % 4 == 1, "pending").when(k % 4 == 2, "rejected")
+    rows = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.col("p_size") % 10).alias("key"), k.alias("id"), status.alias("status"), F.when(k % 5 > 0, F.col("p_brand")).alias("target"), F.when(k % 3 == 0, "x").alias("reviewed"))
+    return A.candidate_groups(rows, "key", "id", "status", "target", "reviewed", {"approved": 3, "pending": 2, "rejected": 1})

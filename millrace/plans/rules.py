@@ -95,9 +95,9 @@ def r10(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.category", "f.symptom", F.array_join("f.matched", "|").alias("matched"))
 
 
-@query("R11", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_type), 'steel') AND p_size IN (1, 5, 9, 14, 23, 36, 45, 49) AND p_retailprice >= 950")
+@query("R11", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_type), 'econ') AND p_size IN (1, 5, 9, 14, 23, 36, 45, 49) AND p_retailprice >= 902")
 def r11(spark, sf_dir):
-    return R.search(table(spark, sf_dir, "part"), {"p_type": "Steel"}, {"p_size": [1, 5, 9, 14, 23, 36, 45, 49]}, {"p_retailprice": (950.0, None)}).select("p_partkey", "p_name", "p_retailprice")
+    return R.search(table(spark, sf_dir, "part"), {"p_type": "Econ"}, {"p_size": [1, 5, 9, 14, 23, 36, 45, 49]}, {"p_retailprice": (902.0, None)}).select("p_partkey", "p_name", "p_retailprice")
 
 
 @query("R12", "SELECT page_id, url FROM pages WHERE page_id IS NOT NULL AND regexp_matches(url, '^https?://[^/\\s]+/') AND regexp_matches(html, '<title>[^<]+</title>')")

@@ -33,6 +33,7 @@ def test_query(spark, duck, key):
     df = plans.QUERIES[key](spark, DATA)
     rows = [tuple(r) for r in df.collect()]
     assert len(set(df.columns)) == len(df.columns)
+    assert rows  # no query proves itself with empty tables on both sides
     if key in plans.ORACLES:
         got = duck.sql(plans.ORACLES[key])
         same((rows, df.columns), (got.fetchall(), got.columns))
