@@ -243,7 +243,7 @@ def test_formula_matches_against_plain_python(spark):
     rng = random.Random(12)
     rows = [(i, names, nutrition) for _, i, names, nutrition in formulas(rng, 90, [1])]
     df = spark.createDataFrame(rows, "id long, names array<string>, nutrition map<string,double>")
-    for least in (0.5, 0.9, 0.96):
+    for least in (0.3, 0.4, 0.5, 0.7, 0.89, 0.9, 0.96):
         want = set()
         for (a, x, m), (b, y, o) in itertools.permutations(rows, 2):
             if x is None or y is None:
@@ -260,6 +260,27 @@ def test_formula_matches_against_plain_python(spark):
             assert all(abs(x - y) < 2e-5 for x, y in zip(scores_, want[k][1:-1]))
 
 
+def test_no_pair_needs_less_equal_weight_than_is_asked_for():
+    rng = random.Random(21)
+    weight = lambda x, y: sum(1 / (i + 1) for i in range(min(len(x), len(y))) if x[i] == y[i])
+    for _ in range(4000):
+        x = [rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))]
+        y = rng.choice([list(x), x[::-1], sorted(x), [rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))]])
+        for _ in range(rng.randrange(3)):
+            y[rng.randrange(len(y))] = rng.choice("abcdefghij")
+        score = plain_ordered(x, y)[0]
+        if score >= 0.36:
+            assert weight(x, y) >= match.equal_weight_needed((len(x), len(set(x))), [(len(y), len(set(y)))], score) - 1e-9
+    assert match.equal_weight_needed((7, 7), [(7, 7)], 0.5) > 0.5
+
+
+def test_popular_names_make_no_pairs_by_themselves(spark):
+    """All lists share their third name; none is alike."""
+    rows = [(i, [f"a{i}", f"b{i}", "common", f"c{i}", f"d{i}"]) for i in range(300)]
+    one = spark.createDataFrame(rows, "a long, x array<string>")
+    assert match.sharing_places(one, one.toDF("b", "y"), 0.5).where("a <> b").count() == 0
+
+
 def test_sources_round_trip(spark, tmp_path):
     from millrace.sources import files
 
