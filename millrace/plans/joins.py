@@ -96,7 +96,16 @@ def j9(spark, sf_dir):
     return M.best_candidates(part, "p_partkey", "p_brand", "type", "name").withColumn("score", F.round("score", 6))
 
 
-@query("J10")
+@query("J10", """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey)::INT AS i FROM lineitem),
+d AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_partkey) AS v, [round(avg(l_quantity), 6), round(avg(l_discount), 6), round(avg(l_tax), 6), round(avg(l_extendedprice), 6)]::DOUBLE[] AS m FROM lineitem GROUP BY 1),
+o AS (SELECT k, string_agg('p' || p, ',' ORDER BY i) AS names FROM l GROUP BY 1), h AS (SELECT n, list_sum(list_transform(range(1, n + 1), lambda i: 1::DOUBLE / i)) AS h FROM (SELECT DISTINCT n FROM d)),
+e AS (SELECT k, p, max(i) AS i FROM l GROUP BY 1, 2),
+s AS (SELECT x.k AS a, y.k AS b, sum(1::DOUBLE / x.i) AS w, sum(1::DOUBLE / x.i / (1 + abs(x.i - y.i))) AS near, count(*) AS c FROM e x JOIN e y ON x.p = y.p AND x.k % 2 = 0 AND y.k % 2 = 1 GROUP BY 1, 2),
+q AS (SELECT x.k AS a, y.k AS b, sum(1::DOUBLE / x.i) AS same, count(*) FILTER (x.i <= 5) AS top FROM l x JOIN l y ON x.p = y.p AND x.i = y.i AND x.k % 2 = 0 AND y.k % 2 = 1 GROUP BY 1, 2),
+r AS (SELECT s.a, s.b, ox.names = oy.names AS exact, round(0.5::DOUBLE * coalesce(same, 0) / h + 0.3::DOUBLE * near / w + 0.2::DOUBLE * c / (x.v + y.v - c), 5) AS similarity, coalesce(top, 0) / least(5, x.n, y.n)::DOUBLE AS top,
+len(list_filter(range(1, 5), lambda i: abs(x.m[i] - y.m[i]) <= greatest(0.05, abs(x.m[i]) * 0.01, abs(y.m[i]) * 0.01))) / 4::DOUBLE AS nutrition
+FROM s LEFT JOIN q ON s.a = q.a AND s.b = q.b JOIN d x ON x.k = s.a JOIN d y ON y.k = s.b JOIN o ox ON ox.k = s.a JOIN o oy ON oy.k = s.b JOIN h ON h.n = greatest(x.n, y.n))
+SELECT a, b, exact, similarity, nutrition, round((similarity * 0.75::DOUBLE + nutrition * 0.25::DOUBLE)::DECIMAL(18, 9), 5)::DOUBLE AS score, (exact OR similarity >= 0.96 AND top >= 0.8) AND nutrition >= 0.95 AS auto_match FROM r WHERE exact OR similarity >= 0.5""")
 def j10(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name")))), lambda x: x["name"])
