@@ -49,7 +49,8 @@ STAGES = [
     ("mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]
-#: The classifier, the retrieval and the minima can't be said in SQL; tests hold run() against a brute-force version.
+#: The classifier, the retrieval and the minima can't be said in SQL. Tests hold the near-duplicate stage against brute force,
+#: the other stages against their operators' own rules, and run() whole.
 ORACLE_SQL = None
 
 
