@@ -46,9 +46,9 @@ def corpus(spark):
     return rows
 
 
-@pytest.mark.parametrize("limits", [(20_000, 20_000), (3, 50)])
-def test_suffix_dedup(spark, corpus, limits):
-    raws = [(i, (t or "").encode()) for i, t, _ in corpus]
+def brute_removed(rows):
+    """(id, bytes, bytes removed, spans, digest of what is left) of every row."""
+    raws = [(i, (t or "").encode()) for i, t, _ in rows]
     count = collections.Counter(r[p : p + 200] for _, r in raws for p in range(len(r) - 199))
     want = []
     for i, r in raws:
@@ -60,8 +60,21 @@ def test_suffix_dedup(spark, corpus, limits):
         on = np.cumsum(cover)[: len(r)] > 0
         runs = int((np.diff(np.r_[0, on.astype(int)]) == 1).sum())
         want.append((i, len(r), int(on.sum()), runs, hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~on])).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("limits", [(20_000, 20_000), (3, 50)])
+def test_suffix_dedup(spark, corpus, limits):
     got = suffix_dedup.remove_repeats(frame(spark, corpus), most_contexts=limits[0], block_rows=limits[1]).drop("kept_text").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == sorted(brute_removed(corpus))
+
+
+def test_suffix_dedup_of_null_ids_and_equal_long_rows(spark):
+    rng = random.Random(14)
+    long, shared = prose(rng, 90), prose(rng, 50)
+    rows = [(None, long, "a"), (None, long, "a"), (5, long, "a"), (5, long, "a"), (None, prose(rng, 70), None), (6, prose(rng, 10) + " " + shared, "b"), (None, shared + " " + prose(rng, 10), "b"), (7, long[:199], "a"), (None, None, "a")]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_removed(rows), key=str)
 
 
 def test_grouping_suffix_array():
@@ -452,6 +465,20 @@ def test_token_counts(spark):
         assert [got[i].n_bytes for i in range(len(texts))] == [len((x or "").encode()) for x in texts]
 
 
+def test_token_counts_of_huge_texts_and_of_none(spark):
+    """Texts beyond the size from which chunks are spliced, at that size's default."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [prose(random.Random(2), 12_000), "ab" * 40_000, "1234567890 " * 6_000, " " * 50_000]
+    assert all(len(x) > 32_000 for x in texts)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, [(i, x, "a") for i, x in enumerate(texts)]), path).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_counts.token_counts(frame(spark, []), path).collect() == []
+
+
 def test_tool_calls(spark):
     calls = [("c", "1", None, 0, "ask", '{"turn": 1, "query": "b\\"q"}'), ("c", "2", "1", 1, "ask", '{"query": 5, "turn": 2}'), ("c", "3", "2", 2, "other", "{}"), ("c", "4", "9", 3, "ask", "broken"), ("c", "5", "6", 4, "ask", None), ("c", "6", "5", 5, "ask", '{"query":"x","turn":1}'), ("c", "1", None, 9, "ask", "{}"), ("c", None, None, 0, "ask", "{}")]
     results = [("1", 1, "r1"), ("1", 2, "again"), ("8", 1, "lost"), (None, 1, "none")]
