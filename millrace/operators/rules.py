@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -166,11 +167,56 @@ def mention_spans(symptoms: list[str], outcomes: dict[str, str], negations: list
     return spans
 
 
-def comparison_pairs(lexicon: list[str], connectors: str, gap: int = 12):
-    """Pandas UDF text -> array of (a, b, confidence): neighbouring lexicon mentions up to ``gap`` characters apart; high
-    with a connector between them, else low."""
-    mention = re.compile("|".join(sorted(map(re.escape, lexicon), key=len, reverse=True)))
-    joint = re.compile(connectors)
+@dataclass(frozen=True)
+class PairRules:
+    """What makes two mentions a comparison; all but ``names`` are regular expressions over the lower-cased text."""
+
+    names: dict[str, str]  # mention, lower-cased -> name it stands for
+    connector: str  # has to lie between two neighbours
+    strong: str  # has to lie there beside a comma
+    choice: str  # has to be in the pair's context, which ``before`` and ``after`` characters surround
+    leading: str = "(?!)"  # or this in what precedes it
+    excluded: str = "(?!)"  # must not be in the context
+    compounds: frozenset[tuple[str, str]] = frozenset()  # two mentions that are one name
+    phrases: tuple[tuple[str, float], ...] = ()  # (expression with the groups a, b, connector and, if it has one, tail; confidence)
+    commas: str = ",\uff0c"
+    gap: int = 12
+    before: int = 24
+    after: int = 36
+    most: int = 2  # different names in the context
+
+
+def comparison_pairs(rules: PairRules):
+    """Pandas UDF text -> array of (a, b, confidence). Neighbouring mentions of two names compare (0.9) if a connector joins
+    them within ``gap`` characters and the context shows a choice, speaks of these two only and has nothing that is
+    excluded. A phrase compares with its own confidence if a known name is in each of its two parts; a phrase joined by a
+    comma needs a choice in its tail."""
+    mention = re.compile("|".join(sorted(map(re.escape, rules.names), key=len, reverse=True)))
+    connector, strong, choice, leading, excluded = map(re.compile, (rules.connector, rules.strong, rules.choice, rules.leading, rules.excluded))
+    phrases = [(re.compile(p), c) for p, c in rules.phrases]
+
+    def compares(text: str, found: list[re.Match], x: re.Match, y: re.Match) -> bool:
+        between = text[x.end() : y.start()]
+        joined = strong if any(c in between for c in rules.commas) else connector
+        if len(between) > rules.gap or not joined.search(between) or (x[0], y[0]) in rules.compounds:
+            return False
+        low, high = max(0, x.start() - rules.before), min(len(text), y.end() + rules.after)
+        context = text[low:high]
+        if excluded.search(context) or not (choice.search(context) or leading.search(text[low : x.start()])):
+            return False
+        return len({rules.names[m[0]] for m in found if low <= m.start() and m.end() <= high}) <= rules.most
+
+    def spoken(text: str) -> list[tuple[str, str, float]]:
+        out = []
+        for phrase, confidence in phrases:
+            for m in phrase.finditer(text):
+                parts = m.groupdict()
+                a, b = (mention.search(parts[g]) for g in "ab")
+                names = {rules.names[x[0]] for x in mention.finditer(m[0])}
+                unsure = parts["connector"] in rules.commas and not choice.search(parts.get("tail") or "")
+                if a and b and rules.names[a[0]] != rules.names[b[0]] and len(names) <= rules.most and not unsure and not excluded.search(m[0]) and (a[0], b[0]) not in rules.compounds:
+                    out.append((rules.names[a[0]], rules.names[b[0]], confidence))
+        return out
 
     @F.pandas_udf("array<struct<a:string,b:string,confidence:double>>")
     def pairs(texts: pd.Series) -> pd.Series:
@@ -178,12 +224,8 @@ def comparison_pairs(lexicon: list[str], connectors: str, gap: int = 12):
         for text in texts:
             low = (text or "").lower()
             found = list(mention.finditer(low))
-            rows = []
-            for x, y in zip(found, found[1:]):
-                between = low[x.end() : y.start()]
-                if x[0] != y[0] and len(between) <= gap:
-                    rows.append({"a": x[0], "b": y[0], "confidence": 0.9 if joint.search(between) else 0.5})
-            out.append(rows)
+            rows = [(rules.names[x[0]], rules.names[y[0]], 0.9) for x, y in zip(found, found[1:]) if rules.names[x[0]] != rules.names[y[0]] and compares(low, found, x, y)]
+            out.append([dict(zip(("a", "b", "confidence"), r)) for r in rows + spoken(low)])
         return pd.Series(out, dtype=object)
 
     return pairs

@@ -82,9 +82,16 @@ def r8(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(spans("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query("R9")
+@query("R9", f"""WITH d AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), 'that|the|and|of') AS m, regexp_split_to_array(lower(text), 'that|the|and|of') AS p FROM {_D}),
+u AS (SELECT doc_id, t, unnest(m) AS name, unnest(p[:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM d),
+m AS (SELECT doc_id, t, i, name, (sum(length(gap) + length(name)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM u),
+n AS (SELECT x.doc_id, x.t, x.name AS a, y.name AS b, greatest(0, x.e - length(x.name) - 24) AS low, least(length(x.t), y.e + 36) AS high, substr(x.t, x.e + 1, y.e - length(y.name) - x.e) AS between_ FROM m x JOIN m y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE x.name <> y.name AND NOT (x.name = 'of' AND y.name = 'the')),
+c AS (SELECT *, substr(t, low + 1, high - low) AS ctx FROM n WHERE length(between_) <= 12 AND CASE WHEN contains(between_, ',') THEN regexp_matches(between_, ' in | to ') ELSE regexp_matches(between_, ' in | to |,') END),
+k AS (SELECT c.doc_id, a, b, c.low, c.high FROM c JOIN m ON m.doc_id = c.doc_id AND m.e - length(m.name) >= c.low AND m.e <= c.high WHERE regexp_matches(ctx, ' (or|if|for|is) ') AND NOT contains(ctx, ' by ') GROUP BY ALL HAVING count(DISTINCT m.name) <= 2)
+SELECT DISTINCT doc_id, least(a, b) AS first, greatest(a, b) AS second, 0.9::DOUBLE AS confidence FROM k""")
 def r9(spark, sf_dir):
-    pairs = R.comparison_pairs(["the", "that", "and", "of"], r"\bin\b|,")
+    names = {n: n for n in ("the", "that", "and", "of")}
+    pairs = R.comparison_pairs(R.PairRules(names, " in | to |,", " in | to ", " (or|if|for|is) ", excluded=" by ", compounds=frozenset({("of", "the")})))
     return R.best_pairs(_docs(spark, sf_dir).select("doc_id", F.explode(pairs("text")).alias("p")).select("doc_id", "p.*"), "doc_id")
 
 

@@ -71,9 +71,30 @@ def test_mention_spans_negation_and_outcome(spark):
 
 
 def test_comparison_pairs_best_confidence(spark):
-    pairs = rules.comparison_pairs(["aa", "bb"], r"\bvs\b")
-    df = spark.createDataFrame([(1, "aa vs bb, bb aa"), (2, None)], "id int, t string").select("id", F.explode(pairs("t")).alias("p")).select("id", "p.*")
-    assert values(rules.best_pairs(df, "id")) == [(1, "aa", "bb", 0.9)]
+    rule = rules.PairRules(
+        {"royal": "royal", "roy": "royal", "acme": "acme", "apex": "apex", "a&b": "a&b", "cat": "cat", "dog": "dog"}, " or | and |,", " or | and ", "which|choose", leading="torn", excluded="as well as",
+        compounds=frozenset({("cat", "dog")}), phrases=((r"between (?P<a>.{1,20}?)(?P<connector> and |,)(?P<b>(?:my )?\S+)(?P<tail>.*)", 0.8),))
+    texts = {
+        1: "Which one, ACME or Royal?",  # connector and choice
+        2: "acme royal which",  # no connector
+        3: "acme, royal which",  # a comma alone joins nothing
+        4: "acme, or royal which",
+        5: "acme or royal are fine",  # no choice
+        6: "torn: acme or roy",
+        7: "acme or royal or apex which",  # three names
+        8: "acme or royal which, as well as more",
+        9: "which: cat and dog",  # one name
+        10: "which: roy or royal",
+        11: "acme " + "x" * 12 + " or royal which",
+        12: "which " + "y" * 40 + " acme or royal",  # the choice is too far
+        13: "between the acme thing and my royal",  # a phrase
+        14: "between acme,royal it is",
+        15: "between acme,royal i choose",
+        16: "which is it between acme and royal",  # both ways: the better one counts
+        17: None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "id int, t string").select("id", F.explode(rules.comparison_pairs(rule)("t")).alias("p")).select("id", "p.*")
+    assert sorted(values(rules.best_pairs(df, "id"))) == [(1, "acme", "royal", 0.9), (4, "acme", "royal", 0.9), (6, "acme", "royal", 0.9), (13, "acme", "royal", 0.8), (15, "acme", "royal", 0.8), (16, "acme", "royal", 0.9)]
 
 
 def test_sequence_and_ordered_similarity(spark):
