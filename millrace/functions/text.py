@@ -9,15 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Noise of social comments, removed in this order (emoji before mentions).
+#: Noise of social comments, removed in this order (emoji before mentions, whose names may hold them): invisible
+#: and direction marks, links, topics, bracketed emotes, emoji (flags, pictures, arrows, dingbats, variation marks), mentions.
 NOISE = (
-    (r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""),
-    (r"https?://\S+", " "),
+    (r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]", ""),
+    (r"(?i)https?://\S+|www\.\S+", " "),
     (r"#[^#\n]{1,40}#", " "),
-    (r"\[[^\[\]\n]{1,12}\]", " "),
-    (r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", ""),
-    (r"@[^\s@,:;]+", " "),
+    (r"\[[^\[\]\n]{1,16}\]", " "),
+    (r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F780}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{20E3}]", " "),
+    (r"@[A-Za-z0-9_\x{4E00}-\x{9FFF}.\x{B7}-]{0,30}", " "),
 )
+#: Marks that may follow a filler word.
+TRAILING = r"[~!?,.\x{FF5E}\x{FF01}\x{FF1F}\x{3002}\x{FF0C}]*"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -43,9 +46,11 @@ def substantive_length(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")).cast("long")
 
 
-def is_meaningful(c: Column, fillers: tuple[str, ...]) -> Column:
-    """At least two characters with a letter, and not just a filler word."""
-    return (F.length(c) >= 2) & c.rlike(r"\p{L}") & ~F.lower(c).isin(*fillers)
+def is_meaningful(c: Column, fillers: str) -> Column:
+    """At least two characters other than spaces with a letter or digit, and not just a filler word (a regular expression) and
+    marks after it."""
+    compact = F.regexp_replace(c, r"\s+", "")
+    return (F.length(compact) >= 2) & compact.rlike(r"[\p{L}\p{N}]") & ~F.lower(compact).rlike(f"^(?:{fillers}){TRAILING}$")
 
 
 def is_low_information(c: Column, interjections: str, least: int = 6) -> Column:

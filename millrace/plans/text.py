@@ -8,8 +8,8 @@ from ..functions import scores as S
 from ..functions import text as T
 from .registry import query, table
 
-_RAW = "concat('​', coalesce(text, ''), '  https://a.example/x?y=1 #topic ', cast(doc_id % 7 AS string), '# [smile] ☀ @user_', cast(doc_id AS string), '  end')"
-_RAW_SQL = "concat('​', coalesce(text, ''), '  https://a.example/x?y=1 #topic ', (doc_id % 7)::VARCHAR, '# [smile] ☀ @user_', doc_id::VARCHAR, '  end')"
+_RAW = "concat('​', coalesce(text, ''), '  https://a.example/x?y=1 #topic ', cast(doc_id % 7 AS string), '# [smile of sixteen] ☀ ⬛️ ➡🇫🇷 WWW.x.example/ @us☀er_', cast(doc_id AS string), '  end')"
+_RAW_SQL = "concat('​', coalesce(text, ''), '  https://a.example/x?y=1 #topic ', (doc_id % 7)::VARCHAR, '# [smile of sixteen] ☀ ⬛️ ➡🇫🇷 WWW.x.example/ @us☀er_', doc_id::VARCHAR, '  end')"
 _NORMAL_SQL = "RAW"
 for _p, _r in T.NOISE:
     _NORMAL_SQL = f"regexp_replace({_NORMAL_SQL}, '{_p}', '{_r}', 'g')"
@@ -27,13 +27,13 @@ def p1(spark, sf_dir):
 @query("P2", """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 t AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l),
-f AS (SELECT doc_id, line_no, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS substantive FROM t)
-SELECT doc_id, line_no, substantive, length(line) >= 2 AND regexp_matches(line, '\\p{L}') AND lower(line) NOT IN ('ok', 'nice', 'is.') AS meaningful,
+f AS (SELECT doc_id, line_no, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS substantive, regexp_replace(line, '\\s+', '', 'g') AS compact FROM t)
+SELECT doc_id, line_no, substantive, length(compact) >= 2 AND regexp_matches(compact, '[\\p{L}\\p{N}]') AND NOT regexp_matches(lower(compact), '^(?:ok|nice|is|6+|the)[~!?,.\\x{FF5E}\\x{FF01}\\x{FF1F}\\x{3002}\\x{FF0C}]*$') AS meaningful,
   substantive < 6 OR regexp_matches(lower(line), '^(?:(?:ha|oh|the)[\\s.,!?]*)+$') AS low_information FROM f""")
 def p2(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.col("line")
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.substantive_length(line).alias("substantive"), T.is_meaningful(line, ("ok", "nice", "is.")).alias("meaningful"), T.is_low_information(line, "ha|oh|the").alias("low_information"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.substantive_length(line).alias("substantive"), T.is_meaningful(line, "ok|nice|is|6+|the").alias("meaningful"), T.is_low_information(line, "ha|oh|the").alias("low_information"))
 
 
 @query("P3", "SELECT lower(regexp_replace(p_name, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS name_key, lower(regexp_replace(p_brand, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS brand_key, count(*) AS n FROM part GROUP BY 1, 2")

@@ -31,6 +31,15 @@ def test_normalize_text_drops_noise_and_is_idempotent(spark):
     assert values(df.select(text.normalize_text(F.col("t")))) == values(df)
 
 
+def test_noise_classes_and_fillers(spark):
+    raw = {"‪a‮b": "ab", "x WWW.site.example/y z": "x z", "go ➡ ⬛️ 1️⃣ 🇫🇷 on": "go 1 on", "[sixteen letters!] [seventeen letters] k": "[seventeen letters] k", "hi @na·me-1.x, you": "hi , you", "@a☀b c": "b c"}
+    df = spark.createDataFrame([(t,) for t in raw], "t string").select("t", text.normalize_text(F.col("t")).alias("clean"))
+    assert dict(values(df)) == raw
+    lines = {"7 7": True, "7": False, "ok": False, "OK !!": False, "o k": False, "ok then": True, "。。": False, "666～": False, "": False}
+    df = spark.createDataFrame([(t,) for t in lines], "t string").select("t", text.is_meaningful(F.col("t"), "ok|6+").alias("m"))
+    assert dict(values(df)) == lines
+
+
 def test_fold_and_grams(spark):
     df = spark.createDataFrame([("Ｆｕｌｌ-Width ß",), (None,), ("abcdefghabcdefgh",)], "t string")
     got = values(df.select(text.fold_text("t"), text.repeated_gram_share()("t")))
