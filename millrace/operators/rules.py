@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,40 +16,49 @@ from pyspark.sql import functions as F
 from ..functions.scores import tags
 
 
-@lru_cache(maxsize=8)
-def _matcher(aliases: tuple[tuple[str, str], ...]) -> tuple[re.Pattern | None, dict[str, tuple[int, str]]]:
-    order: dict[str, tuple[int, str]] = {}
-    for i, (alias, standard) in enumerate(aliases):
-        if alias:
-            order.setdefault(alias.lower(), (i, standard))
-    longest_first = sorted(order, key=lambda a: (-len(a), order[a][0]))
-    return (re.compile("|".join(map(re.escape, longest_first))) if order else None), order
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+class Dictionary:
+    """Names whose mentions are looked for. Each Python worker builds one Aho-Corasick automaton of them, with the first batch
+    that needs it, and later tasks of the worker use it again; a text is read once whatever the number of names. A worker
+    holds all names, so the dictionary is a bounded parameter: a million names of 12 characters took about 0.4 GB."""
+
+    def __init__(self, names: Iterable[str]):
+        self.names = list(dict.fromkeys(n for n in names if n))
+        self.key = hashlib.sha256("\0".join(self.names).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def mentions(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(place of the name in the dictionary, start, end) of all mentions in the text, overlapping ones too, by their end."""
+        automaton = _AUTOMATA.get(self.key)
+        if automaton is None:
+            if len(_AUTOMATA) > 3:  # a worker that serves many queries keeps the newest few
+                _AUTOMATA.pop(next(iter(_AUTOMATA)))
+            automaton = ahocorasick.Automaton()
+            for i, name in enumerate(self.names):
+                automaton.add_word(name, (i, len(name)))
+            automaton.make_automaton()
+            _AUTOMATA[self.key] = automaton
+        if self.names:
+            for last, (i, n) in automaton.iter(text):
+                yield i, last + 1 - n, last + 1
 
 
 def longest_alias(aliases: list[tuple[str, str]]):
-    """Pandas UDF text -> standard name of the longest alias that the text contains (the first listed wins a tie). One
-    alternation per worker serves dictionaries of any checked size; aliases are never joined with texts."""
-    fixed = tuple(aliases)
+    """Function text column -> standard name of the longest alias that the text contains in any case (the first listed wins a
+    tie); null without one. Aliases are never joined with texts."""
+    standards: dict[str, str] = {}
+    for alias, standard in aliases:
+        standards.setdefault(alias.lower(), standard)
+    known = Dictionary(standards)
+    names = [standards[n] for n in known.names]
 
     @F.pandas_udf("string")
     def tag(texts: pd.Series) -> pd.Series:
-        pattern, order = _matcher(fixed)
+        best = [max(((e - a, -i) for i, a, e in known.mentions(t)), default=None) if t else None for t in texts]
+        return pd.Series([None if b is None else names[-b[1]] for b in best], dtype=object)
 
-        def best(text: str | None) -> str | None:
-            if not text or pattern is None:
-                return None
-            low = text.lower()
-            hits: set[str] = set()
-            at = 0
-            while m := pattern.search(low, at):  # overlapping mentions count, so the search goes on one character later
-                hits.add(m[0])
-                at = m.start() + 1
-            hit = min(hits, key=lambda a: (-len(a), order[a][0]), default=None)
-            return order[hit][1] if hit is not None else None
-
-        return texts.map(best)
-
-    return tag
+    return lambda text: tag(F.lower(text))
 
 
 def first_category(text: Column, categories: list[tuple[str, str]]) -> Column:
@@ -136,28 +148,29 @@ def mention_spans(symptoms: list[str], outcomes: dict[str, str], negations: list
     """Pandas UDF text -> array of (symptom, start, end, negated, outcome; onset if ``onsets`` are given): longest symptoms first
     without overlap; negated by a word within ``before`` characters ahead; the outcome and the onset (such as before or after
     use, each a pattern) nearest within ``window`` characters, the least name on ties."""
-    words = sorted(symptoms, key=lambda s: (-len(s), s))
+    known = Dictionary(sorted(symptoms, key=lambda s: (-len(s), s)))  # so the place in it is the rank
 
-    def places(low: str, patterns: dict[str, str]) -> list[tuple[int, int, str]]:
-        return [(m.start(), m.end(), name) for name, p in patterns.items() for m in re.finditer(p, low)]
+    def places(low: str, patterns: dict[str, str]) -> tuple[list[tuple[int, int, str]], int]:
+        found = sorted((m.start(), m.end(), name) for name, p in patterns.items() for m in re.finditer(p, low))
+        return found, max((y - x for x, y, _ in found), default=0)
 
-    def nearest(found: list[tuple[int, int, str]], a: int, b: int) -> str | None:
-        near = [(min(abs(x - b), abs(a - y)), name) for x, y, name in found if x <= b + window and y >= a - window and (x >= b or y <= a)]
+    def nearest(places: tuple[list[tuple[int, int, str]], int], a: int, b: int) -> str | None:
+        found, longest = places
+        some = found[bisect_left(found, (a - window - longest,)) : bisect_right(found, (b + window + 1,))]
+        near = [(min(abs(x - b), abs(a - y)), name) for x, y, name in some if x <= b + window and y >= a - window and (x >= b or y <= a)]
         return min(near)[1] if near else None
 
     @F.pandas_udf(f"array<struct<symptom:string,start:int,end:int,negated:boolean,outcome:string{',onset:string' if onsets else ''}>>")
     def spans(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            low, taken = (text or "").lower(), []
-            for w in words:
-                at = low.find(w)
-                while at >= 0:
-                    if all(at + len(w) <= a or b <= at for a, b, _ in taken):
-                        taken.append((at, at + len(w), w))
-                    at = low.find(w, at + 1)
-            rows = []
-            outcome_at, onset_at = (places(low, outcomes), places(low, onsets or {})) if taken else ([], [])
+            low, taken, rows = (text or "").lower(), [], []
+            covered = bytearray(len(low))
+            for i, a, b in sorted(known.mentions(low)):
+                if covered.find(1, a, b) < 0:
+                    covered[a:b] = b"\1" * (b - a)
+                    taken.append((a, b, known.names[i]))
+            outcome_at, onset_at = (places(low, outcomes), places(low, onsets or {})) if taken else (None, None)
             for a, b, w in sorted(taken):
                 negated = any(n in low[max(0, a - before) : a] for n in negations)
                 rows.append({"symptom": w, "start": a, "end": b, "negated": negated, "outcome": nearest(outcome_at, a, b)} | ({"onset": nearest(onset_at, a, b)} if onsets else {}))
@@ -237,8 +250,11 @@ def best_pairs(rows: DataFrame, key: str, a: str = "a", b: str = "b", confidence
     return rows.groupBy(key, pair[0].alias("first"), pair[1].alias("second")).agg(F.max(confidence).alias("confidence"))
 
 
-def keyword_recall(text: Column, keywords: dict[str, dict[str, list[str]]]) -> Column:
-    """Array of (category, symptom, matched keywords) for every symptom with a keyword in the text."""
+def keyword_recall(text: Column, keywords: dict[str, dict[str, list[str]]], few: int = 64) -> Column:
+    """Array of (category, symptom, matched keywords) for every symptom with a keyword in the lower-cased text, all in the order
+    of ``keywords``. Up to ``few`` keywords are tested by built-in functions; more by one automaton, with the same result."""
+    if sum(len(words) for symptoms in keywords.values() for words in symptoms.values()) > few:
+        return _recall_by_automaton(keywords)(F.lower(text))
     rows = []
     for category, symptoms in keywords.items():
         for symptom, words in symptoms.items():
@@ -247,6 +263,29 @@ def keyword_recall(text: Column, keywords: dict[str, dict[str, list[str]]]) -> C
     return F.array_compact(F.array(*rows))
 
 
+def _recall_by_automaton(keywords: dict[str, dict[str, list[str]]]):
+    groups = [(category, symptom) for category, symptoms in keywords.items() for symptom in symptoms]
+    uses: dict[str, list[tuple[int, int]]] = {}  # keyword -> (group, place in it)
+    for g, (category, symptom) in enumerate(groups):
+        for i, word in enumerate(keywords[category][symptom]):
+            uses.setdefault(word, []).append((g, i))
+    known = Dictionary(uses)
+    everywhere = uses.get("", [])  # any text contains the empty keyword
+
+    @F.pandas_udf("array<struct<category:string,symptom:string,matched:array<string>>>")
+    def recall(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            rows: dict[int, list[str]] = {}
+            if text is not None:
+                for g, i in sorted({u for m in {i for i, _, _ in known.mentions(text)} for u in uses[known.names[m]]} | set(everywhere)):
+                    rows.setdefault(g, []).append(keywords[groups[g][0]][groups[g][1]][i])
+            out.append([{"category": groups[g][0], "symptom": groups[g][1], "matched": matched} for g, matched in rows.items()])
+        return pd.Series(out, dtype=object)
+
+    return recall
+
+
 def search(df: DataFrame, contains: dict[str, str] | None = None, among: dict[str, list] | None = None, between: dict[str, tuple] | None = None) -> DataFrame:
     """Rows that pass every filter given: texts contained (any case), values among a list, ranges (an end may be None)."""
     for c, part in (contains or {}).items():
