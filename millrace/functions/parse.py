@@ -117,7 +117,7 @@ def cut_outside_brackets(text: str) -> list[str]:
             depth += 1
         elif ch in ")]）】":
             depth = max(0, depth - 1)
-        elif ch in ",，、;；\n" and (depth == 0 or i == len(text)):
+        elif ch in ",，、;；。\n" and (depth == 0 or i == len(text)):
             pieces.append(text[last:i])
             last = i + 1
     return pieces
@@ -138,30 +138,36 @@ def around_brackets(piece: str) -> tuple[str, str]:
     return "".join(outside), "".join(inside)
 
 
-def split_nested(text: str | None, noise: tuple[str, ...], synonyms: dict[str, str], longest: int = 80, headers: tuple[str, ...] = ()) -> list[str]:
-    """Names of a label text: cut at separators outside brackets, bracket notes and percents stripped, noise words and
-    over-long names dropped, synonyms mapped. A name with one of ``headers`` in it is a group's: the names in its bracket
-    stand in its place, and without a bracket it goes."""
+def split_nested(text: str | None, noise: tuple[str, ...], synonyms: dict[str, str], longest: int = 80, headers: tuple[str, ...] = (), exact: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> list[str]:
+    """Names of a label text: cut at separators outside brackets, bracket notes and percents stripped, then the first of
+    ``prefixes`` that the name begins with (what a reading of a picture adds), noise words and over-long names dropped, synonyms
+    mapped. A name with one of ``headers`` in it, or that is one of ``exact``, is a group's: the names in its bracket stand in
+    its place. Without a bracket a header with a percent goes; any other such name is kept as one."""
     out = []
     pieces = cut_outside_brackets(text or "")[::-1]
     while pieces:
         outside, inside = around_brackets(pieces.pop())
-        word = re.sub(r"\s*[0-9]+(\.[0-9]+)?\s*[%％]", "", outside).strip(" .:)]）】").lower()
-        if any(h in word for h in headers):
+        word = re.sub(r"\s*[0-9]+(\.[0-9]+)?\s*[%％]", "", outside).strip(" .:：)]）】").lower()
+        header = any(h in word for h in headers)
+        if inside and (header or word in exact):
             pieces += cut_outside_brackets(inside)[::-1]
             continue
+        if header and re.search(r"[0-9]\s*[%％]", outside):
+            continue
+        prefix = next((p for p in prefixes if word.startswith(p)), "")
+        word = word[len(prefix) :].lstrip(" :：") if prefix else word
         word = synonyms.get(word, word)
         if word and word not in noise and len(word) <= longest:
             out.append(word)
     return out
 
 
-def nested_names(noise: tuple[str, ...] = (), synonyms: dict[str, str] | None = None, headers: tuple[str, ...] = ()):
+def nested_names(noise: tuple[str, ...] = (), synonyms: dict[str, str] | None = None, headers: tuple[str, ...] = (), exact: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()):
     """Pandas UDF text -> array of names, bracket-aware."""
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_nested(t, noise, synonyms or {}, headers=headers))
+        return texts.map(lambda t: split_nested(t, noise, synonyms or {}, headers=headers, exact=exact, prefixes=prefixes))
 
     return split
 

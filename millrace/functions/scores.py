@@ -41,6 +41,25 @@ def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
     return F.when(weight > 0, total / weight)
 
 
+def excess_penalty(supply: Column, uptake: Column) -> Column:
+    """What supply has over uptake, weighted by the supply in percent, to two places; null without either."""
+    return F.when(supply.isNotNull() & uptake.isNotNull(), F.round(F.greatest(F.lit(0.0), supply - uptake) * supply / 100, 2))
+
+
+def derived_features(df: DataFrame, first: dict[str, list[str]], mixes: dict[str, list[tuple[str, float]]], excess: dict[str, tuple[str, str]]) -> DataFrame:
+    """Features from others: ``first`` the first non-null of several columns, ``mixes`` weighted means over the non-null ones,
+    ``excess`` penalties of (supply, uptake). A column that the table lacks counts as null. Mixes may use the features of
+    ``first``, penalties those of both."""
+    for group, made in ((first, lambda v: F.coalesce(*v)), (mixes, None), (excess, lambda v: excess_penalty(*v))):
+        have = set(df.columns)
+        col = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")  # noqa: B023, E731
+        if made is None:
+            df = df.withColumns({n: weighted_mean([(col(c), w) for c, w in parts]) for n, parts in group.items()})
+        else:
+            df = df.withColumns({n: made([col(c) for c in parts]) for n, parts in group.items()})
+    return df
+
+
 def fit_score(features: dict[str, tuple[Column, float]], rules: list[tuple[Column, float]], limits: list[tuple[Column, float]]) -> Column:
     """Utility per feature (100 - value under a negative weight) weighted by |w|, minus rule penalties (condition, points)
     and penalties min(15, gap / 3) for values above a limit; 0..100."""

@@ -100,3 +100,12 @@ def repeated_gram_share(size: int = 8):
         return pd.Series(out, dtype="float64")
 
     return share
+
+
+def text_check(effective: Column, repeated: Column, hits: Column, structured: Column | None = None) -> Column:
+    """``accept``, or why a recognised text needs a review, the first reason that holds: too few effective characters (under
+    0.55), few of them (under 0.7) and little evidence, too repetitive (over 0.35), little evidence. Evidence is two hits or a
+    ``structured`` reading."""
+    thin = (hits < 2) & ~F.coalesce(structured if structured is not None else F.lit(False), F.lit(False))
+    reasons = F.when(effective < 0.55, "characters").when((effective < 0.7) & thin, "characters and evidence").when(repeated > 0.35, "repetition").when(thin, "evidence")
+    return F.coalesce(reasons, F.lit("accept"))

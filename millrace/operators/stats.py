@@ -105,13 +105,33 @@ def problem_clusters(df: DataFrame, fields: list[str]) -> DataFrame:
     return long.groupBy("field").agg(F.avg(positive).alias("average"), F.max("rate").alias("greatest"), F.count(positive).alias("affected"), (F.count(positive) / F.count("*")).alias("coverage"))
 
 
-def failure_points(clusters: DataFrame, rules: DataFrame) -> DataFrame:
-    """0.7 x average + 0.3 x coverage of each problem, times the rule weights, times 10, summed per failure point; P1 / P2 /
-    P3 by the share of the greatest score."""
-    strength = 0.7 * F.col("average") + 0.3 * F.col("coverage")
-    scored = clusters.join(rules, "field").groupBy("point").agg(F.sum(strength * F.col("weight") * 10).alias("score"))
-    share = F.col("score") / F.max("score").over(Window.partitionBy())
-    return scored.withColumn("priority", F.when(share >= 0.7, "P1").when(share >= 0.4, "P2").otherwise("P3"))
+def _priority(share: Column) -> Column:
+    return F.when(share >= 0.75, "P1").when(share >= 0.45, "P2").otherwise("P3")
+
+
+def failure_points(clusters: DataFrame, rules: DataFrame, tags: DataFrame | None = None, tag_rules: DataFrame | None = None) -> DataFrame:
+    """``point, score, priority``: 0.7 x average + 0.3 x coverage of each problem, times the weight of its rules (field, point,
+    weight), times 10; and for each row of ``tags`` (tag, similarity; without a similarity 0.5) the similarity times the weight
+    of its tag's rules (tag, point, weight); summed per point. P1 / P2 / P3 by the share of the greatest score. Tags are summed
+    before they meet rules, so a tag that most products have is one row."""
+    scores = clusters.join(rules, "field").select("point", ((0.7 * F.coalesce("average", F.lit(0.0)) + 0.3 * F.coalesce("coverage", F.lit(0.0))) * F.col("weight") * 10).alias("score"))
+    if tags is not None and tag_rules is not None:
+        weights = tags.groupBy("tag").agg(F.sum(F.coalesce("similarity", F.lit(0.5))).alias("similarity"))
+        scores = scores.union(weights.join(tag_rules, "tag").select("point", F.col("similarity") * F.col("weight")))
+    scored = scores.groupBy("point").agg(F.sum("score").alias("score"))
+    return scored.withColumn("priority", _priority(F.col("score") / F.max("score").over(Window.partitionBy())))  # one row per point of the rules
+
+
+def quality_indicators(points: DataFrame, indicators: DataFrame) -> DataFrame:
+    """``indicator, score, share, priority, points``: what to measure against the failure points. Each point's score counts 1.5
+    times as P1, once as P2 and 0.6 times as P3 for each of its ``indicators`` (point, indicator); the share is that of the
+    greatest score, the points are listed from the highest score on. Both tables are as small as the rules."""
+    factor = F.when(F.col("priority") == "P1", 1.5).when(F.col("priority") == "P2", 1.0).otherwise(0.6)
+    found = points.join(indicators.select("point", "indicator").distinct(), "point")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "point"))), lambda x: x["point"])
+    out = found.groupBy("indicator").agg(F.sum(F.col("score") * factor).alias("total"), listed.alias("points"))
+    out = out.withColumn("share", F.col("total") / F.max("total").over(Window.partitionBy()))
+    return out.select("indicator", F.col("total").alias("score"), "share", _priority(F.col("share")).alias("priority"), "points")
 
 
 def majority(ballots: DataFrame, item: str, choice: str) -> DataFrame:
@@ -235,3 +255,22 @@ def last_two_years(rows: DataFrame, key: str, year: str, before: int) -> DataFra
     last = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(year).alias("y"), "n"))).alias("__s")).where(F.size("__s") > 1)
     a, b = F.element_at("__s", -2), F.element_at("__s", -1)
     return last.select(key, a["y"].alias("previous"), b["y"].alias("current"), F.round((b["n"] - a["n"]) * 100 / a["n"], 1).alias("change"))
+
+
+def assembled_sources(rows: DataFrame, key: list[str], id_: str, ready: Column, stages: str, field: Column, content: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, links, left out) of source rows. A row that isn't ready, lacks a key or has no stage is ``pending``; one whose
+    field is null is ``unassigned``; both are in the last frame (id, status). Each other row counts in every stage of its array
+    ``stages`` once (``unspecified`` is ``all_stages``). Entries are the exact texts of a key, stage and field, white space at
+    their ends aside: text_id, the content of the least id, and the number of sources; links name every source of an entry
+    in a row of its own, so a text that a third of the sources share is no list."""
+    known = F.coalesce(ready, F.lit(False))
+    for k in key:
+        known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    known = known & (F.coalesce(F.size(stages), F.lit(0)) > 0)
+    marked = rows.withColumn("__field", field).withColumn("__status", F.when(~known, "pending").when(F.col("__field").isNull(), "unassigned"))
+    out = marked.where("__status IS NOT NULL").select(id_, F.col("__status").alias("status"))
+    stage = F.explode(F.array_distinct(F.transform(stages, lambda s: F.when(s == "unspecified", "all_stages").otherwise(s))))
+    text = F.coalesce(F.col(content), F.lit(""))
+    used = marked.where("__status IS NULL").select(*key, stage.alias("stage"), F.col("__field").alias("field"), F.sha2(F.regexp_replace(text, r"^\s+|\s+$", ""), 256).alias("text_id"), text.alias("content"), id_)
+    entries = used.groupBy(*key, "stage", "field", "text_id").agg(F.min_by("content", id_).alias("content"), F.countDistinct(id_).alias("sources"))
+    return entries, used.select(*key, "stage", "field", "text_id", id_).distinct(), out

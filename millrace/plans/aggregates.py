@@ -117,13 +117,44 @@ def a12(spark, sf_dir):
 _POINTS = [("l_discount", "price", 2.0), ("late", "delivery", 1.0), ("l_tax", "price", 1.0), ("l_tax", "paper", 0.5)]
 
 
-@query("A13", f"""WITH {_CLUSTERS}, p(field, point, weight) AS (VALUES {", ".join(map(str, _POINTS))}), s AS (SELECT point, sum((0.7 * average + 0.3 * coverage) * weight * 10) AS score FROM k JOIN p USING (field) GROUP BY 1)
-SELECT point, round(score, 6) AS score, CASE WHEN score / max(score) OVER () >= 0.7 THEN 'P1' WHEN score / max(score) OVER () >= 0.4 THEN 'P2' ELSE 'P3' END AS priority FROM s""")
+_INDICATORS = [("price", "unit price"), ("price", "margin"), ("delivery", "days"), ("paper", "days"), ("paper", "weight"), ("width", "margin"), ("width", "weight")]
+_TAG_RULES = [("PROMO", "price", 0.02), ("ECONOMY", "width", 0.01), ("STANDARD", "width", 0.004), ("STANDARD", "paper", 0.001)]
+_VALUES = "(VALUES " + ", ".join(map(str, _POINTS)) + ")"
+_RANKED = """CASE WHEN {0} / max({0}) OVER () >= 0.75 THEN 'P1' WHEN {0} / max({0}) OVER () >= 0.45 THEN 'P2' ELSE 'P3' END AS priority"""
+_TAGGED = f"""{_CLUSTERS}, p(field, point, weight) AS {_VALUES}, g(tag, point, weight) AS (VALUES {", ".join(map(str, _TAG_RULES))}),
+x AS (SELECT point, (0.7 * average + 0.3 * coverage) * weight * 10 AS score FROM k JOIN p USING (field) UNION ALL SELECT point, weight * coalesce(CASE WHEN p_size % 7 <> 0 THEN p_size / 50.0 END, 0.5) FROM part JOIN g ON p_type = tag),
+s AS (SELECT point, sum(score)::DOUBLE AS score FROM x GROUP BY 1), f AS (SELECT point, score, {_RANKED.format("score")} FROM s)"""
+
+
+@query("A13", f"""WITH {_CLUSTERS}, p(field, point, weight) AS {_VALUES}, s AS (SELECT point, sum((0.7 * average + 0.3 * coverage) * weight * 10) AS score FROM k JOIN p USING (field) GROUP BY 1)
+SELECT point, round(score, 6) AS score, {_RANKED.format("score")} FROM s""")
 def a13(spark, sf_dir):
     rules = spark.createDataFrame(_POINTS, "field string, point string, weight double")
     return A.failure_points(_clusters(spark, sf_dir), rules).withColumn("score", F.round("score", 6))
 
 
+def _points(spark, sf_dir):
+    rules = spark.createDataFrame(_POINTS, "field string, point string, weight double")
+    tag_rules = spark.createDataFrame(_TAG_RULES, "tag string, point string, weight double")
+    tags = table(spark, sf_dir, "part").select(F.col("p_type").alias("tag"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 50.0).alias("similarity"))
+    return A.failure_points(_clusters(spark, sf_dir), rules, tags, tag_rules)
+
+
+@query("A13b", f"WITH {_TAGGED} SELECT point, round(score, 6) AS score, priority FROM f")
+def a13b(spark, sf_dir):
+    """Failure points from problems and from the tags of similar products."""
+    return _points(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query("A13c", f"""WITH {_TAGGED}, i(point, indicator) AS (VALUES {", ".join(map(str, _INDICATORS))}),
+n AS (SELECT indicator, sum(score * CASE priority WHEN 'P1' THEN 1.5 WHEN 'P2' THEN 1.0 ELSE 0.6 END)::DOUBLE AS total, string_agg(point, '|' ORDER BY score DESC, point) AS points FROM f JOIN i USING (point) GROUP BY 1)
+SELECT indicator, round(total, 6) AS score, round(total / max(total) OVER (), 6) AS share, {_RANKED.format("total")}, points FROM n""")
+def a13c(spark, sf_dir):
+    """What to measure against the failure points."""
+    plan = A.quality_indicators(_points(spark, sf_dir), spark.createDataFrame(_INDICATORS, "point string, indicator string"))
+    return plan.withColumns({"score": F.round("score", 6), "share": F.round("share", 6), "points": F.array_join("points", "|")})
+
+
 @query("A14", """WITH c AS (SELECT l_orderkey, p_brand, CASE WHEN l_linenumber <= 3 THEN 1.0 WHEN l_linenumber <= 6 THEN 0.7 ELSE 0.4 END::DOUBLE * CASE WHEN l_quantity >= 30 THEN 1.5 WHEN l_quantity >= 10 THEN 1.2 ELSE 1.0 END::DOUBLE AS contribution FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (SELECT l_orderkey, p_brand, sum(contribution) AS total FROM c GROUP BY 1, 2)
 SELECT l_orderkey, p_brand, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(total, 6) DESC, p_brand) AS n FROM s) WHERE n <= 2""")
@@ -192,6 +223,37 @@ def a21(spark, sf_dir):
     return out.na.fill(0).join(texts.groupBy("stage").agg(F.sum("sources").alias("sources")), "stage")
 
 
+_SOURCES = """b AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars % 7 = 0 OR lang IS NULL OR source IS NULL OR n_chars IS NULL OR n_chars < 300 AS waits, CASE WHEN lang = 'en' THEN 'profile' WHEN lang = 'fr' THEN 'care' WHEN lang = 'de' THEN 'food' END AS field,
+ CASE WHEN n_chars > 2000 THEN ['adult', 'senior', 'adult'] ELSE ['unspecified'] END AS stages FROM documents),
+u AS (SELECT doc_id, source, field, text, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_id, unnest(list_distinct(list_transform(stages, lambda x: CASE WHEN x = 'unspecified' THEN 'all_stages' ELSE x END))) AS stage FROM b WHERE NOT waits AND field IS NOT NULL)"""
+
+
+def _assembled(spark, sf_dir):
+    n = F.col("n_chars")
+    stages = F.when(n < 300, F.array().cast("array<string>")).when(n > 2000, F.array(F.lit("adult"), F.lit("senior"), F.lit("adult"))).when(n.isNotNull(), F.array(F.lit("unspecified")))
+    field = F.when(F.col("lang") == "en", "profile").when(F.col("lang") == "fr", "care").when(F.col("lang") == "de", "food")
+    ready = (n % 7 != 0) & F.col("lang").isNotNull()
+    return A.assembled_sources(table(spark, sf_dir, "documents").withColumn("stages", stages), ["source"], "doc_id", ready, "stages", field, "text")
+
+
+@query("A21b", f"WITH {_SOURCES} SELECT source, stage, field, text_id, md5(arg_min(text, doc_id)) AS content, count(DISTINCT doc_id) AS sources FROM u GROUP BY 1, 2, 3, 4")
+def a21b(spark, sf_dir):
+    """Texts of each object, stage and field."""
+    return _assembled(spark, sf_dir)[0].withColumn("content", F.md5(F.col("content").cast("binary")))
+
+
+@query("A21c", f"WITH {_SOURCES} SELECT DISTINCT source, stage, field, text_id, doc_id FROM u")
+def a21c(spark, sf_dir):
+    """The sources of each text, one row each."""
+    return _assembled(spark, sf_dir)[1]
+
+
+@query("A21d", f"WITH {_SOURCES} SELECT doc_id, CASE WHEN waits THEN 'pending' ELSE 'unassigned' END AS status FROM b WHERE waits OR field IS NULL")
+def a21d(spark, sf_dir):
+    """Sources that wait or that no field takes."""
+    return _assembled(spark, sf_dir)[2]
+
+
 @query("A22", """SELECT p_brand, p_size, count(DISTINCT p_name) AS texts, count(DISTINCT p_type) AS types, count(DISTINCT p_retailprice) > 1 AS conflict, list_sort(list(DISTINCT p_name))[1] AS first FROM part GROUP BY 1, 2""")
 def a22(spark, sf_dir):
     part = table(spark, sf_dir, "part")

@@ -60,6 +60,14 @@ def f6(spark, sf_dir):
     return rows.select("p_partkey", F.array_join("n", "|").alias("names"), F.sha2(F.concat(F.lit('["'), F.array_join("n", '", "'), F.lit('"]')), 256).alias("fingerprint"))
 
 
+@query("F6b", """SELECT p_partkey, array_to_string([lower(split_part(p_name, ' ', 1)), lower(p_type), 'cod', 'wares and products thereof', lower(p_brand)], '|') AS names FROM part""")
+def f6b(spark, sf_dir):
+    """Full stops as separators, a prefix of the reading, a group whose name is exactly known, a header that stands alone."""
+    text = F.concat(F.lit("LIVE: "), F.split("p_name", " ")[0], F.lit("。Fish 12%("), F.col("p_type"), F.lit("。Cod 3%)，Wares and products thereof; Meat products thereof 8%; "), F.col("p_brand"))
+    names = P.nested_names(headers=("products thereof",), exact=("fish",), prefixes=("live",))(text)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names, "|").alias("names"))
+
+
 @query("F7", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'brass|steel' ELSE '' END AS parts FROM part""")
 def f7(spark, sf_dir):
     glued = F.when(F.col("p_size") % 2 == 0, "brasssteel").otherwise("tincanopener")
@@ -85,6 +93,17 @@ def f9(spark, sf_dir):
     return rows.select("doc_id", F.round("effective", 6).alias("effective"), F.round("repeated", 6).alias("repeated"), verdict.alias("verdict"))
 
 
+@query("F9b", """WITH t AS (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS s, text FROM documents),
+g AS (SELECT doc_id, length(s) - 7 AS n, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS eff, length(s) AS len, list_unique(list_transform(range(1, greatest(length(s) - 7, 1) + 1), lambda i: substr(s, i, 8))) AS u, len(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)*')) AS hits FROM t),
+r AS (SELECT doc_id, coalesce(hits, 0) AS hits, CASE WHEN len > 0 THEN eff / len::DOUBLE ELSE 0 END AS effective, CASE WHEN n >= 2 THEN 1 - u / n::DOUBLE ELSE 0 END AS repeated FROM g)
+SELECT doc_id, hits::INT AS hits, CASE WHEN effective < 0.55 THEN 'characters' WHEN effective < 0.7 AND hits < 2 THEN 'characters and evidence' WHEN repeated > 0.35 THEN 'repetition' WHEN hits < 2 THEN 'evidence' ELSE 'accept' END AS verdict FROM r""")
+def f9b(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    hits = F.size(F.regexp_extract_all(text, F.lit(r"[0-9]+(\.[0-9]+)*"), F.lit(0)))
+    verdict = T.text_check(T.share_of_effective_characters(text), T.repeated_gram_share()(text), hits)
+    return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), verdict.alias("verdict"))
+
+
 @query("F10", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN 'a|' || event_type ELSE '' END AS items, CASE WHEN event_id % 2 = 0 THEN round(value, 6) END AS v FROM events""")
 def f10(spark, sf_dir):
     k = F.col("event_id")

@@ -68,7 +68,10 @@ def r6(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.first_of(R.two_level_labels(F.col("text"), _R5), ["data>mail", "form>loud", "form>list"], "plain").alias("label"))
 
 
-@query("R7")
+_NEXT = "CASE WHEN event_id % 3 = 0 THEN 'click' ELSE 'signup' END"
+
+
+@query("R7", f"""SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_type IS NOT NULL THEN 'view' WHEN event_type <> {_NEXT} THEN event_type END AS source, CASE WHEN event_id % 2 = 0 AND event_type IS NOT NULL OR event_type <> {_NEXT} THEN {_NEXT} END AS target FROM events""")
 def r7(spark, sf_dir):
     path = R.switch_path(["click", "view", "purchase", "error", "signup"], (r"from (?P<a>BRAND) to (?P<b>BRAND)", r"left (?P<a>BRAND) for (?P<b>BRAND)"))
     events = table(spark, sf_dir, "events")
@@ -76,6 +79,22 @@ def r7(spark, sf_dir):
     return events.select("event_id", path(text).alias("p")).select("event_id", "p.source", "p.target")
 
 
+_WORDS = "that|the|and|of"
+
+
+@query("R7b", f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM {_D}), p(pattern, glue, i) AS (VALUES ('({_WORDS}) in ({_WORDS})', ' in ', 1), ('({_WORDS}) [a-z]+, ({_WORDS})', ', ', 2)),
+u AS (SELECT doc_id, i, unnest(regexp_extract_all(t, pattern)) AS hit, unnest(regexp_split_to_array(t, pattern)[:len(regexp_extract_all(t, pattern))]) AS gap, unnest(range(1, len(regexp_extract_all(t, pattern)) + 1)) AS n FROM d, p),
+m AS (SELECT doc_id, i, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, i ORDER BY n) - length(hit) AS place FROM u),
+v AS (SELECT doc_id, i, place, regexp_extract(hit, '^({_WORDS})') AS a, regexp_extract(hit, '(?:^|.*[ ])({_WORDS})$', 1) AS b FROM m),
+l AS (SELECT doc_id, arg_max({{'a': a, 'b': b}}, place * 10 + i) AS s FROM v WHERE a <> b GROUP BY 1),
+f AS (SELECT doc_id, m[1] AS a, list_filter(m, lambda x: x <> m[1])[1] AS b FROM (SELECT doc_id, regexp_extract_all(t, '{_WORDS}') AS m FROM d))
+SELECT doc_id, CASE WHEN s IS NOT NULL THEN s.a WHEN f.b IS NOT NULL THEN f.a END AS source, CASE WHEN s IS NOT NULL THEN s.b ELSE f.b END AS target FROM f LEFT JOIN l USING (doc_id)""")
+def r7b(spark, sf_dir):
+    """Paths in whole texts: sentences of two patterns, else the first two names."""
+    path = R.switch_path(_WORDS.split("|"), ("(?P<a>BRAND) in (?P<b>BRAND)", "(?P<a>BRAND) [a-z]+, (?P<b>BRAND)"))
+    return _docs(spark, sf_dir).select("doc_id", path(F.lower("text")).alias("p")).select("doc_id", "p.source", "p.target")
+
+
 @query("R8")
 def r8(spark, sf_dir):
     spans = R.mention_spans(["thing", "nothing", "tion"], {"better": r"bl[ey]", "worse": r"\bno"}, ["the ", "un"], onsets={"before": r"\bsince\b|\bold", "after": r"\bafter\b|\bnew"})

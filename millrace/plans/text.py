@@ -83,6 +83,15 @@ def p9(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.round(S.weighted_mean([(F.col("a"), 0.5), (F.col("b"), 0.3), (F.col("c"), 0.2)]), 6).alias("mean"))
 
 
+@query("P9b", f"""WITH f AS (SELECT *, coalesce(a, c) AS feed FROM ({_PARTS}))
+SELECT l_orderkey, l_linenumber, feed, round((coalesce(feed * 0.35, 0) + coalesce(b * 0.45, 0)) / nullif((feed IS NOT NULL)::INT * 0.35::DOUBLE + (b IS NOT NULL)::INT * 0.45::DOUBLE, 0), 6) AS support, CASE WHEN feed IS NOT NULL AND b IS NOT NULL THEN round(greatest(0, feed - b) * feed / 100, 2) END AS excess FROM f""")
+def p9b(spark, sf_dir):
+    """Derived features; ``absent`` is a column that the table lacks."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    rows = S.derived_features(spark.sql(_PARTS), {"feed": ["absent", "a", "c"]}, {"support": [("feed", 0.35), ("b", 0.45), ("absent", 0.2)]}, {"excess": ("feed", "b")})
+    return rows.select("l_orderkey", "l_linenumber", "feed", F.round("support", 6).alias("support"), "excess")
+
+
 @query("P10", """WITH f AS (SELECT p_partkey, p_type, p_retailprice / 25 AS price, p_size * 2.0::DOUBLE AS size FROM part)
 SELECT p_partkey, round(least(greatest((least(price, 100) * 2 + (100 - size) * 1) / 3 - CASE WHEN p_type LIKE '%BRASS%' THEN 10 ELSE 0 END - CASE WHEN size > 60 THEN least(15, (size - 60) / 3) ELSE 0 END, 0), 100), 6) AS fit FROM f""")
 def p10(spark, sf_dir):

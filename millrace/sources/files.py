@@ -10,13 +10,15 @@ from ..operators.ranking import first_of_group
 
 def read_posts(spark: SparkSession, glob: str, columns: dict[str, str], id_: str) -> tuple[DataFrame, DataFrame]:
     """(posts, errors) of CSV files with a header, byte-order marks allowed: rows without a numeric id are errors; the first
-    row of an id wins, over files by name and then the row's content; the source file is kept."""
+    row of an id wins, over files by name and then lines; the source file is kept. Lines are compared by the place of their block
+    in the file and their number in the task that reads it, so a file needs no single task unless it has texts of many lines."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.csv(glob, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=True)
-    rows = rows.withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)).withColumn(id_, F.regexp_replace(F.trim(id_), "^﻿", ""))
+    place = [F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line")]
+    rows = rows.select("*", *place).withColumn(id_, F.regexp_replace(F.trim(id_), "^﻿", ""))
     good = F.coalesce(F.col(id_).rlike("^[0-9]{1,18}$"), F.lit(False))
-    typed = rows.where(good).select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items()], "source_file")
-    return first_of_group(typed, [id_], [F.asc("source_file"), *[F.asc(c) for c in columns if c != id_]]), rows.where(~good)
+    typed = rows.where(good).select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items()], "source_file", "__block", "__line")
+    return first_of_group(typed, [id_], [F.asc("source_file"), F.asc("__block"), F.asc("__line")]).drop("__block", "__line"), rows.where(~good).drop("__block", "__line")
 
 
 _ITEMS = "items array<struct<item_id:string,brand:string,title:string,price:string,sold_text:string>>"

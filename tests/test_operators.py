@@ -524,3 +524,48 @@ def test_rates_levels_and_directions(spark):
     got = stats.direction_states(m, ["k"], "m", F.col("c"), {"d": (["a"], ["a", "b"]), "e": (["x"], ["b"])})
     assert sorted(tuple(r) for r in got.select("k", "direction", "state", "evidence", "missing").collect()) == [
         ("u", "d", "abnormal", ["a"], []), ("u", "e", "normal", [], []), ("w", "d", "insufficient", [], ["a"]), ("w", "e", "normal", [], [])]
+
+
+def test_label_texts_with_headers_and_stops():
+    def split(text):
+        return parse.split_nested(text, ("x",), {}, headers=("products",), exact=("fish", "prawn"), prefixes=("live", "ad "))
+
+    assert split("Fish 5%(tuna, Prawn (red 2%, blue))。oil") == ["tuna", "red", "blue", "oil"]
+    assert split("Meat products 8%, meat products, Fish, x, fishy (tuna)") == ["meat products", "fish", "fishy"]
+    assert split("LIVE: beef; ad plum；live") == ["beef", "plum"]
+    assert split(None) == split("。，") == []
+
+
+def test_first_line_of_an_id_wins(spark, tmp_path):
+    """Lines of one id stand against their content's order, inside a file, over files, and beside quoted line ends."""
+    from millrace.sources import files
+
+    (tmp_path / "b.csv").write_text("id,title\n7,a\n8,b\n")
+    (tmp_path / "a.csv").write_text("﻿id,title\n7,z\n9,\"two\nlines\"\n7,a\nx1,bad\n9,a\n" + "".join(f"{i},{'zy'[i < 1000]}\n" for i in (*range(100, 2000), *range(100, 999))))
+    posts, errors = files.read_posts(spark, str(tmp_path / "*.csv"), {"id": "long", "title": "string"}, "id")
+    got = {r["id"]: (r["title"], r["source_file"]) for r in posts.collect()}
+    assert posts.columns == ["id", "title", "source_file"] and errors.count() == 1
+    assert got[7] == ("z", "a.csv") and got[8] == ("b", "b.csv") and got[9] == ("two\nlines", "a.csv")
+    assert len(got) == 3 + 1900 and got[100][0] == "y" and got[1500][0] == "z"
+
+
+def test_assembled_sources(spark):
+    rows = [(1, "cat", ["a", "a", "unspecified"], "f", " t ", True), (2, "cat", ["a"], "f", "t", True), (3, "", ["a"], "f", "t", True), (4, None, ["a"], "f", "t", True), (5, "cat", [], "f", "t", True), (6, "cat", None, "f", "t", True), (7, "cat", ["a"], None, "t", True), (8, "cat", ["a"], "f", None, True), (9, "cat", ["a"], "f", "t", None), (2, "cat", ["a"], "f", "t", True)]
+    df = spark.createDataFrame(rows, "id int, k string, stages array<string>, f string, content string, ok boolean")
+    entries, links, out = stats.assembled_sources(df, ["k"], "id", F.col("ok"), "stages", F.col("f"), "content")
+    assert sorted(tuple(r) for r in entries.select("k", "stage", "field", "content", "sources").collect()) == [("cat", "a", "f", "", 1), ("cat", "a", "f", " t ", 2), ("cat", "all_stages", "f", " t ", 1)]
+    assert sorted((r["stage"], r["id"]) for r in links.collect()) == [("a", 1), ("a", 2), ("a", 8), ("all_stages", 1)]
+    assert sorted(tuple(r) for r in out.collect()) == [(3, "pending"), (4, "pending"), (5, "pending"), (6, "pending"), (7, "unassigned"), (9, "pending")]
+    empty = stats.assembled_sources(df.limit(0), ["k"], "id", F.col("ok"), "stages", F.col("f"), "content")
+    assert [f.count() for f in empty] == [0, 0, 0]
+
+
+def test_text_check_and_derived_features(spark):
+    from millrace.functions import scores, text
+
+    rows = [(0.5, 0.0, 3, False), (0.6, 0.9, 1, False), (0.6, 0.0, 2, False), (0.6, 0.0, 0, True), (0.8, 0.36, 3, False), (0.8, 0.35, 1, None), (0.8, 0.35, 2, None)]
+    df = spark.createDataFrame(rows, "e double, r double, h int, s boolean")
+    assert [r[0] for r in df.select(text.text_check(F.col("e"), F.col("r"), F.col("h"), F.col("s"))).collect()] == ["characters", "characters and evidence", "accept", "accept", "repetition", "evidence", "accept"]
+    df = spark.createDataFrame([(80.0, 30.0), (20.0, 50.0), (None, 50.0), (50.0, None)], "q double, s double")
+    got = scores.derived_features(df, {"p": ["none", "q", "s"]}, {"m": [("p", 1.0), ("s", 3.0), ("none", 5.0)]}, {"x": ("q", "s")})
+    assert [tuple(r) for r in got.select("p", "m", "x").collect()] == [(80.0, 42.5, 40.0), (20.0, 42.5, 0.0), (50.0, 50.0, None), (50.0, 50.0, None)]
