@@ -121,7 +121,9 @@ def held_out(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[float, np.ndarray, np.ndarray] | None:
-    """The machine, learnt from at most ``sample_rows`` labelled rows that are not held out (a seeded order picks them)."""
+    """The machine, learnt from at most ``sample_rows`` labelled rows that are not held out (a seeded order picks them). Of an
+    id's documents one text is taken, on the executors, so what reaches the driver is bounded by ``sample_rows`` however many
+    rows an id has."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where(~held_out(F.col("__id")) & F.col("y").isNotNull() & F.col("__id").isNotNull())
     some = some.groupBy("__id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most").orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample_rows)
 
@@ -134,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, id_col: st
 
     # the sample is bounded by sample_rows, so it may be broadcast: texts stay where they are
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(some), "__id")
-    got = found.select("__id", "y", F.xxhash64("t").alias("h"), features("t").alias("f")).select("__id", "y", "h", "f.ids", "f.x").toPandas().sort_values(["__id", "h"], kind="stable").drop_duplicates("__id")
+    one = found.groupBy("__id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    got = one.select("__id", "y", features("t").alias("f")).select("__id", "y", "f.ids", "f.x").toPandas().sort_values("__id")
     if got.empty:
         return None
     row = np.repeat(np.arange(len(got), dtype=np.int32), got["ids"].map(len) // 4)
