@@ -1,9 +1,9 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field over word-shape features that adds spans.
 
-The field is trained from a small labelled table (``labelled_table``: synthetic lines with their spans, shipped as rules and
-a seed): what the base patterns can't say, that is secrets and keys (a fifth kind), phones without country code and
-spelled-out addresses, beside look-alikes without a span (versions, dates, prices, failing cards and addresses, tables of
-numbers). Words without a digit, ``@``, ``=`` or a long run of capitals, and not part of a spelled-out address, are fixed to
+The field is trained from a small labelled table (``labelled_table``): lines written and marked by hand (pii_labels.txt), which
+count several times, and synthetic ones made by rules and a seed. They hold what the base patterns can't say, that is secrets
+and keys (a fifth kind), phones without country code and spelled-out addresses, beside look-alikes without a span (versions,
+dates, prices, hashes, digests, UUIDs, ranges, order numbers, failing cards and addresses, tables of numbers). Words without a digit, ``@``, ``=`` or a long run of capitals, and not part of a spelled-out address, are fixed to
 the outside state, so a text falls into runs of candidate words; Viterbi decodes them in numpy batches of runs of like
 length, and a long run in slices with its scores carried over: the result is the exact best path of the whole text.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import pkgutil
 import random
 import re
 from collections.abc import Iterator
@@ -82,11 +83,22 @@ STATES = 1 + 2 * len(KINDS)
 _CANDIDATE = re.compile(r"[0-9@=]|[A-Z]{12}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]*")
 _DOT = re.compile(r"(?<=[\x20\x09-\x0D])[\[(]?dot[\])]?(?=[\x20\x09-\x0D])", re.I)
+_NEXT = re.compile(r"[^\x20\x09-\x0D]+")
 _AT = re.compile(r"[\[(]?at[\])]?", re.I)
 _SPACE = "\x20\t\n\x0b\x0c\r"
 _LONG = re.compile(r"[A-Za-z0-9+/_.-]{12,}")
-#: Words whose presence before or inside a candidate is a feature; others are known by their shape alone.
-CUES = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "auth", "bearer", "credential", "call", "phone", "tel", "fax", "mobile", "mail", "email", "contact", "version", "license", "page", "at", "dot", "com", "org", "net", "edu", "the", "of", "a")
+#: Words whose presence before or inside a candidate is a feature, by what they speak of; others are known by their shape alone.
+CUE_CLASSES = {
+    "secret": ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "auth", "bearer", "credential"),
+    "phone": ("call", "phone", "telefon", "tel", "fax", "mobile", "cell", "ring", "whatsapp", "contact"),
+    "address": ("mail", "email", "at", "dot", "com", "org", "net", "edu"),
+    "hash": ("commit", "revision", "sha", "md", "digest", "hash", "checksum", "etag", "tree", "uuid", "id", "build"),
+    "number": ("version", "license", "page", "range", "total", "invoice", "order", "number", "part", "isbn", "serial", "lot", "table", "score", "count"),
+    "plain": ("the", "of", "a"),
+}
+CUE_CLASS = {cue: name for name, cues in CUE_CLASSES.items() for cue in cues}
+CUES = tuple(CUE_CLASS)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 SLICE = 4096  # words of a run scored at once
 
 
@@ -117,17 +129,32 @@ def features(words: list[str], i: int, before: tuple[str, ...] = ()) -> list[str
     value = value.strip("\"'")
     if sign:
         out.append(f"name={_cue(name)}:{len(value) >= 8}")
+    out.append(f"uuid={bool(_UUID.fullmatch(value))}")
+    if len(words) <= 8:  # a short run of numbers as a whole: how many digits, and whether it starts with a zero
+        out.append(f"run={len(words)}:{min(sum(len(_digits(x)) for x in words), 20)}:{words[0].lstrip('(')[:1] == '0'}")
     if _LONG.fullmatch(value):
         kind = "hex" if re.fullmatch(r"[0-9a-f]+", value) else "digits" if not re.search(r"[A-Za-z]", value) else "capitals" if re.fullmatch(r"[A-Z0-9]+", value) else "mixed"
         turns = len(re.findall(r"[A-Za-z][0-9]|[0-9][A-Za-z]", value))
         out += [f"long={kind}:{min(len(value) // 8, 5)}", f"turns={kind}:{min(turns, 6)}", f"head={value[:4] if value[:4] in ('AKIA', 'ASIA', 'ghp_', 'sk-l', 'xoxb') else ''}"]
     ahead = [*before, *words[max(0, i - 2) : i]][-2:]
     out += [f"c1={_cue(ahead[-1]) if ahead else ''}", f"c2={_cue(ahead[-2]) if len(ahead) > 1 else ''}:{(ahead[-1] in ('=', ':', 'is', 'to')) if ahead else ''}", f"own={_cue(w)}"]
+    said = next((c for x in (name if sign else "", *ahead[::-1], *before[::-1]) if (c := CUE_CLASS.get(_cue(x))) and c != "plain"), "none")
+    made = "hash" if re.fullmatch(r"[0-9a-f]{20,}", value) else "digits" if not re.search(r"[A-Za-z]", value) else "both" if re.search(r"[0-9]", value) else "letters"
+    out += [f"said={said}:{made}", f"said={said}:{made}:{min(len(digits), 16)}", f"said={said}:{bool(sign)}:{min(len(value) // 3, 4)}:{made}"]
     for d, side in ((-1, "l"), (1, "r")):
         out.append(f"{side}={shape(words[i + d])}" if 0 <= i + d < len(words) else f"{side}=")
     return out
 
 
+def _word_ahead(text: str, at: int) -> tuple[int, int] | None:
+    """(start, end) of the last word before a place, however long it is."""
+    end = len(text[max(0, at - 64) : at].rstrip(_SPACE)) + max(0, at - 64)
+    while end and text[end - 1] in _SPACE:
+        end -= 1
+    start = max(text.rfind(c, 0, end) for c in _SPACE) + 1 if end - 64 > 0 and not any(c in _SPACE for c in text[end - 64 : end]) else end - len(re.split(r"[\x20\x09-\x0D]", text[max(0, end - 64) : end])[-1])
+    return (start, end) if start < end else None
+
+
 def _places(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidate words, in order."""
     found: list[tuple[int, int]] = []
@@ -142,12 +169,13 @@ def _places(text: str) -> list[tuple[int, int]]:
         found.append((start, end))
     spelled = set()
     for m in _DOT.finditer(text):  # name at host dot name, each sign by itself
-        ahead = [x.span() for x in re.finditer(r"[^\x20\x09-\x0D]+", text[max(0, m.start() - 400) : m.start()])][-3:]
-        base = max(0, m.start() - 400)
-        after = re.compile(r"[^\x20\x09-\x0D]+").search(text, m.end())
-        if len(ahead) == 3 and after and _AT.fullmatch(text[base + ahead[1][0] : base + ahead[1][1]]):
-            spelled |= {*((base + x, base + y) for x, y in ahead), m.span(), after.span()}
-        elif after and len(ahead) and (base + ahead[-1][0], base + ahead[-1][1]) in spelled:
+        host = _word_ahead(text, m.start())
+        after = _NEXT.search(text, m.end())
+        sign = _word_ahead(text, host[0]) if host and after else None
+        name = _word_ahead(text, sign[0]) if sign and sign[1] - sign[0] <= 4 and _AT.fullmatch(text[sign[0] : sign[1]]) else None
+        if name:
+            spelled |= {name, sign, host, m.span(), after.span()}
+        elif after and host in spelled:
             spelled |= {m.span(), after.span()}
     return sorted({*found, *spelled}) if spelled else found
 
@@ -338,7 +366,7 @@ def _row(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             d = d[:-1] + str((int(d[-1]) + 1) % 10)
         return pick([
             f"version {n % 20}.", f"v{n % 9}.{n % 7}.{n % 5}", f"CC BY-NC {n % 5}.0.", f"version {n % 9}.{n % 9}", f"in {1900 + n % 130},", f"{1900 + n % 99}-{1950 + n % 99}", f"2024-0{1 + n % 9}-1{n % 9}", f"1{n % 9}/05/2021", f"{n % 24}:{10 + n % 50}", f"${n}.50", f"{1 + n % 9},{100 + n % 900},{100 + n % 900}",
-            f"page {n % 400}", f"({n % 30})", d, f"{300 + n % 600}.{n % 999}.{n}.{n % 300}", f"commit {chars(7, hexa)}", word() + digits(rng.randint(1, 3)), " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 16))), " ".join(digits(4) for _ in range(rng.randint(5, 16))), f"{word()}@{word()}", f"@{word()}{n % 100}", f"https://www.{word()}.com/{word()}{n}?id={n % 99}",
+            f"page {n % 400}", f"({n % 30})", d, f"{300 + n % 600}.{n % 999}.{n}.{n % 300}", f"commit {chars(pick([7, 40]), hexa)}", f"{pick(['sha256', 'digest', 'hash', 'checksum', 'etag', 'md5', 'revision', word()])}{pick(['', ':'])} {chars(pick([32, 40, 64]), hexa)}", f"{pick(['uuid', 'id', word()])} {chars(8, hexa)}-{chars(4, hexa)}-{chars(4, hexa)}-{chars(4, hexa)}-{chars(12, hexa)}", f"{pick(['range', 'total:', 'invoice', 'order', 'number', 'part', 'serial'])} {digits(3)}-{digits(3)}-{digits(4)}", word() + digits(rng.randint(1, 3)), " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 16))), " ".join(digits(4) for _ in range(rng.randint(5, 16))), f"{word()}@{word()}", f"@{word()}{n % 100}", f"https://www.{word()}.com/{word()}{n}?id={n % 99}",
             f"{word()} at {word()} {word()}", f"dot {word()}", f"{word()} dot {word()}", f"{word()} at {pick(['the', 'a'])} dot {pick(['of', 'in', word()])} {word()}", f"{word()} at {word()} dot {pick(['of', word()])} {word()}", f"at the {word()} dot {word()}", f"a={n % 9} b={n}", f"x = {n}", f"{word()}={word()}", f"token {n % 500}", f"key {n % 12}", f"secret {word()}", f"password {word()}", f"{n % 100}%", f"<|{word()}|>", f"No. {n}", f"{n}th", f"{word()}-{n % 99}", chars(rng.randint(12, 16), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         ])
 
@@ -354,10 +382,27 @@ def _row(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return text, spans
 
 
-def labelled_rows(rows: int = 1_200, seed: int = 17) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """``rows`` synthetic lines with their spans; the same for the same seed."""
+_MARK = re.compile(r"\[(email|phone|secret):((?:[^\[\]]|\[[a-z]+\])+)\]")
+
+
+def marked_rows() -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The lines marked by hand, each span written as [kind:value] in its file."""
+    out = []
+    for line in pkgutil.get_data(__package__, "pii_labels.txt").decode("utf-8").splitlines():
+        text, spans, last = "", [], 0
+        for m in _MARK.finditer(line):
+            text += line[last : m.start()]
+            spans.append((len(text), KINDS.index(m[1]), len(text) + len(m[2])))
+            text, last = text + m[2], m.end()
+        out.append((text + line[last:], spans))
+    return out
+
+
+def labelled_rows(rows: int = 1_200, seed: int = 17, marked: list | None = None, times: int = 4) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """``rows`` synthetic lines with their spans, the same for the same seed, and the ``marked`` ones (all of them, if none are
+    given) ``times`` times."""
     rng = random.Random(seed)
-    return [_row(rng) for _ in range(rows)]
+    return [_row(rng) for _ in range(rows)] + (marked_rows() if marked is None else marked) * times
 
 
 def labelled_table(spark: SparkSession, rows: int = 1_200, seed: int = 17) -> DataFrame:
@@ -392,7 +437,7 @@ def _holds(kind: int, value: str) -> bool:
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value)) and _octets(value)
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return 7 <= len(digits) <= 15 if kind == 3 else len(value) >= 8
+    return 7 <= len(digits) <= 15 if kind == 3 else len(value) >= 6
 
 
 def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list, list]]:
