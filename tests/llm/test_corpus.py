@@ -424,6 +424,53 @@ def test_decontamination_finds_every_rewording(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, rows), bench).collect()} == want
 
 
+def test_latent_space_is_that_of_all_passages(spark):
+    """12,303 texts of 64 words, as many as the space has directions, against the exact inverse of their passages' matrix."""
+    rng = random.Random(21)
+    topics = [[f"t{k}w{i}" for i in range(9)] for k in range(6)]
+    texts = [" ".join(rng.choice(topics[i % 6]) for _ in range(rng.choice([5, 48, 60, 130]))) for i in range(300)] + [None, "", " , "]
+    texts += [f"only{i % 10}" for i in range(12_000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    df, n = decontamination.document_frequencies(docs, "t")
+    vocabulary = sorted({w for t in texts for w in decontamination.words_of(t)})
+    bucket = {w: int(decontamination._ids([w])[0]) for w in vocabulary}
+    assert len(set(bucket.values())) == len(vocabulary)  # no collisions here
+    assert n == len(texts)
+    count = collections.Counter(w for t in texts for w in set(decontamination.words_of(t)))
+    assert all(df[bucket[w]] == count[w] for w in vocabulary)
+    idf = np.log((n + 1) / (df + 1)) + 0.1
+    at = {w: i for i, w in enumerate(vocabulary)}
+    gram = np.zeros((len(at), len(at)))
+    weights = np.array([idf[bucket[w]] for w in vocabulary])
+    for t in texts:
+        words = decontamination.words_of(t)
+        for a in range(0, len(words), 48):
+            row = np.zeros(len(at))
+            np.add.at(row, [at[w] for w in words[a : a + 48]], 1)
+            gram += np.outer(row * weights, row * weights) / (sum(weights[at[w]] ** 2 for w in words[a : a + 48]) + 1e-9)
+    want = np.linalg.inv(gram) * np.outer(weights, weights)
+    space = decontamination.latent_space(docs, "t", df, n).astype(float)[[bucket[w] for w in vocabulary]]
+    got = space @ space.T
+    assert np.allclose(got / np.linalg.norm(got), want / np.linalg.norm(want), rtol=0.02, atol=2e-4)
+    again = decontamination.latent_space(docs, "t", df, n)
+    assert (again == decontamination.latent_space(docs, "t", df, n)).all()
+
+
+def test_words_are_hashed_wherever_they_stand():
+    """Runs, pieces, very long words and texts give every word its own bucket and place."""
+    rng = random.Random(4)
+    texts = [None, "", " ,. ", "Ähm, Two TWO two", "x" * 300_000 + " y z", "a bc " * 70_000] + [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(40))) for _ in range(4_000)]
+    n, seen = 0, {}
+    for raw, starts, ids, at in decontamination._runs(texts):
+        for a, z in zip(at[:-1], at[1:]):
+            words = decontamination.words_of(texts[n])
+            assert len(words) == z - a
+            assert all(raw[s : s + len(w)] == w and seen.setdefault(w, i) == i for w, s, i in zip(words, starts[a:z], ids[a:z]))
+            n += 1
+    assert n == len(texts)
+    assert list(decontamination._ids([b"two", b"w5"])) == [seen[b"two"], seen[b"w5"]]
+
+
 def test_decontamination_does_not_depend_on_the_rows_beside():
     """A shortened rewording, alone and before other rows: the same hit with the same cosine."""
     rng = random.Random(5)
