@@ -601,6 +601,19 @@ def test_pipeline_stages(spark):
     assert final.count() == kept[4].count() and {"shard", "slot"} <= set(final.columns)
 
 
+def test_pipeline_fits_its_space_on_every_row(spark, monkeypatch):
+    """Both passes of the decontamination stage's fit get all rows that the stage gets, copies included."""
+    import corpus_pipeline as pipeline
+
+    got = []
+    for name in ("_range_of", "_projected"):
+        pass_ = getattr(decontamination, name)
+        monkeypatch.setattr(decontamination, name, lambda docs, *a, pass_=pass_: (got.append(docs.count()), pass_(docs, *a))[1])
+    docs = spark.range(13_000).select(F.col("id").alias("doc_id"), F.format_string("word%d and more", F.col("id") % 6_500).alias("text"), F.lit("a").alias("source"))
+    assert pipeline.decontamination_stage(spark, docs, DATA).count() == 13_000
+    assert got == [13_000, 13_000]
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd_corpus):
     """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables in every stage."""
     import corpus_pipeline as pipeline
