@@ -47,7 +47,7 @@ class _Hashes(dict):
     """Word -> 64-bit hash, remembered; emptied beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -33,7 +33,7 @@ _buckets: dict[bytes, int] = {}
 
 
 def _ids(words: list[bytes]) -> np.ndarray:
-    if len(_buckets) > 400_000:
+    if len(_buckets) > 100_000:
         _buckets.clear()
     for w in set(words).difference(_buckets):
         _buckets[w] = zlib.crc32(w) & ((1 << WORD_BITS) - 1)

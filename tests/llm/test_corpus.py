@@ -601,6 +601,15 @@ def test_pipeline_stages(spark):
     assert final.count() == kept[4].count() and {"shard", "slot"} <= set(final.columns)
 
 
+def test_workers_remember_a_bounded_number_of_words():
+    """Workers stay alive from stage to stage, beside the next stage's memory."""
+    words = [b"word%d" % i for i in range(250_000)]
+    for a in range(0, len(words), 1000):
+        near_duplicates.shingles(b" ".join(words[a : a + 1000]).decode(), 5)
+        quality_classifier._ids(words[a : a + 1000])
+        assert max(len(near_duplicates._hash), len(quality_classifier._buckets)) <= 101_001
+
+
 def test_pipeline_fits_its_space_on_every_row(spark, monkeypatch):
     """Both passes of the decontamination stage's fit get all rows that the stage gets, copies included."""
     import corpus_pipeline as pipeline
