@@ -623,6 +623,39 @@ def test_pipeline_fits_its_space_on_every_row(spark, monkeypatch):
     assert got == [13_000, 13_000]
 
 
+def test_pipeline_classifier_learns_from_every_labelled_row(spark, monkeypatch, tmp_path):
+    """10,000 labelled rows, each with a word of its own: those that are not held out all leave their mark in the model."""
+    import corpus_pipeline as pipeline
+
+    models = []
+    scorer = quality_classifier.scorer
+    monkeypatch.setattr(quality_classifier, "scorer", lambda model: (models.append(model), scorer(model))[1])
+    rng = random.Random(31)
+    texts = [f"only{i} {prose(rng, 4)}{' ***' * (i % 4 == 0)}" for i in range(10_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(10_000)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    learns = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    weights = models[0][1][quality_classifier._ids([b"only%d" % i for i in learns])]
+    assert len(learns) > 6_600 and (weights != 0).all()
+    assert kept == {i for i in range(10_000) if i % 4}
+
+
+def test_classifier_in_shards(spark, monkeypatch):
+    """Shards side by side, and blocks of a shard one after another: any order of rows gives one model, which tells the labels."""
+    rng = random.Random(32)
+    rows = [(i, prose(rng, rng.randrange(5, 30)) + " ***" * (i % 3 == 0), "a") for i in range(8_000)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(8_000)], "doc_id long, quality int")
+    whole = quality_classifier.fit(docs, labels)
+    for block in (quality_classifier.BLOCK, 20_000):
+        monkeypatch.setattr(quality_classifier, "BLOCK", block)
+        one, two = (quality_classifier.fit(d, m, shard_rows=1_500) for d, m in ((docs, labels), (docs.repartition(5), labels.repartition(3))))
+        assert one[0] == two[0] and np.array_equal(one[1], two[1]) and np.array_equal(one[2], two[2])
+        assert ((one[1] != 0) == (whole[1] != 0)).all() and not np.array_equal(one[1], whole[1])
+        got = {r.doc_id: r.s for r in docs.select("doc_id", quality_classifier.scorer(one)("text").alias("s")).collect()}
+        assert sum((got[i] >= 0.5) == (i % 3 != 0) for i in got) / len(got) > 0.95
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd_corpus):
     """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables in every stage."""
     import corpus_pipeline as pipeline
