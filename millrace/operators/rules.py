@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import tags
+from ..functions.text import matches
 
 
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
@@ -63,7 +64,7 @@ def longest_alias(aliases: list[tuple[str, str]]):
 
 def first_category(text: Column, categories: list[tuple[str, str]]) -> Column:
     """The first (name, pattern) category whose pattern the text matches; null without one. Serves names that no alias fits."""
-    return F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in categories])
+    return F.coalesce(*[F.when(matches(text, pattern), name) for name, pattern in categories])
 
 
 def contained_aliases(text: Column, aliases: list[str]) -> Column:
@@ -76,8 +77,8 @@ def route(body: Column, keyword: Column, context: Column, domains: dict[str, str
     """Labels whose pattern the first text that matches any of them (body, then search keyword, then context) matches; a
     reserved domain in the body blocks all; more than one label adds ``ambiguous``."""
     every = "|".join(domains.values())
-    labels = lambda c: tags([(c.rlike(p), name) for name, p in domains.items()])
-    found = F.when(body.rlike(reserved), F.array().cast("array<string>")).when(body.rlike(every), labels(body)).when(keyword.rlike(every), labels(keyword)).when(context.rlike(every), labels(context)).otherwise(F.array().cast("array<string>"))
+    labels = lambda c: tags([(matches(c, p), name) for name, p in domains.items()])
+    found = F.when(matches(body, reserved), F.array().cast("array<string>")).when(matches(body, every), labels(body)).when(matches(keyword, every), labels(keyword)).when(matches(context, every), labels(context)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(found) > 1, F.array_append(found, F.lit("ambiguous"))).otherwise(found)
 
 
@@ -85,8 +86,8 @@ def signal_score(text: Column, signals: list[tuple[str, str, int]]) -> tuple[Col
     """(names of the signals found, sum of their weights) for (name, pattern, weight) rules."""
     score = F.lit(0)
     for _, pattern, weight in signals:
-        score = score + F.when(text.rlike(pattern), weight).otherwise(0)
-    return tags([(text.rlike(p), n) for n, p, _ in signals]), score.cast("long")
+        score = score + F.when(matches(text, pattern), weight).otherwise(0)
+    return tags([(matches(text, p), n) for n, p, _ in signals]), score.cast("long")
 
 
 def choice_verdict(names: Column, score: Column, intents: dict[str, str], context: list[str], choice: list[str], condition: Column, weak: Column, least: int = 5) -> tuple[Column, Column]:
@@ -108,7 +109,7 @@ def condition_confidence(own: Column, context: Column, pattern: str, ambiguous:
 
 def two_level_labels(text: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Distinct ``primary>secondary`` labels of all (primary, secondary, pattern) rules that hit, in rule order."""
-    return F.array_distinct(tags([(text.rlike(p), f"{a}>{b}") for a, b, p in rules]))
+    return F.array_distinct(tags([(matches(text, p), f"{a}>{b}") for a, b, p in rules]))
 
 
 def first_of(labels: Column, priority: list[str], default: str) -> Column:
@@ -324,10 +325,10 @@ def capability_scores(tag_rows: DataFrame, rules: DataFrame, entity: str) -> Dat
 def grouped_attributes(text: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Array of (kind, attributes found) for every kind of the (kind, attribute, pattern) rules with an attribute in the text."""
     kinds = list(dict.fromkeys(k for k, _, _ in rules))
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(tags([(text.rlike(p), a) for g, a, p in rules if g == k])).alias("attributes")) for k in kinds])
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(tags([(matches(text, p), a) for g, a, p in rules if g == k])).alias("attributes")) for k in kinds])
     return F.filter(rows, lambda r: F.size(r["attributes"]) > 0)
 
 
 def polarity(text: Column, good: str, bad: str) -> Column:
-    g, b = text.rlike(good), text.rlike(bad)
+    g, b = matches(text, good), matches(text, bad)
     return F.when(g & b, "mixed").when(g, "positive").when(b, "negative").otherwise("neutral")

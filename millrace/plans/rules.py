@@ -177,8 +177,8 @@ _ATTRIBUTES = [("joint", "and", r"\band\b"), ("joint", "or", r"\bor\b"), ("mark"
   {{'kind': 'mark', 'attributes': concat_ws('|', CASE WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'digits' END, CASE WHEN contains(text, '!!') THEN 'loud' END)}}]) AS g FROM {_D} WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 6)
 SELECT doc_id, g.kind AS kind, g.attributes AS attributes, polarity, durability FROM e WHERE g.attributes <> ''""")
 def r15(spark, sf_dir):
-    from ..functions.text import substantive_length
+    from ..functions.text import matches, substantive_length
 
     rows = _docs(spark, sf_dir).where(substantive_length(F.col("text")) >= 6)
-    found = rows.select("doc_id", R.polarity(F.col("text"), r"\band\b", "!!|[*]{3}").alias("polarity"), F.when(F.col("text").rlike(r"\bwas\b"), "lasting").otherwise("once").alias("durability"), F.explode(R.grouped_attributes(F.col("text"), _ATTRIBUTES)).alias("g"))
+    found = rows.select("doc_id", R.polarity(F.col("text"), r"\band\b", "!!|[*]{3}").alias("polarity"), F.when(matches(F.col("text"), r"\bwas\b"), "lasting").otherwise("once").alias("durability"), F.explode(R.grouped_attributes(F.col("text"), _ATTRIBUTES)).alias("g"))
     return found.select("doc_id", "g.kind", F.array_join("g.attributes", "|").alias("attributes"), "polarity", "durability")

@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,19 @@ def test_longest_alias_prefers_length_then_order(spark):
     assert values(df.select(tag("t"))) == [("D",), ("C",), (None,), (None,)]
 
 
+def test_words_of_rules_are_ascii_words(spark):
+    """As in RE2 (the SQL) and Python's re.ASCII: letters outside ASCII are no parts of words. The whole texts of the small
+    tables have none of the few places where this tells."""
+    texts = ["schüer", "schier", "éer", "e\u0301er", "er", "xer", "ünder üer", "_er", "1er", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = values(df.select("t", rules.first_category(F.col("t"), [("er-word", r"\ber")]).alias("c")))
+    assert dict(got) == {t: "er-word" if t and re.search(r"\ber", t, re.A) else None for t in texts}
+    for pattern in (r"\ber\b", r"e\b", r"\Be", r"\bx?er", r"n\B", r"\b\w\w\b", r"\bx*é", r"\\b|\bs"):
+        got = dict(values(df.select("t", text.matches(F.col("t"), pattern))))
+        assert got == {t: None if t is None else bool(re.search(pattern, t, re.A)) for t in texts}, pattern
+    assert text.word_edges(r"\Q\b\E\\b") == r"\Q\b\E\\b"
+
+
 def test_switch_path_last_sentence_wins(spark):
     path = rules.switch_path(["alpha", "beta", "gamma"], (r"from (?P<a>BRAND) to (?P<b>BRAND)",))
     df = spark.createDataFrame([("from alpha to beta, later from beta to gamma",), ("gamma then alpha",), ("from beta to beta",), (None,)], "t string")
