@@ -104,7 +104,7 @@ def choice_verdict(names: Column, score: Column, intents: dict[str, str], contex
 
 def condition_confidence(own: Column, context: Column, pattern: str, ambiguous: str) -> Column:
     """high: in the own text; medium: there by an ambiguous term only, or both contexts; low: in the context alone."""
-    return F.when(own.rlike(pattern), "high").when(own.rlike(ambiguous) & context.rlike(pattern), "medium").when(context.rlike(pattern), "low")
+    return F.when(matches(own, pattern), "high").when(matches(own, ambiguous) & matches(context, pattern), "medium").when(matches(context, pattern), "low")
 
 
 def two_level_labels(text: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -80,6 +80,12 @@ def test_words_of_rules_are_ascii_words(spark):
     assert text.word_edges(r"\Q\b\E\\b") == r"\Q\b\E\\b"
 
 
+def test_condition_words_end_before_letters_outside_ascii(spark):
+    rows = [("tionê", ""), ("action", ""), ("tionx", ""), ("doing", "tionê"), ("x", "tionê"), ("x", "tionx")]
+    df = spark.createDataFrame(rows, "own string, prior string").select(rules.condition_confidence(F.col("own"), F.col("prior"), r"tion\b", "ing"))
+    assert [r[0] for r in values(df)] == ["high", "high", None, "medium", "low", None]
+
+
 def test_switch_path_last_sentence_wins(spark):
     path = rules.switch_path(["alpha", "beta", "gamma"], (r"from (?P<a>BRAND) to (?P<b>BRAND)",))
     df = spark.createDataFrame([("from alpha to beta, later from beta to gamma",), ("gamma then alpha",), ("from beta to beta",), (None,)], "t string")
