@@ -57,9 +57,13 @@ def year_over_year(rows: DataFrame, group: list[str], key: str, date: str) -> Da
 
 
 def coverage(mentions: DataFrame, products: DataFrame, group: str, via: str, product: str) -> DataFrame:
-    """Distinct products reachable from a group's vias, and their share of all products."""
+    """Distinct products reachable from a group's vias, and their share of all products. Products of the same vias are one
+    class with a count, so a group meets classes, never the products themselves."""
     total = products.agg(F.countDistinct(product).alias("__total"))
-    reach = mentions.select(group, via).distinct().join(products.select(via, product).distinct(), via).groupBy(group).agg(F.countDistinct(product).alias("products"))
+    known = products.where(F.col(via).isNotNull() & F.col(product).isNotNull())
+    each = known.groupBy(product).agg(F.array_sort(F.collect_set(via)).alias("__vias"))
+    classes = each.groupBy("__vias").agg(F.min(product).alias("__class"), F.count("*").alias("__n")).select(F.explode("__vias").alias(via), "__class", "__n")
+    reach = mentions.select(group, via).distinct().join(classes, via).select(group, "__class", "__n").distinct().groupBy(group).agg(F.sum("__n").alias("products"))
     return reach.crossJoin(F.broadcast(total)).withColumn("share", F.col("products") / F.col("__total")).drop("__total")
 
 

@@ -216,6 +216,42 @@ def test_wilson_and_outcomes_count_a_clue_once(spark):
     assert (got.n, got.improved, got.worsened, got.uncertain) == (2, 1, 1, 0) and 0 < got.wilson < 0.5
 
 
+def test_coverage_meets_classes_of_products(spark):
+    """Against plain Python; 50 groups that reach 4,000 products each join a few rows, not 200,000."""
+    draw = random.Random(5)
+    products = [(p, v) for p in range(300) for v in draw.sample("abcdef", draw.choice([1, 1, 1, 2, 3]))] + [(p, "a") for p in range(300, 310)] * 2 + [(None, "a"), (400, None), (401, "z")]
+    mentions = [(g, draw.choice("abcdef")) for g in range(20) for _ in range(draw.randint(1, 4))] + [(98, "y"), (99, None), (None, "b")]
+    df = stats.coverage(spark.createDataFrame(mentions, "g int, via string"), spark.createDataFrame(products, "p int, via string"), "g", "via", "p")
+    expected = {}
+    for g, v in mentions:
+        expected.setdefault(g, set()).update(p for p, w in products if v is not None and w == v and p is not None)
+    total = len({p for p, _ in products if p is not None})
+    assert sorted(values(df), key=str) == sorted(((g, len(s), len(s) / total) for g, s in expected.items() if s), key=str)
+    many = spark.range(4000).selectExpr("id AS p", "'v' AS via")
+    df = stats.coverage(spark.range(50).selectExpr("id AS g", "'v' AS via"), many, "g", "via", "p")
+    assert {r[1] for r in values(df)} == {4000}
+    assert max(joined_rows(df)) <= 50
+
+
+def joined_rows(df):
+    """Rows out of each join of a DataFrame's plan that has run."""
+    found = []
+
+    def walk(node):
+        plan = node.executedPlan() if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else node.plan() if "QueryStage" in node.getClass().getSimpleName() else None
+        if plan is not None:
+            walk(plan)
+        metrics = node.metrics()
+        if "Join" in node.getClass().getSimpleName() and metrics.contains("numOutputRows"):
+            found.append(metrics.apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
 def test_md5_modulo_and_ordered_clusters(spark):
     import hashlib
 
