@@ -73,3 +73,29 @@ def test_lines_without_a_part_count_in_totals(spark, tmp_path):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = {(r.target, r.other): round(r.similarity, 6) for r in plans.QUERIES["C1"](spark, str(tmp_path)).collect()}
     assert got == {(a, b): round(s, 6) for a, b, s in con.sql(f"SELECT target, other, similarity FROM ({plans.ORACLES['C1']})").fetchall()}
+
+
+def test_numeric_pairs_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 16)
+    draw = random.Random(9)
+    rows = [(n, draw.choice([0, 1, 2, 3, None]), draw.choice([None, 0.25, 0.5, draw.random()]), draw.choice([None, draw.random()])) for n in range(120)]
+    df = similar.numeric_pairs(spark.createDataFrame(rows, "e int, g int, x double, y double"), "e", "g", {"x": 2.0, "y": 1.0}, digits=6)
+    expected = {}
+    for a, g, *u in rows:
+        for b, h, *v in rows:
+            if g is not None and h is not None and g != h:
+                some = [(abs((p or 0) - (q or 0)) * w, w) for p, q, w in zip(u, v, (2.0, 1.0)) if p is not None or q is not None]
+                expected[a, b] = (h, 1 - sum(s for s, _ in some) / sum(w for _, w in some) if some else None)
+    got = df.collect()
+    assert len(got) == len(expected)
+    for r in got:
+        g, s = expected[r.target, r.other]
+        assert r.g == g and (r.numeric is None) == (s is None) and (s is None or abs(r.numeric - s) <= 5.1e-7)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # these deal nothing out: a table of one file is one task
+
+
+def test_round_half_up_as_the_sql(spark):
+    some = [0.1234565, 0.5, -0.1234565, 0.9999995, 1e-9, -1e-9, 0.0, 0.3333333333, None]
+    got = [r[0] for r in spark.createDataFrame([(n, x) for n, x in enumerate(some)], "n int, x double").select("n", "x").orderBy("n").select(similar.round_half_up(F.col("x"), 6)).collect()]
+    assert got == [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (VALUES " + ", ".join(f"({n}, {'NULL' if x is None else repr(x)}::DOUBLE)" for n, x in enumerate(some)) + ") t(n, x) ORDER BY n").fetchall()]
