@@ -99,3 +99,35 @@ def test_round_half_up_as_the_sql(spark):
     some = [0.1234565, 0.5, -0.1234565, 0.9999995, 1e-9, -1e-9, 0.0, 0.3333333333, None]
     got = [r[0] for r in spark.createDataFrame([(n, x) for n, x in enumerate(some)], "n int, x double").select("n", "x").orderBy("n").select(similar.round_half_up(F.col("x"), 6)).collect()]
     assert got == [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (VALUES " + ", ".join(f"({n}, {'NULL' if x is None else repr(x)}::DOUBLE)" for n, x in enumerate(some)) + ") t(n, x) ORDER BY n").fetchall()]
+
+
+def test_pair_jaccard_sends_vectors_as_rows(spark):
+    """Against plain Python, with nulls, zero weights, unknown entities and copies; joins hold pairs and entities, no keys."""
+    draw = random.Random(12)
+    rows = [(e, draw.randint(0, 12), draw.choice([1.0, 2.0, 0.5])) for e in range(40) for _ in range(draw.randint(1, 6))]
+    rows += [(e + 100, k, w) for e, k, w in rows if e < 20] + [(30, None, 2.0), (31, 3, None), (32, 5, 0.0), (50, 1, None), (51, None, 1.0)]
+    pairs = [(draw.randint(0, 119), draw.randint(0, 119), "x") for _ in range(600)] + [(50, 50, "x"), (51, 0, "x"), (51, 51, "x"), (999, 1, "x")]
+    df = similar.pair_jaccard(spark.createDataFrame(pairs, "target int, other int, note string"), spark.createDataFrame(rows, "e int, k int, w double"), "e", "k", "w")
+    keys, total = {}, {}
+    for e, k, w in rows:
+        total[e] = total.get(e, 0) + (w or 0)
+        keys.setdefault(e, {})
+        if k is not None:
+            keys[e].setdefault(k, []).extend([] if w is None else [w])
+    expected = []
+    for a, b, note in pairs:
+        if a in keys and b in keys:
+            low = sum(min([sum(x) for x in (keys[a][k], keys[b][k]) if x], default=0) for k in keys[a].keys() & keys[b].keys())
+            expected.append((a, b, note, round(low / (total[a] + total[b] - low), 9) if low > 0 else 0.0))
+    assert df.columns == ["target", "other", "note", "similarity"]
+    assert sorted((*r[:3], round(r[3], 9)) for r in df.collect()) == sorted(expected)
+
+
+def test_pair_jaccard_rows_do_not_grow_with_keys(spark):
+    from test_operators import joined_rows
+
+    rows = spark.range(30).selectExpr("id AS e", "explode(sequence(1, 200)) AS k", "1.0D + id % 4 AS w")
+    pairs = spark.range(30).selectExpr("id AS target").crossJoin(spark.range(30).selectExpr("id AS other"))
+    df = similar.pair_jaccard(pairs, rows, "e", "k", "w")
+    assert len(df.collect()) == 900
+    assert max(joined_rows(df)) <= 900
