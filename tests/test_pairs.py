@@ -131,3 +131,18 @@ def test_pair_jaccard_rows_do_not_grow_with_keys(spark):
     df = similar.pair_jaccard(pairs, rows, "e", "k", "w")
     assert len(df.collect()) == 900
     assert max(joined_rows(df)) <= 900
+
+
+def test_explained_pairs_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def found(x):
+        seen.add(1)
+        return x
+
+    pairs = spark.range(20).select(found("id").alias("target"), (F.col("id") + 1).cast("int").alias("other"))
+    vectors = spark.range(21).selectExpr("CAST(id AS int) AS e", "explode(array('p', 'q')) AS k", "0.5D AS w")
+    shared, different = similar.explain_pairs(pairs, vectors, "e", "k", "w", 1)
+    assert shared.count() == 20 and different.count() == 0
+    assert seen.value == 20
