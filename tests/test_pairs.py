@@ -146,3 +146,19 @@ def test_explained_pairs_are_found_once(spark):
     shared, different = similar.explain_pairs(pairs, vectors, "e", "k", "w", 1)
     assert shared.count() == 20 and different.count() == 0
     assert seen.value == 20
+
+
+def test_formula_candidates_go_without_nutrition(spark):
+    """Nutrition is joined to the pairs that are left, above the union of both kinds, not to every candidate."""
+    from millrace.operators import match
+
+    rows = [(n, ["p", "q", f"r{n % 3}"] if n < 8 else [], {"fat": 1.0 * n}) for n in range(10)] + [(10, None, {"fat": 1.0}), (11, ["p", None], None), (12, ["p", None], {"fat": 1.0})]
+    lists = spark.createDataFrame(rows, "k int, names array<string>, nutrition map<string,double>")
+    df = match.formula_matches(lists.where("k % 2 = 0"), lists.where("k % 2 = 1"), "k", "names", "nutrition", least=0.5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Union")
+    got = {(r.a, r.b): (r.exact, r.nutrition) for r in df.collect()}
+    x = {k: n for k, n, _ in rows}
+    assert got.keys() == {(a, b) for a in (0, 2, 4, 6, 12) for b in (1, 3, 5, 7, 11)} | {(8, 9)}
+    assert all(exact == (x[a] == x[b]) for (a, b), (exact, _) in got.items())
+    assert got[0, 3] == (True, 0.0) and got[12, 11] == (True, 0.0)
