@@ -162,3 +162,15 @@ def test_formula_candidates_go_without_nutrition(spark):
     assert got.keys() == {(a, b) for a in (0, 2, 4, 6, 12) for b in (1, 3, 5, 7, 11)} | {(8, 9)}
     assert all(exact == (x[a] == x[b]) for (a, b), (exact, _) in got.items())
     assert got[0, 3] == (True, 0.0) and got[12, 11] == (True, 0.0)
+
+
+@pytest.mark.parametrize("products, kept", [(10**9, 0), (0, 40)])
+def test_prefixes_are_kept_where_they_are_used_only(spark, monkeypatch, products, kept):
+    """Those of a dense bucket are counted, never written: its pairs come from block products."""
+    monkeypatch.setattr(similar, "PRODUCTS", products)
+    asked, plain = [], similar.prefixes
+    monkeypatch.setattr(similar, "prefixes", lambda named, *more: asked.append(named) or plain(named, *more))
+    rows = spark.range(40).selectExpr("id AS k", "concat('the same long line of text, number ', id % 20) AS t", "'g' AS g")
+    found = {(r.a, r.b) for r in similar.near_texts(rows, "k", "t", ["g"]).collect()}
+    assert {(a, a + 20) for a in range(20)} <= found
+    assert [d.count() for d in asked] == [40, kept]
